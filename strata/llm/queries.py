@@ -52,8 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL by query. Extraction, the labels of the license templates and shuffled slots have none; tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op2_vector_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
         p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
@@ -62,9 +62,9 @@ ORACLE_SQL: dict[str, str] = {
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         g AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS newest FROM p),
         d AS (SELECT *, sha1(b) AS h FROM g),
-        f AS (SELECT *, list_transform(range(8), i -> CAST(('0x' || substr(h, CAST(5 * i + 1 AS INTEGER), 5)) AS BIGINT)) AS n FROM d)
+        f AS (SELECT *, list_transform(range(8), lambda i: CAST(('0x' || substr(h, CAST(5 * i + 1 AS INTEGER), 5)) AS BIGINT)) AS n FROM d)
         SELECT page_id, octet_length(b) AS payload_bytes,
-               list_aggregate(flatten(list_transform(n, x -> list_transform([32768, 1024, 32, 1], y -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // y) % 32 + 1 AS INTEGER), 1)))), 'string_agg', '') AS payload_digest,
+               list_aggregate(flatten(list_transform(n, lambda x: list_transform([32768, 1024, 32, 1], lambda y: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // y) % 32 + 1 AS INTEGER), 1)))), 'string_agg', '') AS payload_digest,
                CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
         FROM f""",
     "op8_decontaminate": r"""
