@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, html_extract, license_scan, mixing, sharding, vector_topk, warc
+from strata.llm import decontaminate, html_extract, jaccard_join, language_id, license_scan, mixing, sharding, substring_dedup, vector_topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,27 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select(F.col("record").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each page: its main text, markup, address and host, by a text model of `documents`."""
+    model = language_id.fit(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", label_col="lang")
+    pages = table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in language_id.page_evidence().items()])
+    pages = html_extract.extract(table(spark, sf_dir, "pages")).join(pages, "page_id")
+    found = language_id.identify(pages, model, id_col="page_id", declared=F.col("declared"), host=F.col("host"), address=F.col("address"))
+    return found.withColumnRenamed("doc_id", "page_id").drop("text_hash")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -45,8 +62,16 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extract, op2_vector_topk, op3_mix_sources, op4_warc, op6_license_scan, op8_decontaminate, op9_shard)
+    f.__name__: f
+    for f in (
+        op1_html_extract, op2_vector_topk, op3_mix_sources, op4_warc, op5_jaccard_join, op6_license_scan,
+        op7_language_id, op8_decontaminate, op9_shard, op10_substring_dedup, page_languages,
+    )
 }
 
 #: DuckDB SQL by query. Extraction, the labels of the license templates and shuffled slots have none; tests hold them against plain versions.
@@ -67,6 +92,24 @@ ORACLE_SQL: dict[str, str] = {
                list_aggregate(flatten(list_transform(n, lambda x: list_transform([32768, 1024, 32, 1], lambda y: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // y) % 32 + 1 AS INTEGER), 1)))), 'string_agg', '') AS payload_digest,
                CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
         FROM f""",
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+        t AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT t.v, r.c FROM r JOIN t ON t.u = r.doc_id WHERE r.c < t.v)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) USING (doc_id)""",
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+        m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM k),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM m WHERE n > 1),
+        q AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d),
+        h AS (SELECT q.doc_id, count(*) AS kept, string_agg(q.w[q.j], ' ' ORDER BY q.j) AS t FROM q ANTI JOIN g USING (doc_id, j) GROUP BY q.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN h USING (doc_id)""",
     "op8_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
