@@ -1 +1,3 @@
+"""Queries; importing the package registers them."""
 
+from strata.plans import evidence  # noqa: F401
