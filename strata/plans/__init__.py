@@ -1,3 +1,3 @@
 """Queries; importing the package registers them."""
 
-from strata.plans import evidence, series  # noqa: F401
+from strata.plans import evidence, retrieval, series  # noqa: F401
