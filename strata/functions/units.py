@@ -49,13 +49,10 @@ def normalised(units: Column) -> Column:
 
 def dimension(units: Column) -> Column:
     """The dimension of a unit, null where none is known."""
-    u, out = plain(units), F.lit(None).cast("string")
-    for name, marks in reversed(DIMENSIONS):
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | (F.contains(u, F.lit(m)) if "/" in m else u == m)
-        out = F.when(hit, name).otherwise(out)
-    return F.when(u != "", out)
+    u = plain(units)
+    marks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(m).alias("mark")) for name, ms in DIMENSIONS for m in ms])
+    fits = F.filter(marks, lambda x: F.when(F.contains(x["mark"], F.lit("/")), F.contains(u, x["mark"])).otherwise(u == x["mark"]))
+    return F.when(u != "", F.try_element_at(fits, F.lit(1))["name"])
 
 
 def factor_rows() -> list[tuple[str, str, float]]:

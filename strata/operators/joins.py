@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +42,18 @@ def contradictions(claims: DataFrame, *, fraction: float = 0.10, context: tuple[
 
 
 def greedy_match(expected: DataFrame, extracted: DataFrame, on: str, fits) -> DataFrame:
-    """(claim, expectation): each claim, in the order of its id, takes the first expectation of its group that fits and is free.
+    """(on, claim, expectation): each claim, in the order of its id, takes the first expectation of its group that fits and is free.
 
-    `fits(value, target)` is a column. Groups are those of one case, so a few rows each; rounds of mutual first choices
-    give what a pass in order gives: the least claim of an expectation wins it, losers ask again.
+    `fits(value, target)` is a column. The order matters, so a group, the claims of one case, is matched in one task.
     """
     pairs = extracted.join(expected, on).where(fits(F.col("value"), F.col("target"))).select(on, "claim", "expectation")
-    taken = None
-    while True:
-        left = pairs if taken is None else pairs.join(taken.select("claim"), "claim", "left_anti").join(taken.select("expectation"), "expectation", "left_anti")
-        # the least claim that still asks, with its first expectation: nobody before it can want that one
-        first = left.groupBy(on).agg(F.min(F.struct("claim", "expectation")).alias("m")).select("m.claim", "m.expectation")
-        first = first.cache()
-        if first.isEmpty():
-            return taken if taken is not None else pairs.select("claim", "expectation").limit(0)
-        taken = first if taken is None else taken.union(first)
+
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), {}
+        for r in group.sort_values(["claim", "expectation"]).itertuples():
+            if r.claim not in out and r.expectation not in used:
+                out[r.claim] = r.expectation
+                used.add(r.expectation)
+        return pd.DataFrame({on: group[on].iloc[0], "claim": list(out), "expectation": list(out.values())})
+
+    return pairs.groupBy(on).applyInPandas(match, pairs.schema)
