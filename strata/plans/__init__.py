@@ -1,3 +1,3 @@
 """Queries; importing the package registers them."""
 
-from strata.plans import claims, evidence, retrieval, series  # noqa: F401
+from strata.plans import claims, evidence, records, retrieval, series  # noqa: F401

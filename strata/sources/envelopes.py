@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BULK_KEYS = ["data", "array", "values", "image", "spectrum"]
 
@@ -17,7 +18,7 @@ def read_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn(column, F.from_json(column, schema, {"mode": "PERMISSIVE"}))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_sha256(payload: pd.Series) -> pd.Series:
     """SHA-256 of JSON with sorted keys and bulk arrays stripped, at any depth; null for text that doesn't read."""
 
