@@ -258,8 +258,10 @@ def _shard(window: int):
         table = table.combine_chunks()
         ids, starts, kinds = table["id"].to_numpy(), table["start"].to_numpy(), table["text_hash"].to_numpy()
         order = np.lexsort((kinds, starts, ids))
-        table = table.take(pa.array(order))
         ids, starts, kinds = ids[order], starts[order], kinds[order]
+        once = np.concatenate(([True], (ids[1:] != ids[:-1]) | (starts[1:] != starts[:-1]) | (kinds[1:] != kinds[:-1])))  # a repeated row is no earlier one
+        table = table.take(pa.array(order[once]))
+        ids, starts, kinds = ids[once], starts[once], kinds[once]
         data, offsets = buffers(table["region"])
         row, _, _, h = words(data, offsets, SPACE_WORDS)
         sizes = np.bincount(row, minlength=len(ids))
