@@ -33,13 +33,13 @@ def cross_checks(k: Column, eps_inf: Column, eps_ionic: Column, eg: Column, dec:
     """Findings between the values of one row; a null value checks nothing."""
     both = eps_inf + eps_ionic
     return _findings([
-        ("violation", "eps_inf above k", eps_inf > k * (1 + 1e-9)), ("inconsistency", "k is not eps_inf + eps_ionic", F.abs(k - both) / both > IONIC_TOLERANCE), ("violation", "dEc above Eg", dec > eg),
+        ("violation", "eps_inf above k", eps_inf > k * (1 + 1e-9)), ("inconsistency", "k is not eps_inf + eps_ionic", F.try_divide(F.abs(k - both), both) > IONIC_TOLERANCE), ("violation", "dEc above Eg", dec > eg),
         ("heuristic", "k and Eg both high", (k >= BOTH_HIGH_K) & (eg >= BOTH_HIGH_EG)), ("heuristic", "low band offset", dec < LEAST_OFFSET),
     ])
 
 
 def film_checks(technique: Column, growth_per_cycle: Column, roughness: Column, thickness: Column) -> Column:
-    return _findings([("heuristic", "more than a monolayer a cycle", (F.lower(technique) == "ald") & (growth_per_cycle > MONOLAYER)), ("heuristic", "roughness near thickness", (thickness > 0) & (roughness / thickness > ROUGH))])
+    return _findings([("heuristic", "more than a monolayer a cycle", (F.lower(technique) == "ald") & (growth_per_cycle > MONOLAYER)), ("heuristic", "roughness near thickness", (thickness > 0) & (roughness > ROUGH * thickness))])
 
 
 def sld_density(sld: Column, electron_fraction: Column, density: Column) -> Column:

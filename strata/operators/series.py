@@ -48,7 +48,7 @@ def consensus(values: DataFrame, entry: str, source: str, voter: Column) -> Data
     """
     v = F.when(voter, F.col("value"))
     out = values.groupBy(entry).agg(F.count(v).alias("n"), F.count_distinct(F.when(voter, F.col(source))).alias("n_sources"), F.percentile(v, F.lit(0.5)).alias("median"), (F.max(v) - F.min(v)).alias("range"), F.count(F.when(~voter, 1)).alias("others"))
-    spread = F.when(F.col("n") > 0, F.col("range") / F.abs("median"))
+    spread = F.when(F.col("n") > 0, F.try_divide(F.col("range"), F.abs("median")))
     of = F.when(F.col("n") == 0, None).when(F.col("n") == 1, "single_source").when(spread < 0.02, "excellent").when(spread < 0.10, "warning").otherwise("suspicious")
     return out.select(entry, "n", "n_sources", "median", spread.alias("spread"), of.alias("class"), "others")
 

@@ -25,8 +25,8 @@ def pairs(values: DataFrame) -> DataFrame:
 
 def correlation_cells(cases: DataFrame) -> DataFrame:
     """(x_key, y_key, n, r): Pearson's r; null below three cases or without variance."""
-    out = cases.groupBy("x_key", "y_key").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    return out.select("x_key", "y_key", "n", F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("r")).alias("r"))
+    out = cases.groupBy("x_key", "y_key").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    return out.select("x_key", "y_key", "n", F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("c") / (F.col("sx") * F.col("sy"))).alias("r"))
 
 
 def average_rank(by: list[str], value: str) -> Column:
