@@ -24,7 +24,12 @@ def layers(records: DataFrame, column: str = "payload") -> DataFrame:
     block wins; bounds the wrong way round are turned and flagged; an unknown unit leaves the value null.
     """
     rows = records.withColumn("m", F.from_json(column, MODEL)).select("record", F.col("m.length_units").alias("unit"), F.posexplode("m.stack").alias("layer", "l"))
-    entries = F.flatten(F.array(*[F.transform(F.coalesce(F.map_entries(f"l.{b}"), F.array().cast(f"array<struct<key:string,value:{PARAMETER}>>")), lambda e, i=i: F.struct(F.lit(i).alias("block"), e["key"].alias("name"), e["value"].alias("p"))) for i, b in enumerate(BLOCKS)]))
+    none = F.array().cast(f"array<struct<key:string,value:{PARAMETER}>>")
+
+    def named(i: int, block: str) -> Column:
+        return F.transform(F.coalesce(F.map_entries(f"l.{block}"), none), lambda e: F.struct(F.lit(i).alias("block"), e["key"].alias("name"), e["value"].alias("p")))
+
+    entries = F.flatten(F.array(*[named(i, b) for i, b in enumerate(BLOCKS)]))
     rows = rows.select("record", "unit", "layer", "l.label", "l.role", "l.material", F.explode(entries).alias("e"))
     alias = F.element_at(F.create_map(*[F.lit(x) for p in ALIASES.items() for x in p]), F.col("e.name"))
     rows = rows.withColumn("parameter", F.coalesce(alias, F.col("e.name")))
