@@ -29,7 +29,7 @@ FOLD_KEYS = 1 << 21
 GROUP_SHINGLES = 2_000_000
 #: Small candidate groups are dealt to tasks in lots of about so many shingles.
 LOT_SHINGLES = 500_000
-LEAF = 8
+LEAF, FAN = 32, 8
 
 
 class Rule:
@@ -37,6 +37,8 @@ class Rule:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.sparse = num < 6 * (den - num)  # few shingles a part
+        self.least = 2 if self.sparse else 3
         self.bounds = [1]
         while self.bounds[-1] < 1 << 40:
             self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * 9 // 8))
@@ -50,7 +52,7 @@ class Rule:
 
     def parts(self, c: int) -> int:
         d = self.most_differing(c)
-        return d + 1 + d // 8
+        return d + 1 + (d * 4 // 5 if self.sparse else d // 8)
 
     def classes(self, n: int) -> range:
         """Classes of the smaller set of a linked pair in which a set of n is."""
@@ -62,8 +64,9 @@ class Rule:
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """Keys of a set: two linked, unequal sets share one at least.
 
-        Of `parts` parts, at most `most_differing` differ. A set with more non-empty parts than that shares a
-        non-empty one with each set it links to; only sets with fewer need keys of their empty parts as well.
+        Of `parts` parts, at most `most_differing` differ. A part of `least` shingles or more is a strong key, a
+        weaker one would meet every set with that common shingle. A set with more strong parts than may differ shares
+        a strong one with each set it links to; sets with fewer also give all their parts, to meet each other.
         """
         out = []
         for c in self.classes(len(shingles)):
@@ -74,8 +77,10 @@ class Rule:
             sums = np.zeros(m, np.uint64)
             np.add.at(sums, part, mix(shingles + np.uint64(m)))
             keys = mix(sums ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 40)))
-            held = np.bincount(part, minlength=m) > 0
-            out.append(keys if np.count_nonzero(held) <= differ else keys[held])
+            strong = np.bincount(part, minlength=m) >= self.least
+            out.append(keys[strong])
+            if np.count_nonzero(strong) <= differ:
+                out.append(mix(keys + np.uint64(1)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -161,11 +166,11 @@ class _Tree:
         for i, m in enumerate(of):
             at = sets[m] & np.uint64(bits - 1)
             np.bitwise_or.at(maps[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        self.of, self.maps = of, maps
         sizes = [len(sets[m]) for m in of]
+        self.of, self.maps, self.sizes = of, maps, np.array(sizes, np.int64)
         level = [(i, min(i + LEAF, len(of)), np.bitwise_or.reduce(maps[i : i + LEAF]), np.bitwise_and.reduce(maps[i : i + LEAF]), min(sizes[i : i + LEAF]), max(sizes[i : i + LEAF]), ()) for i in range(0, len(of), LEAF)]
         while len(level) > 1:
-            level = [(g[0][0], g[-1][1], np.bitwise_or.reduce([x[2] for x in g]), np.bitwise_and.reduce([x[3] for x in g]), min(x[4] for x in g), max(x[5] for x in g), g) for g in (level[i : i + LEAF] for i in range(0, len(level), LEAF))]
+            level = [(g[0][0], g[-1][1], np.bitwise_or.reduce([x[2] for x in g]), np.bitwise_and.reduce([x[3] for x in g]), min(x[4] for x in g), max(x[5] for x in g), g) for g in (level[i : i + FAN] for i in range(0, len(level), FAN))]
         self.root = level[0]
 
 
@@ -186,7 +191,20 @@ def link_group(sets: list[np.ndarray], left: list[int], right: list[int], rule:
     if left is right and len(left) == 2:
         compare(*left)
         return
-    bits = 1 << min(16, max(8, (4 * max(len(sets[i]) for i in {*left, *right})).bit_length()))
+    width = float(np.log(rule.den / rule.num)) + 1e-12
+    rungs: list[dict[int, list[int]]] = [{}, {}]
+    for side, of in zip(rungs, (left, right), strict=True):
+        for i in of:
+            side.setdefault(int(np.log(len(sets[i])) / width), []).append(i)
+    for rung, members in rungs[0].items():  # linked sets are at most one rung apart
+        for other in (rung, rung + 1) if left is right else (rung - 1, rung, rung + 1):
+            if other in rungs[1]:
+                _traverse(sets, members, members if left is right and other == rung else rungs[1][other], rule, find, compare)
+
+
+def _traverse(sets: list[np.ndarray], left: list[int], right: list[int], rule: Rule, find, compare) -> None:
+    """Dual traversal of two trees, or of one against itself."""
+    bits = 1 << min(15, max(8, (4 * max(len(sets[left[0]]), len(sets[right[0]]))).bit_length()))
     order = lambda of: sorted(of, key=lambda i: (int(sets[i][0]), int(sets[i][-1])))  # noqa: E731  like sets have like least hashes
     a = _Tree(sets, order(left), bits)
     b = a if left is right else _Tree(sets, order(right), bits)
@@ -203,15 +221,15 @@ def link_group(sets: list[np.ndarray], left: list[int], right: list[int], rule:
             xs, ys = x[6] or (x,), y[6] or (y,)
             stack.extend((p, q) for i, p in enumerate(xs) for q in (ys[i:] if x is y else ys))
             continue
-        for i in range(x[0], x[1]):
-            for j in range(i + 1 if x is y else y[0], y[1]):
-                m, n = a.of[i], b.of[j]
-                if m == n or find(m) == find(n):
-                    continue
-                gone = int(np.bitwise_count(a.maps[i] & ~b.maps[j]).sum())
-                more = int(np.bitwise_count(b.maps[j] & ~a.maps[i]).sum())
-                if rule.links(min(len(sets[m]) - gone, len(sets[n]) - more), len(sets[m]), len(sets[n])):
-                    compare(m, n)
+        p, q = a.maps[x[0] : x[1]], b.maps[y[0] : y[1]]
+        m, n = a.sizes[x[0] : x[1]], b.sizes[y[0] : y[1]]
+        both = np.bitwise_count(p[:, None] & q[None]).sum(axis=2, dtype=np.int64)
+        most = np.minimum(m[:, None] - np.bitwise_count(p).sum(axis=1, dtype=np.int64)[:, None] + both, n[None] - np.bitwise_count(q).sum(axis=1, dtype=np.int64)[None] + both)
+        near = (rule.num + rule.den) * most >= rule.num * (m[:, None] + n[None])
+        for i, j in zip(*np.nonzero(np.triu(near, 1) if x is y else near), strict=True):
+            u, v = a.of[x[0] + i], b.of[y[0] + j]
+            if u != v and find(u) != find(v):
+                compare(u, v)
 
 
 def _link(k: int, rule: Rule):
