@@ -85,12 +85,12 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     return sources.drop("_ranges")
 
 
-def taken(rounds: int) -> F.Column:
+def taken(rounds: int, prefix: str = "") -> F.Column:
     """Whether one of the first `rounds` rounds took a document: it fitted what was left and lies before the round's cut."""
     out = F.lit(False)
     for i in range(1, rounds + 1):
-        cut = F.element_at("cuts", i)
-        out = out | (cut.isNotNull() & (F.col("_n") <= F.element_at("rests", i)) & (F.struct("_k", "_i", "_n") <= cut))
+        cut = F.element_at(f"{prefix}cuts", i)
+        out = out | (cut.isNotNull() & (F.col("_n") <= F.element_at(f"{prefix}rests", i)) & (F.struct("_k", "_i", "_n") <= cut))
     return F.coalesce(out, F.lit(False))
 
 
@@ -109,13 +109,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     extra = ["size", "source_size", "target", "times"]
     own = [c for c in docs.columns if c not in extra]
-    sources = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, most=most)
+    sources = plan(docs.select(*own), id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, most=most)
+    sources = sources.withColumnsRenamed({c: f"_{c}" for c in (*extra, "epochs", "rests", "cuts")})
     rows = _with(_keys(docs.select(*own), id_col, source_col, word_count(text_col)), sources)
-    more = F.when(taken(ROUNDS) & (F.col("_n") > 0), 1).otherwise(0)
-    return rows.select(*own, F.col("_n").alias("size"), "source_size", "target", (F.col("epochs") + more).alias("times"))
+    more = F.when(taken(ROUNDS, "_") & (F.col("_n") > 0), 1).otherwise(0)
+    return rows.select(*own, F.col("_n").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_epochs") + more).alias("times"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as `mix` takes it, with the columns that it came with."""
-    rows = mix(docs, **how).where("times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return rows.select(*[c for c in docs.columns if c in rows.columns])
+    own = docs.select(*[F.col(c).alias(f"own_{c}") for c in docs.columns])
+    names = {k: f"own_{how.pop(k, v)}" for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    rows = mix(own, **names, **how).where("times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return rows.select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])

@@ -74,8 +74,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def mix_sql(rounds: int = mixing.ROUNDS) -> str:
+    """SQL of the mix: targets by weight, then as many cuts of the last epoch as `mixing` makes."""
+    out = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+        s AS (SELECT source, CAST(sum(n) AS BIGINT) AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+        b AS (SELECT *, coalesce(sum(3 * size) OVER (ORDER BY 3 * size * (6 // w), source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                     sum(w) OVER (ORDER BY 3 * size * (6 // w), source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after, sum(size) OVER () AS total FROM s),
+        f AS (SELECT *, 3 * size * after <= (total - before) * w AS is_full FROM b),
+        o AS (SELECT total - before AS rest, after AS weights FROM f WHERE NOT is_full ORDER BY after DESC LIMIT 1),
+        t AS (SELECT source, size, CASE WHEN is_full THEN CAST(3 * size AS DOUBLE) ELSE CAST(w * (SELECT rest FROM o) AS DOUBLE) / (SELECT weights FROM o) END AS target FROM f),
+        e AS (SELECT *, CASE WHEN size > 0 THEN CAST(floor(target / size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+        c0 AS (SELECT d.*, e.size AS source_size, target, epochs, CAST(floor(target) AS BIGINT) - epochs * e.size AS rest, false AS taken FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)"""
+    for i in range(rounds):
+        out += f""",
+        w{i} AS (SELECT *, CASE WHEN NOT taken AND n > 0 AND n <= rest THEN sum(CASE WHEN NOT taken AND n > 0 AND n <= rest THEN n END) OVER (PARTITION BY source ORDER BY k, doc_id, n ROWS UNBOUNDED PRECEDING) END AS words FROM c{i}),
+        c{i + 1} AS (SELECT doc_id, source, n, k, source_size, target, epochs, rest - coalesce(max(CASE WHEN words <= rest THEN words END) OVER (PARTITION BY source), 0) AS rest, taken OR coalesce(words <= rest, false) AS taken FROM w{i})"""
+    return out + f" SELECT doc_id, n AS size, source_size, target, n * (epochs + CAST(taken AS INTEGER)) AS taken FROM c{rounds}"
+
+
 #: DuckDB SQL by query. Extraction, the labels of the license templates and shuffled slots have none; tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
+    "op3_mix_sources": mix_sql(),
     "op2_vector_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
