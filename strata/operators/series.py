@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 
 def headers(points: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a series: extents, number of points, of points with y and with k, and whether k is there for all, some or none."""
+    """One row a series: extents, number of points, of points with y and with k, and the status of k."""
     out = points.groupBy(*keys).agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.count(F.lit(1)).alias("n_points"), F.count("y").alias("n_y"), F.count("k").alias("n_k"))
     return out.withColumn("k_status", k_status(F.col("n_points"), F.col("n_k")))
 
 
 def k_status(rows: Column, with_k: Column) -> Column:
-    return F.when(with_k == 0, "none").when(with_k == rows, "all").otherwise("some")
+    """Of one dataset: k on every row, on none or on some; a missing k is never zero."""
+    return F.when(with_k == rows, "measured").when(with_k == 0, "not_measured").otherwise("partially_measured")
+
+
+def material_k_status(datasets: DataFrame, key: str) -> DataFrame:
+    """(key, k_status) over a material's datasets: measured, or not, only where all of them are."""
+    every = lambda v: F.bool_and(F.col("k_status") == v)
+    return datasets.groupBy(key).agg(F.when(every("measured"), "measured").when(every("not_measured"), "not_measured").otherwise("partially_measured").alias("k_status"))
 
 
 def first_per_x(points: DataFrame, keys: list[str], order: str = "record") -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import describe
+from strata.operators import evidence
 from strata.operators.rules import Rule, first_reason
 from strata.plans.records import _stream, scratch
 from strata.plans.registry import bind, query
+from strata.sources import release
 from strata.streaming import ingest
 
 # fixed values: keys, units, direction and required context of the registry
@@ -132,3 +134,27 @@ def stream_validity(spark: SparkSession, d: str) -> DataFrame:
     windows = spark.range(1, 4).select(F.col("id").alias("calibration"), day("2024-01-10").alias("begins"), day("2024-01-20").alias("ends"))
     ingest.check_validity(stream, windows).select("record", "state").writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size > 5 THEN 'measured' ELSE 'absent' END AS kind, CASE WHEN p_size > 5 THEN 'label' WHEN p_size > 2 THEN 'gas' ELSE 'no density is recorded and no reason is given' END AS reason, CASE WHEN p_partkey % 3 = 0 THEN 'model_fit' ELSE 'measured' END AS dataset, CASE p_partkey % 4 WHEN 0 THEN 'agrees_with' WHEN 1 THEN 'partly_agrees_with' WHEN 2 THEN 'disagrees_with' END AS relation, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'unknown' END AS independent FROM {part}""")
+def evidence_kinds(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    density = evidence.density_evidence(F.lit("measured"), F.lit("label"), size > 5, F.when(size > 2, "gas"))
+    compared = F.element_at(F.array(*map(F.lit, ["excellent", "warning", "suspicious", "odd"])), (k % 4 + 1).cast("int"))
+    return bind(spark, d, "part").select(
+        k.alias("id"), density["kind"].alias("kind"), density["reason"].alias("reason"), evidence.dataset_kind(F.when(k % 3 == 0, "fit of a model")).alias("dataset"), evidence.validation_relation(compared).alias("relation"),
+        evidence.independence_value(F.when(k % 2 == 0, "determined").otherwise("unknown"), size).alias("independent"),
+    )
+
+
+@query("""SELECT p_partkey AS entity, phase FROM (SELECT p_partkey, unnest(list_filter(['small', 'large', 'red'], lambda x: contains(' ' || lower(p_name) || ' ', ' ' || x || ' '))) AS phase FROM {part}) WHERE NOT (p_partkey % 2 = 0 AND phase = 'red')""")
+def uncarried_phases(spark: SparkSession, d: str) -> DataFrame:
+    names = bind(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"))
+    return evidence.uncarried_phases(names, names.where("entity % 2 = 0").select("entity", F.lit("Red").alias("phase")), ["small", "large", "red"])
+
+
+@query("""SELECT * FROM (VALUES ('reg', 'reg', NULL), ('box', 'boxes', NULL), ('none', NULL, 'fits no family'), ('nation', NULL, 'fits several families')) AS v(gap, family, error) WHERE (SELECT count(*) FROM {region}) > 0""")
+def gap_families(spark: SparkSession, d: str) -> DataFrame:
+    gaps = spark.createDataFrame([("reg",), ("box",), ("none",), ("nation",)], "gap string")
+    families = bind(spark, d, "region").select(F.explode(F.array(*map(F.lit, ["reg", "boxes", "nation", "nations"]))).alias("family"))
+    return release.gap_families(gaps, families)

@@ -11,11 +11,17 @@ from strata.plans.registry import bind, query
 S = ["material", "tag"]
 
 
-@query("""SELECT material, tag, min(x) AS x_min, max(x) AS x_max, count(*) AS n_points, count(y) AS n_y, count(k) AS n_k, CASE WHEN count(k) = 0 THEN 'none' WHEN count(k) = count(*) THEN 'all' ELSE 'some' END AS k_status FROM {points} GROUP BY material, tag""")
+@query("""SELECT material, tag, min(x) AS x_min, max(x) AS x_max, count(*) AS n_points, count(y) AS n_y, count(k) AS n_k, CASE WHEN count(k) = count(*) THEN 'measured' WHEN count(k) = 0 THEN 'not_measured' ELSE 'partially_measured' END AS k_status FROM {points} GROUP BY material, tag""")
 def series_headers(spark: SparkSession, d: str) -> DataFrame:
     return series.headers(bind(spark, d, "points"), S)
 
 
+@query("""WITH h AS (SELECT material, source, CASE WHEN count(k) = count(*) THEN 'measured' WHEN count(k) = 0 THEN 'not_measured' ELSE 'partially_measured' END AS s FROM {points} GROUP BY ALL)
+    SELECT material, CASE WHEN bool_and(s = 'measured') THEN 'measured' WHEN bool_and(s = 'not_measured') THEN 'not_measured' ELSE 'partially_measured' END AS k_status FROM h GROUP BY material""")
+def material_k_status(spark: SparkSession, d: str) -> DataFrame:
+    return series.material_k_status(series.headers(bind(spark, d, "points"), ["material", "source"]), "material")
+
+
 @query("""SELECT material, tag, x, record, repeats FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY material, tag, x) - 1 AS repeats FROM {points} WINDOW w AS (PARTITION BY material, tag, x ORDER BY record)) WHERE n = 1""")
 def first_per_x(spark: SparkSession, d: str) -> DataFrame:
     return series.first_per_x(bind(spark, d, "points"), S).select(*S, "x", "record", "repeats")

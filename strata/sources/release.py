@@ -82,3 +82,33 @@ def write_results(results: DataFrame, path: str) -> None:
 def write_index(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def family_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the CSV files of a folder as the strings they are, with the file's name without suffix as `family`."""
+    rows = spark.read.option("header", True).csv(f"{path}/*.csv")
+    return rows.withColumn("family", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+
+
+def gap_families(gaps: DataFrame, families: DataFrame) -> DataFrame:
+    """(gap, family, error) of gap lists, whose names are singular: each must fit exactly one family."""
+    forms = gaps.select("gap", F.explode(F.array("gap", F.concat("gap", F.lit("s")), F.concat("gap", F.lit("es")))).alias("family"))
+    met = forms.join(families.select("family").distinct(), "family").groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family"))
+    out = gaps.select("gap").join(met, "gap", "left")
+    return out.select("gap", F.when(F.col("n") == 1, F.col("family")).alias("family"), F.when(F.col("n").isNull(), "fits no family").when(F.col("n") > 1, "fits several families").alias("error"))
+
+
+def export_nk(n: DataFrame, k: DataFrame, path: str, *, most: int = 400) -> None:
+    """Writes (series, x, n, k) as CSV: k joined by x, a missing one left blank, every so many points so that `most` remain."""
+    from strata.operators.series import stride_sample
+
+    rows = n.select("series", "x", F.col("y").alias("n")).join(k.select("series", "x", F.col("y").alias("k")), ["series", "x"], "left")
+    stride_sample(rows, ["series"], ["x"], most).write.option("header", True).csv(path)
+
+
+def append_log(outcomes: DataFrame, path: str) -> None:
+    outcomes.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)

@@ -107,3 +107,16 @@ def test_cache_computes_each_miss_once(spark):
     out, fresh = state.cached_or_computed(items, cache, "key", compute)
     assert sorted(seen) == ["b", "c"] and [tuple(r) for r in fresh.collect()] == [("b", 2)]
     assert sorted((r.key, r.result, r.hit) for r in out.collect() if r.key != "c") == [("a", 1, True), ("b", 2, False), ("b", 2, False)]
+
+
+def test_family_tables_and_logs(spark, tmp_path):
+    (tmp_path / "liquids.csv").write_text("name,rho\nwater,1.0\n")
+    (tmp_path / "metals.csv").write_text("name,rho\ngold,19.3\n")
+    assert {(r.family, r.name, r.rho) for r in release.family_tables(spark, str(tmp_path)).collect()} == {("liquids", "water", "1.0"), ("metals", "gold", "19.3")}
+    for n in (1, 2):
+        release.append_log(spark.createDataFrame([(f"p{n}", n / 2)], "policy string, score double"), f"{tmp_path}/log")
+    assert sorted(tuple(r) for r in release.read_log(spark, f"{tmp_path}/log", "policy string, score double").collect()) == [("p1", 0.5), ("p2", 1.0)]
+    n = spark.createDataFrame([("s", float(i), 1.5) for i in range(10)], "series string, x double, y double")
+    release.export_nk(n, n.where("x < 3").withColumn("y", F.lit(0.1)), f"{tmp_path}/nk", most=5)
+    got = spark.read.option("header", True).csv(f"{tmp_path}/nk").collect()
+    assert len(got) == 5 and {r.k for r in got} == {"0.1", None}
