@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import BROADCAST_IDS, checkpoint, join_skewed
 
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_000
 SPACES = r"\x20\x09-\x0D"
 #: The weights of sources in order, repeating.
 WEIGHTS = (1, 2, 3)
