@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Claims of a field beyond which its pairs are dealt to blocks, and how many of the commonest fields can be (a fixed number, broadcast).
+FIELD_BLOCK, HOT_FIELDS = 2_000, 256
+
 
 def validity(records: DataFrame, windows: DataFrame) -> DataFrame:
     """Records (calibration, at) with the state of their calibration's window (calibration, begins, ends): valid, expired, not begun, no window or unknown calibration."""
@@ -26,11 +29,17 @@ def contradictions(claims: DataFrame, *, fraction: float = 0.10, context: tuple[
     """(field, left, right, spread, differs): pairs of claims of one field from different pages whose values differ.
 
     Blank units compare with any; `differs` names the context fields in which the two differ. The join is on the field
-    and on rungs of the value's logarithm apart, so it meets only what can be compared; every pair found is a finding.
+    and, for the commonest fields, on blocks of its claims: each left claim is in one block, each right claim in all, so
+    a pair meets once and no task gets a whole hot field. Every pair found is a finding, and their number grows with the
+    square of a field's claims.
     """
     side = lambda p: claims.where("value IS NOT NULL").select(*[F.col(c).alias(f"{p}_{c}") for c in ("claim", "field", "document", "page", "value", "units", *context)])
-    a, b = side("a"), side("b")
-    pairs = a.join(b, (F.col("a_field") == F.col("b_field")) & (F.col("a_claim") < F.col("b_claim")))
+    sizes = claims.where("value IS NOT NULL AND field IS NOT NULL").groupBy("field").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FIELD_BLOCK)
+    hot = F.broadcast(sizes.orderBy(F.desc("_n"), "field").limit(HOT_FIELDS).select(F.col("field").alias("_field"), F.ceil(F.col("_n") / FIELD_BLOCK).cast("int").alias("_blocks")))
+    cut = lambda df, p: df.join(hot, F.col(f"{p}_field") == F.col("_field"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).drop("_field")
+    a = cut(side("a"), "a").withColumn("_block", F.pmod(F.xxhash64("a_claim"), F.col("_blocks")).cast("int")).drop("_blocks")
+    b = cut(side("b"), "b").withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    pairs = a.join(b, (F.col("a_field") == F.col("b_field")) & (F.col("_block") == F.col("b_block")) & (F.col("a_claim") < F.col("b_claim")))
     middle = (F.col("a_value") + F.col("b_value")) / 2
     spread = F.when(middle != 0, F.abs(F.col("a_value") - F.col("b_value")) / F.abs(middle))
     unit = lambda p: F.lower(F.trim(F.coalesce(f"{p}_units", F.lit(""))))
