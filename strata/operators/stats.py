@@ -29,16 +29,27 @@ def correlation_cells(cases: DataFrame) -> DataFrame:
     return out.select("x_key", "y_key", "n", F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("c") / (F.col("sx") * F.col("sy"))).alias("r"))
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank with the mean rank for ties."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
+def average_rank(cases: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
+    """(by, value, rank): the rank of every different value, with the mean rank for ties.
+
+    Values are counted first and cut into ranges; a range starts after the sum of the counts before it, so no task gets
+    a whole group. The ranges are checkpointed, since each has to stay what it is for both of its uses.
+    """
+    counts = cases.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()).checkpoint()
+    totals = ranges.groupBy(*by, "_range").agg(F.sum("_n").alias("_total"))  # a row a group and range
+    before = lambda x: F.coalesce(x, F.lit(0))
+    starts = totals.select(*by, "_range", before(F.sum("_total").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).alias("_start"))
+    here = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("_before", before(F.sum("_n").over(here))).join(F.broadcast(starts), [*by, "_range"])
+    return placed.select(*by, value, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(rank))
 
 
 def rank_cases(cases: DataFrame) -> DataFrame:
     """The cases with ranks within each pair's own complete cases in place of values."""
     by = ["x_key", "y_key"]
-    return cases.select(*by, "id", average_rank(by, "x").alias("x"), average_rank(by, "y").alias("y"))
+    ranked = cases.join(average_rank(cases, by, "x", "_x"), [*by, "x"]).join(average_rank(cases, by, "y", "_y"), [*by, "y"])
+    return ranked.select(*by, "id", F.col("_x").alias("x"), F.col("_y").alias("y"))
 
 
 def fdr(cells: DataFrame, p: str, block: list[str], tie: list[str]) -> DataFrame:

@@ -199,7 +199,7 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def perm_pvalue(spark: SparkSession, d: str) -> DataFrame:
-    return stats.permutation_p(_cases(spark, d), permutations=1000)
+    return stats.permutation_p(_cases(spark, d))
 
 
 @query("""SELECT o_orderkey AS id, o_custkey AS key, CASE WHEN n < 2 THEN 'fewer than two values' WHEN sd = 0 THEN 'no variance' END AS refused, CASE WHEN n >= 2 AND sd > 0 THEN round((o_totalprice - m) / sd, 5) END AS z
