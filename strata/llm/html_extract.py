@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page's tags become a tree. Paragraphs give points for their length and commas to their ancestors, fewer the farther
-up, and containers lose points in proportion to the text that stands in links. The best container is kept with those
-siblings that score near it; menus, adverts, forms and the like inside it are left out by tag, role and class name.
+up, and containers lose points in proportion to the text that stands in links. An article is kept with its sibling
+articles; without one, the best container is kept with all that stands beside it and its ancestors, but blocks that are
+mostly links. Menus, adverts, forms and the like are left out by tag, role and class name.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z]
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
-#: Points of a paragraph: one, one a comma, one a hundred characters up to LONGEST; a sibling stays from this share of the best score.
-LONGEST, SIBLING = 3, 0.2
+#: Points of a paragraph: one, one a comma, one a hundred characters up to LONGEST; what stands beside the best container is a menu from this share of text in links.
+LONGEST, LINKS = 3, 0.5
 COMMAS = re.compile("[,،、，]")
 
 
@@ -165,25 +166,41 @@ def extract_text(page: str | None) -> str:
                 score[up] = score.get(up, 0.0) + points * share
                 up, share = up.parent, 1 / (2 * far)
     fair = {x: s * (1 - linked[x] / max(1, length[x])) * (1.5 if x.tag in ("article", "main") else 1.0) for x, s in score.items() if not x.out and x in length}
-    if not fair:
-        return ""
+    if not fair:  # nothing stands in a container
+        return "\n".join(_blocks(root))
     best = max(fair, key=lambda x: fair[x])  # the first in post-order of equals: the inmost
     article = best.parent
     while article is not None and article.tag not in ("article", "main"):
         article = article.parent
     best = article if article is not None and not article.out else best
-    up = best.parent
-    kept = [best]
-    if up is not None and best.tag not in ("body", "html"):
-        least = max(10.0, SIBLING * fair.get(best, 0.0))
-        for x in up.children:
-            if x is best or isinstance(x, str) or x.out:
+    if best.tag in ("article", "main"):
+        beside = best.parent.children if best.parent is not None and best.tag == "article" else [best]
+        kept = [x for x in beside if x is best or (not isinstance(x, str) and x.tag == "article" and not x.out and linked[x] < LINKS * max(1, length[x]))]
+        return "\n".join(b for x in kept for b in _blocks(x))
+    at = best
+    while at.parent is not None:
+        runs = _runs(at.parent, at)
+        for run in runs:
+            if at in run:
                 continue
-            dense = linked[x] / max(1, length[x])
-            if (x.tag == best.tag and x.tag in ("article", "section", "div") and fair.get(x, 0.0) >= least) or (x.tag in PARAGRAPHS and best.tag not in ("article", "main") and length[x] > 80 and dense < 0.25):
-                kept.append(x)
-        kept = [x for x in up.children if x in kept]
-    return "\n".join(b for x in kept for b in _blocks(x))
+            text = sum(len(x.strip()) if isinstance(x, str) else length[x] for x in run)
+            if text and sum(linked[x] for x in run if not isinstance(x, str)) >= LINKS * text:
+                run.clear()
+        at.parent.children = [x for run in runs for x in run]
+        at = at.parent
+    return "\n".join(_blocks(at))
+
+
+def _runs(node: _Node, inside: _Node) -> list[list[_Node | str]]:
+    """The children of a node as they are set: `inside` and each block alone, text and inline tags between them together."""
+    runs: list[list[_Node | str]] = [[]]
+    for x in node.children:
+        if isinstance(x, str) or (x is not inside and x.tag not in BLOCKS):
+            if isinstance(x, str) or not x.out:
+                runs[-1].append(x)
+        elif not x.out:
+            runs += [[x], []]
+    return runs
 
 
 def _blocks(top: _Node) -> list[str]:
