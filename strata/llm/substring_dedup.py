@@ -121,11 +121,12 @@ def _regions(window: int, hot: frozenset[int]):
             for lo, hi in pieces(offsets, 1 << 20):
                 row, first, last, h = words(data, offsets[lo : hi + 1], SPACE_WORDS)
                 starts, at, g = _least(h, row, window)
-                begins = np.searchsorted(row, np.arange(hi - lo))
+                begins = np.searchsorted(row, np.arange(hi - lo + 1))
                 base = int(offsets[lo])
                 wanted = np.zeros(len(h), bool)
                 for i in range(hi - lo):
-                    wanted[begins[i] + places[lo + i].values.to_numpy()] = True
+                    own = begins[i] + places[lo + i].values.to_numpy()
+                    wanted[own[own < begins[i + 1]]] = True  # places are of an id: those of its longer texts may lie beyond this one, others only add windows to look for
                 keep = wanted[at]
                 starts, at = starts[keep], at[keep]
                 if not len(at):
