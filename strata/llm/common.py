@@ -149,6 +149,12 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
+def text_keys(ids: list[int | None], start: int) -> np.ndarray:
+    """Shuffle keys of text rows that go with other keys: from the id and the row's number in its task, so that copies and rows without an id are dealt apart."""
+    known = np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64)
+    return signed(mix(mix(known + np.uint64(0x9E3779B97F4A7C15)) + np.arange(start, start + len(ids), dtype=np.uint64)))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 16 MB, so that long texts don't add up in a Python worker; a setting of the user's stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2**31 - 1), str(2**63 - 1), "-1"):

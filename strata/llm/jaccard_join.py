@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE_WORDS_LOWER, bounded_batches, buffers, checkpoint, components, few, grams, join_skewed, mix, pieces, signed, words
+from strata.llm.common import SPACE_WORDS_LOWER, bounded_batches, buffers, checkpoint, components, few, grams, join_skewed, mix, pieces, signed, text_keys, words
 
 #: Keys that a task gathers before it folds them and writes them out; shingles of a group that one task compares.
 FOLD_KEYS = 1 << 21
@@ -123,7 +123,7 @@ def _sketch(k: int, rule: Rule):
         ids: list[int] = []
         sizes: list[int] = []
         keys: list[np.ndarray] = []
-        held = 0
+        held = made = 0
 
         def fold() -> Iterator[pa.RecordBatch]:
             key, least, a, b = _fold(ids, sizes, keys)
@@ -151,7 +151,8 @@ def _sketch(k: int, rule: Rule):
                     yield from fold()
                     ids, sizes, keys, held = [], [], [], 0
             if digests:
-                yield _rows(np.array([int.from_bytes(x[8:16], "little", signed=True) for x in digests], np.int64), who, digests)
+                yield _rows(text_keys(who, made), who, digests)
+                made += len(digests)
         if held:
             yield from fold()
 

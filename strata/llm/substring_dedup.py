@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import HOT_KEYS, SPACE_WORDS, bounded_batches, buffers, checkpoint, few, grams, join_skewed, mix, pieces, signed, words
+from strata.llm.common import HOT_KEYS, SPACE_WORDS, bounded_batches, buffers, checkpoint, few, grams, join_skewed, mix, pieces, signed, text_keys, words
 
 GRAM = 10
 #: k-grams that a task gathers before it folds them; region words of a shard; regions of one k-gram beyond which they are dealt window by window.
@@ -50,7 +50,7 @@ def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seen: dict[bytes, int] = {}
-        size = 0
+        size = made = 0
 
         def rows(key, ident, place, aux=None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ident, pa.int64()), pa.array(place, pa.int64()), pa.array(aux, pa.binary()) if aux is not None else pa.nulls(len(key), pa.binary())], ["key", "id", "place", "aux"])
@@ -75,7 +75,8 @@ def _anchors(window: int):
                 aux.append(len(own).to_bytes(8, "little") + th.to_bytes(8, "little", signed=True) + hashlib.sha256(b" ".join(own)).digest())
             if not aux:
                 continue
-            yield rows([int.from_bytes(x[16:24], "little", signed=True) for x in aux], who, np.zeros(len(aux), np.int64), aux)
+            yield rows(text_keys(who, made), who, np.zeros(len(aux), np.int64), aux)
+            made += len(aux)
             skip = np.zeros(len(aux), bool)
             for i, (ident, x) in enumerate(zip(who, aux, strict=True)):
                 skip[i] = ident is None or seen.get(x[16:], ident) < ident  # an equal text of a smaller id has the same
