@@ -161,11 +161,22 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of spark.checkpoint.dir, which executors share; a temporary folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local session may do without: it gets one of its own."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(root)
+    if not root and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return root or sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the folder of spark.checkpoint.dir, which executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
