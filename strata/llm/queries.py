@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.common import checkpoint
 from strata.llm import decontaminate, html_extract, jaccard_join, language_id, license_scan, mixing, sharding, substring_dedup, vector_topk, warc
 
 
@@ -23,7 +24,10 @@ def op2_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents")
+    key = F.when(F.col("doc_id").isNull(), F.col("text"))  # only a row without an id has its key from its text
+    docs = checkpoint(docs.select("doc_id", "source", key.alias("text"), mixing.word_count("text").alias("n")))
+    rows = mixing.mix(docs, size=F.col("n"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
@@ -74,9 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-def mix_sql(rounds: int = mixing.ROUNDS) -> str:
-    """SQL of the mix: targets by weight, then as many cuts of the last epoch as `mixing` makes."""
-    out = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+#: Rounds that the SQL of the mix has; more than the operator makes on any table it is held against.
+SQL_ROUNDS = 12
+
+
+def mix_sql(rounds: int = SQL_ROUNDS) -> str:
+    """SQL of the mix: targets by weight, cuts of the last epoch until a source is near or nothing fits, then the one document that brings it nearest."""
+    out = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k FROM documents),
         s AS (SELECT source, CAST(sum(n) AS BIGINT) AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
         b AS (SELECT *, coalesce(sum(3 * size) OVER (ORDER BY 3 * size * (6 // w), source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
                      sum(w) OVER (ORDER BY 3 * size * (6 // w), source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after, sum(size) OVER () AS total FROM s),
@@ -84,23 +92,28 @@ def mix_sql(rounds: int = mixing.ROUNDS) -> str:
         o AS (SELECT total - before AS rest, after AS weights FROM f WHERE NOT is_full ORDER BY after DESC LIMIT 1),
         t AS (SELECT source, size, CASE WHEN is_full THEN CAST(3 * size AS DOUBLE) ELSE CAST(w * (SELECT rest FROM o) AS DOUBLE) / (SELECT weights FROM o) END AS target FROM f),
         e AS (SELECT *, CASE WHEN size > 0 THEN CAST(floor(target / size) AS BIGINT) ELSE 0 END AS epochs FROM t),
-        c0 AS (SELECT d.*, e.size AS source_size, target, epochs, CAST(floor(target) AS BIGINT) - epochs * e.size AS rest, false AS taken FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)"""
+        c0 AS (SELECT d.*, e.size AS source_size, target, epochs, CAST(floor(target) AS BIGINT) - epochs * e.size AS rest, false AS taken, true AS still FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)"""
     for i in range(rounds):
         out += f""",
-        w{i} AS (SELECT *, CASE WHEN NOT taken AND n > 0 AND n <= rest THEN sum(CASE WHEN NOT taken AND n > 0 AND n <= rest THEN n END) OVER (PARTITION BY source ORDER BY k, doc_id, n ROWS UNBOUNDED PRECEDING) END AS words FROM c{i}),
-        c{i + 1} AS (SELECT doc_id, source, n, k, source_size, target, epochs, rest - coalesce(max(CASE WHEN words <= rest THEN words END) OVER (PARTITION BY source), 0) AS rest, taken OR coalesce(words <= rest, false) AS taken FROM w{i})"""
-    return out + f" SELECT doc_id, n AS size, source_size, target, n * (epochs + CAST(taken AS INTEGER)) AS taken FROM c{rounds}"
+        w{i} AS (SELECT *, still AND NOT taken AND n > 0 AND n <= rest AS fits, CASE WHEN fits THEN sum(CASE WHEN fits THEN n END) OVER (PARTITION BY source ORDER BY k, doc_id, n) END AS words FROM c{i}),
+        x{i} AS (SELECT *, max(CASE WHEN words <= rest THEN words END) OVER (PARTITION BY source) AS most FROM w{i}),
+        c{i + 1} AS (SELECT doc_id, source, n, k, source_size, target, epochs, rest - coalesce(most, 0) AS rest, taken OR coalesce(words <= rest, false) AS taken, still AND most IS NOT NULL AND (rest - coalesce(most, 0)) * {mixing.NEAR} > target AS still FROM x{i})"""
+    return out + f""",
+        g AS (SELECT source, k, doc_id, n, sum(n) AS m, max(rest) AS rest FROM c{rounds} WHERE NOT taken AND n > 0 AND epochs < 3 GROUP BY ALL),
+        l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(m - rest), k, doc_id, n) AS place FROM g WHERE m < 2 * rest) WHERE place = 1)
+        SELECT c.doc_id, c.n AS size, source_size, target, c.n * (epochs + CAST(taken OR l.k IS NOT NULL AS INTEGER)) AS taken
+        FROM c{rounds} c LEFT JOIN l ON c.source IS NOT DISTINCT FROM l.source AND c.k = l.k AND c.doc_id IS NOT DISTINCT FROM l.doc_id AND c.n = l.n"""
 
 
 #: DuckDB SQL by query. Extraction, the labels of the license templates and shuffled slots have none; tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mix_sql(),
     "op2_vector_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
-        p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-              FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
-        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+        p AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, c.r, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r) AS INTEGER) AS rank FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
