@@ -263,17 +263,45 @@ def _link(k: int, rule: Rule):
     return run
 
 
+def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """((id, text), node numbers): ids that several texts share give each text a number beyond all ids; None where there are none.
+
+    Node numbers are (id, text_hash, node, place): place 0 is the text that keeps the id, the one of the least hash.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    hashed = rows.where("id IS NOT NULL").select("id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))
+    several = checkpoint(hashed.groupBy("id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("_most")).where("least <> _most").select("id", "least"))
+    if several.isEmpty():
+        return rows, None
+    top = hashed.agg(F.max("id")).first()[0]
+    pairs = hashed.join(F.broadcast(several) if few(several) else several, "id").groupBy("id", "text_hash").agg(F.min("least").alias("least"))
+    numbers = checkpoint(pairs.where("text_hash <> least").select("id", "text_hash", F.monotonically_increasing_id().alias("n")))
+    if numbers.agg(F.max("n")).first()[0] + top + 1 >= 1 << 63:
+        raise ValueError("ids that several texts share need numbers beyond the largest id, which no long holds")
+    numbers = numbers.select("id", "text_hash", (F.col("n") + F.lit(top + 1)).alias("node"))
+    key = F.struct("id", "text_hash")
+    tagged = rows.withColumn("_key", F.struct("id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")))
+    table = numbers.select(key.alias("_key"), "node")
+    tagged = tagged.join(F.broadcast(table), "_key", "left") if few(table) else join_skewed(checkpoint(tagged), table, "_key")
+    return tagged.select(F.coalesce("node", "id").alias("id"), "text"), numbers
+
+
 def classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: component_id is the smallest id that links reach.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, a set holds the distinct shingles of k words, and two link when
     den * intersection >= num * union. A text of fewer words is one shingle; one without words, or null, links with
-    nothing and is its own component. A null id links with nothing (component_id null). Rows that repeat an id are one
-    node: what any of them links to, all reach.
+    nothing and is its own component. A null id links with nothing (component_id null). Rows that repeat an id and a
+    text are one document; rows that repeat an id with other texts are documents of their own. An empty table gives no rows.
     """
+    return members(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def members(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`classes` with text_hash and leads: whether the row is of the document that stands for its component, of the smallest id and then the least text hash."""
     rule = Rule(num, den)
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    source, numbers = _nodes(docs, id_col, text_col)
     rows = source.mapInArrow(_sketch(k, rule), "key bigint, id bigint, aux binary")
     before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
     rows = checkpoint(rows.withColumn("other", F.when(F.col("aux").isNull(), before)).where(F.col("aux").isNotNull() | (F.col("other") != F.col("id"))))
@@ -283,19 +311,53 @@ def classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_co
     texts = checkpoint(join_skewed(texts, checkpoint(known), "digest"))
     near = rows.where(F.col("aux").isNull()).select(F.col("id").alias("u"), F.col("other").alias("v"))
     near = near.union(rows.where(F.length("aux") == 8).select(F.col("id").alias("u"), _number(F.col("aux")).alias("v")))
-    by_id = texts.where("member IS NOT NULL").groupBy("id")
-    member = checkpoint(by_id.agg(F.when(F.bool_or(F.col("member") == F.col("id")), F.col("id")).otherwise(F.min("member")).alias("member"), (F.min("member") != F.max("member")).alias("several")))
-    repeated = texts.join(member.where("several").select("id", F.col("member").alias("u")), "id").select("u", F.col("member").alias("v")).where("u <> v")
-    member = member.drop("several")
+    member = checkpoint(texts.where("member IS NOT NULL").groupBy("id").agg(F.min("member").alias("member")))
     to = lambda df, c: df.join(member.withColumnRenamed("id", c), c).drop(c).withColumnRenamed("member", c)
     near = to(to(near.distinct(), "u"), "v").where("u <> v").distinct()
     candidates = checkpoint(components(near))
     links = _links(source, candidates, texts, k, rule)
-    links = links.union(repeated)
     found = checkpoint(components(links)).withColumnRenamed("node", "member")
     out = join_skewed(texts, found, "member") if not few(found.select("member")) else texts.join(F.broadcast(found), "member", "left")
     whole = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "member")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), whole.alias("component_id"))
+    out = out.select("id", F.col("n").alias("n_shingles"), whole.alias("component"))
+    if numbers is None:
+        return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.lit(None).cast("bigint").alias("text_hash"), F.col("id").eqNullSafe(F.col("component")).alias("leads"))
+    # a number stands for an id and a text: the leader of a component is the least of those, not the least number
+    out = checkpoint(out)
+    real = lambda df, c, to: df.join(numbers.select(F.col("node").alias(c), F.col("id").alias(f"_{to}"), F.col("text_hash").alias(f"{to}_hash")), c, "left").withColumn(to, F.coalesce(f"_{to}", c)).drop(f"_{to}")
+    ids = real(out.select("id", "n_shingles", "component"), "id", "doc_id")
+    first = ids.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    ids = join_skewed(checkpoint(ids), checkpoint(first), "component")
+    return ids.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "component").alias("component_id"), F.col("doc_id_hash").alias("text_hash"), F.col("id").eqNullSafe(F.coalesce("first.id", "component")).alias("leads"))
+
+
+def representatives(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents but those that stand behind another of their class: one document of each class stays, whole.
+
+    Of a class that of the smallest id stays, of rows that repeat an id and a text one. Texts that share an id but don't
+    link all stay; so do rows without an id, which link with nothing.
+    """
+    found = checkpoint(members(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col))
+    numbered = F.coalesce(F.xxhash64(text_col), F.lit(0))
+    behind = found.where("doc_id IS NOT NULL AND NOT leads")
+    plain = behind.where("text_hash IS NULL").select(F.col("doc_id").alias("_id")).distinct()
+    # an id that several texts share: one of them has its id for a number, the others are told by their hash
+    shared = checkpoint(found.where("text_hash IS NOT NULL").select("doc_id").distinct())
+    if not shared.isEmpty():
+        hashes = shared.join(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), numbered.alias("_hash")).distinct(), "doc_id")
+        least = hashes.groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
+        first = least.join(behind.where("text_hash IS NULL").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("_id"), "_hash")
+        gone = checkpoint(first.unionByName(behind.where("text_hash IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()))
+        plain = plain.join(shared.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+        docs = docs.join(F.broadcast(gone) if few(gone) else gone, F.col(id_col).eqNullSafe(F.col("_id")) & (numbered == F.col("_hash")), "left_anti")
+    docs = docs.join(F.broadcast(plain) if few(plain) else plain, F.col(id_col) == F.col("_id"), "left_anti")
+    again = found.where("doc_id IS NOT NULL AND leads").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id").distinct()
+    again = checkpoint(again.withColumnRenamed("doc_id", "_id"))
+    if again.isEmpty():
+        return docs
+    held = F.broadcast(again) if few(again) else again
+    repeated = docs.join(held, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_hash", numbered)
+    return docs.join(held, F.col(id_col) == F.col("_id"), "left_anti").unionByName(repeated.dropDuplicates([id_col, "_hash"]).drop("_hash"))
 
 
 def _number(eight: F.Column) -> F.Column:

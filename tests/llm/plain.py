@@ -39,26 +39,26 @@ def documents(spark, rows=None):
 
 
 def classes(rows, k, num, den):
-    sets = []
+    """(id, size, component) of each row; a row is told by its id and text."""
+    sets = {}
     for i, t in rows:
         w = SPACE.findall(low(t))
-        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())))
-    root = {i: i for i, _ in sets}
+        sets[i, t] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    nodes = [n for n in sets if n[0] is not None and sets[n]]
+    root = {n: n for n in nodes}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for n, (i, s) in enumerate(sets):
-        for j, u in sets[:n]:
-            if i is None or j is None or not s or not u:
-                continue
-            both = len(s & u)
-            if den * both >= num * (len(s) + len(u) - both):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [(i, len(s), find(i) if s and i is not None else i) for i, s in sets]
+    for n, a in enumerate(nodes):
+        for b in nodes[:n]:
+            both = len(sets[a] & sets[b])
+            if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [(i, len(sets[i, t]), find((i, t))[0] if (i, t) in root else i) for i, t in rows]
 
 
 def deduped(rows, n=20):
