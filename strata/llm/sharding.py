@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import checkpoint
+from strata.llm.common import BROADCAST_IDS, checkpoint
 
 BUCKET_BYTES = 16 << 20
+#: Bytes that a task of the second pass reads, in whole buckets: the more data, the more tasks.
+TASK_BYTES = 128 << 20
 ROW_BYTES = 8
 
 
@@ -47,26 +49,29 @@ def shard(docs: DataFrame, *, shards: int = 24, seed: int = 17, id_col: str = "d
     """The documents with shard, slot, grown_shard, size, text_crc32 and law, in the order of their shards' slots within a task.
 
     The law is `key`: the id and the number of shards decide, and grown_shard, the shard among one more, is the same
-    or the new one. Slots are gapless from 0 in each shard. Null ids share a shard; null and empty texts are
-    ROW_BYTES long; rows that repeat an id go together; reruns agree. Columns of these names are replaced.
+    or the new one. Slots are gapless from 0 in each shard. Null ids share a shard, rows that repeat an id share theirs,
+    and are dealt to its buckets by all their columns: only whole copies of a row share a bucket. Null and empty texts
+    are ROW_BYTES long; reruns agree. Columns of these names are replaced. An empty table gives no rows.
     """
     names = ["shard", "slot", "grown_shard", "size", "text_crc32", "law"]
     own = [c for c in docs.columns if c not in names]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*own).withColumns({"_id": F.col(id_col).cast("bigint"), "size": (F.octet_length(text) + ROW_BYTES).cast("bigint")})
+    plain = lambda c: F.to_json(F.struct(c)) if "map" in docs.schema[c].dataType.simpleString() else F.col(c)  # noqa: E731  maps have no hash
+    rows = docs.select(*own).withColumns({"_id": F.col(id_col).cast("bigint"), "size": (F.octet_length(text) + ROW_BYTES).cast("bigint"), "_hash": F.xxhash64(*[plain(c) for c in own])})
     rows = rows.withColumn("shard", shard_of(F.col("_id"), shards, seed))
-    total = rows.groupBy("shard").agg(F.sum("size").alias("bytes")).agg(F.max("bytes")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy("shard").agg(F.sum("size").alias("bytes")).agg(F.max("bytes"), F.sum("bytes")).first()
+    buckets = max(1, -(-(sizes[0] or 0) // BUCKET_BYTES))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_hash", F.lit(seed + 1)), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = checkpoint(counts.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_offset")))
     rows = rows.withColumns({
-        "_hash": F.xxhash64(*[c for c in own if not docs.schema[c].dataType.typeName().startswith("map")]), "text_crc32": F.crc32(F.encode(text, "UTF-8")), "law": F.lit("key"),
+        "text_crc32": F.crc32(F.encode(text, "UTF-8")), "law": F.lit("key"),
         "grown_shard": F.when(F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed), F.lit(shards + 1)), 11) < (1 << 53) // (shards + 1), shards).otherwise(F.col("shard")).cast("int"),
-    }).join(offsets, ["shard", "_bucket"])
+    }).join(F.broadcast(offsets) if buckets * shards <= BROADCAST_IDS // 2 else offsets, ["shard", "_bucket"])
     kept = [c for c in rows.columns if c not in ("_id", "_hash", "_offset", "_bucket")]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", slot bigint"
-    return rows.groupBy("shard", "_bucket").applyInArrow(_shuffle(seed), schema).select(*own, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes[1] or 0) // TASK_BYTES))
+    return rows.repartition(tasks, "shard", "_bucket").groupBy("shard", "_bucket").applyInArrow(_shuffle(seed), schema).select(*own, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
