@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import ALNUM_WORDS_LOWER, bounded_batches, buffers, checkpoint, grams, lists, pieces, signed, words
+from strata.llm.common import ALNUM_WORDS_LOWER, bounded_batches, buffers, checkpoint, grams, join_skewed, lists, pieces, signed, words
 
 GRAM = 5
 #: Bytes of the filter of item fingerprints that goes to each task, whatever the number of items: it only spares rows, the join decides.
@@ -116,14 +116,16 @@ def _run(left: str, right: str) -> F.Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1)
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(documents: id, text_hash, n_words; spans: id, text_hash, start, end, item) of the words of documents in spans that items hold.
+def find_hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 13) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: id, text_hash, n_words; spans: id, text_hash, start, end, item_text; items: item_text, items) of the words of documents in spans that items hold.
 
-    A document is told by its id and the hash of its text, so rows that repeat both count once in `spans`.
+    Items of equal texts are sought once, as `item_text`, the digest of their text; `items` are their ids in order. A
+    document is told by its id and the hash of its text, so rows that repeat both count once in `spans`.
     """
     bounded_batches(docs.sparkSession)
-    kind = items.schema[item_col].dataType
-    source = items.select(F.col(item_col).cast("string").alias("id"), F.xxhash64(item_text_col).alias("text_hash"), F.col(item_text_col).alias("text"))
+    named = items.select(F.col(item_col).cast("string").alias("item"), F.sha2(F.col(item_text_col).cast("binary"), 256).alias("id"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
+    distinct = checkpoint(named.groupBy("id").agg(F.first("text").alias("text"), F.sort_array(F.collect_set("item")).alias("items")))
+    source = distinct.select("id", F.xxhash64("text").alias("text_hash"), "text")
     item_rows = source.mapInArrow(_scan(span, [], None, item=True), f"id string, text_hash bigint, n_words bigint, hits {HIT}")
     item_rows = checkpoint(item_rows.select("id", F.least(F.col("n_words"), F.lit(span)).alias("need"), F.explode("hits").alias("h")).select("id", "need", "h.*"))
     shorts = sorted(r[0] for r in item_rows.where(F.col("need") < span).select("need").distinct().collect())  # fewer than `span` numbers
@@ -142,15 +144,15 @@ def find_hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text
     doc_hits = doc_hits.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
     sides = item_rows.select("key", F.col("id").alias("item"), "need", F.col("before").alias("i_before"), F.col("around").alias("i_around"))
     sides = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = doc_hits.join(sides, ["key", "salt"])
+    met = doc_hits.join(sides, ["key", "salt"])  # every pair is a shared k-gram of a document and a different item text
     met = met.select(
         "id", "text_hash", "pos", "item", "need",
         F.slice("around", F.col("before") + 1, F.size("around")).alias("right"), F.slice("i_around", F.col("i_before") + 1, F.size("i_around")).alias("i_right"),
         F.reverse(F.slice("around", F.lit(1), F.col("before"))).alias("left"), F.reverse(F.slice("i_around", F.lit(1), F.col("i_before"))).alias("i_left"),
     )
     met = met.withColumns({"l": _run("left", "i_left"), "r": _run("right", "i_right")})
-    spans = met.where(F.col("l") + F.col("r") >= F.col("need")).select("id", "text_hash", (F.col("pos") - F.col("l")).cast("int").alias("start"), (F.col("pos") + F.col("r")).cast("int").alias("end"), F.col("item").cast(kind).alias("item"))
-    return rows.select("id", "text_hash", "n_words"), spans.distinct()
+    spans = met.where(F.col("l") + F.col("r") >= F.col("need")).select("id", "text_hash", (F.col("pos") - F.col("l")).cast("int").alias("start"), (F.col("pos") + F.col("r")).cast("int").alias("end"), F.col("item").alias("item_text"))
+    return rows.select("id", "text_hash", "n_words"), spans.distinct(), distinct.select(F.col("id").alias("item_text"), "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 13, num: int = 1, den: int = 20) -> DataFrame:
@@ -160,13 +162,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     document is contaminated when n_hit > 0 and den * n_hit >= num * n_words. Null and empty texts have no words and
     are never contaminated; items without words match nothing; items with equal texts all count. Null ids stay as rows.
     """
-    rows, spans = find_hits(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, span=span)
+    rows, spans, listed = find_hits(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, span=span)
     spans = checkpoint(spans)
     key = ["id", "text_hash"]
     before = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = spans.select(*key, "start", "end").distinct().withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
     covered = covered.groupBy(*key).agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).cast("bigint").alias("n_hit"))
-    held = spans.select(*key, F.col("item").cast("string").alias("item")).distinct().groupBy(*key).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    held = join_skewed(checkpoint(spans.select(*key, "item_text").distinct()), listed, "item_text")
+    held = held.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # what the result holds of a document
     found = covered.join(held, key).select(F.struct(*key).alias("doc"), "n_hit", "items")
     out = join_null_safe(rows, found)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
