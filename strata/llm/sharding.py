@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strata.llm.common import BROADCAST_IDS, checkpoint
 
@@ -69,7 +70,7 @@ def shard(docs: DataFrame, *, shards: int = 24, seed: int = 17, id_col: str = "d
         "grown_shard": F.when(F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed), F.lit(shards + 1)), 11) < (1 << 53) // (shards + 1), shards).otherwise(F.col("shard")).cast("int"),
     }).join(F.broadcast(offsets) if buckets * shards <= BROADCAST_IDS // 2 else offsets, ["shard", "_bucket"])
     kept = [c for c in rows.columns if c not in ("_id", "_hash", "_offset", "_bucket")]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", slot bigint"
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("slot", LongType())])
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes[1] or 0) // TASK_BYTES))
     return rows.repartition(tasks, "shard", "_bucket").groupBy("shard", "_bucket").applyInArrow(_shuffle(seed), schema).select(*own, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
