@@ -1,89 +1,112 @@
 """License scans by diagonal voting.
 
-Rolling hashes of k words of every document are joined to the places where license templates hold them. A hit at
-document word p and template word t votes for the diagonal p - t; hits are counted by diagonal, neighbouring diagonals
-(a word more or less in between) are merged, and a span counts when enough of the template and of the span agree.
+Rolling hashes of k words of every document are joined to the places where license templates hold them, and the words
+behind equal hashes are compared. A hit at document word p and template word t votes for the diagonal p - t; hits are
+counted by diagonal, neighbouring diagonals (a word more or less in between) are merged, and a span counts when enough
+of the template's word sequences and of the span's agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import ALNUM_WORDS_LOWER, bounded_batches, buffers, checkpoint, grams, pieces, signed, word_hashes, words
 
 # fixed values: the phrases of the base, each sought whole
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# fixed values: short notices and heads of public licenses
-TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "gpl-3.0": ["licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-}
 GRAM = 4
 #: Diagonals this near are one span; the share of a template's k-grams, and of the span's words, that must agree.
 NEAR, COVER, DENSE = 3, 0.6, 0.7
-FILTER_BITS = 16
+FILTER_BITS = 20
+#: Templates are broadcast, so their words are counted: two million are some 200 MB of places.
+TEMPLATE_WORDS = 2_000_000
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _templates() -> list[tuple[int, str, bool, int, int, int]]:
-    """(template, label, is base, k-grams in all, place, hash): a fixed few hundred rows."""
-    rows, n = [], 0
-    for base, label, text in [*((True, b, a) for a, b in PHRASES.items()), *((False, label, t) for label, texts in TEMPLATES.items() for t in texts)]:
+def read_templates(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """(label, text) of a folder of license texts, a file `label.txt` or `label.what.txt` each; by default those that come with the package.
+
+    The package has short licenses whole and of long ones the notices that go into files; give a folder of whole texts to find those.
+    """
+    if folder is not None:
+        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        return spark.read.text(folder, wholetext=True).select(F.regexp_extract(name, r"^(.+?)(?:\.[a-z]+)?\.txt$", 1).alias("label"), F.col("value").alias("text"))
+    files = sorted((f.name.removesuffix(".txt"), f.read_text()) for f in resources.files("strata.llm").joinpath("licenses").iterdir() if f.name.endswith(".txt"))
+    return spark.createDataFrame([(n.rsplit(".", 1)[0] if n.rsplit(".", 1)[-1].isalpha() else n, t) for n, t in files], "label string, text string")
+
+
+def _word_list(text: str) -> list[str]:
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    _, start, stop, _ = words(raw, np.array([0, len(raw)]), ALNUM_WORDS_LOWER)
+    low = raw.tobytes().translate(_LOWER)
+    return [low[a:b].decode() for a, b in zip(start, stop, strict=True)]
+
+
+def _places(templates: DataFrame) -> list[tuple[int, str, bool, int, int, int, str]]:
+    """(template, label, is base, k-grams in all, place, hash, words) of the phrases and the templates, of TEMPLATE_WORDS at most."""
+    listed = [(False, r["label"], r["text"]) for r in templates.where("label IS NOT NULL AND text IS NOT NULL").orderBy("label", "text").toLocalIterator()]
+    if sum(len(t) for _, _, t in listed) > 8 * TEMPLATE_WORDS:
+        raise ValueError("the license templates are too many to broadcast")
+    rows = []
+    for n, (base, label, text) in enumerate([*((True, b, a) for a, b in PHRASES.items()), *listed]):
+        w = _word_list(text)
+        k = len(w) if base else min(GRAM, len(w))
         h = word_hashes(text, ALNUM_WORDS_LOWER)
-        g = signed(grams(h, len(h) if base else GRAM))
-        rows += [(n, label, base, len(g), i, int(x)) for i, x in enumerate(g)]
-        n += 1
+        g = signed(grams(h, k)) if k else []
+        rows += [(n, label, base, len(g), i, int(x), " ".join(w[i : i + k])) for i, x in enumerate(g)]
     return rows
 
 
 def find_grams(docs: DataFrame, sizes: list[int], hashes: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, n_words, hits) of every row: where its k-grams may be among `hashes`; a filter of fixed size lets some others through."""
+    """(id, text_hash, n_words, hits) of every row: where its k-grams, with their words, may be among `hashes`; a filter of fixed size lets some others through."""
     bounded_batches(docs.sparkSession)
     shift = np.uint64(64 - FILTER_BITS)
     allowed = np.zeros(1 << FILTER_BITS, bool)
     allowed[hashes.view(np.uint64) >> shift] = True
+    shared = docs.sparkSession.sparkContext.broadcast(allowed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = shared.value
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for lo, hi in pieces(offsets):
-                row, _, _, h = words(data, offsets[lo : hi + 1], ALNUM_WORDS_LOWER)
+                base = int(offsets[lo])
+                row, start, stop, h = words(data, offsets[lo : hi + 1], ALNUM_WORDS_LOWER)
                 n = np.bincount(row, minlength=hi - lo)
                 begins = np.cumsum(n) - n
-                at, key = [], []
+                at, key, size = [], [], []
                 for k in sizes:
                     g = grams(h, k)
                     p = np.flatnonzero(allowed[g >> shift])
                     p = p[row[p] == row[p + k - 1]] if len(p) else p
                     at.append(p)
                     key.append(g[p])
-                p, g = np.concatenate(at), np.concatenate(key)
+                    size.append(np.full(len(p), k))
+                p, g, k = np.concatenate(at), np.concatenate(key), np.concatenate(size)
                 order = np.argsort(p, kind="stable")
-                p, g = p[order], g[order]
+                p, g, k = p[order], g[order], k[order]
+                said = [" ".join(data[base + start[j] : base + stop[j]].tobytes().translate(_LOWER).decode() for j in range(i, i + n)) for i, n in zip(p.tolist(), k.tolist(), strict=True)]
                 per = np.bincount(row[p], minlength=hi - lo)
                 ends = np.zeros(len(per) + 1, np.int32)
                 np.cumsum(per, out=ends[1:])
-                hits = pa.StructArray.from_arrays([pa.array(p - begins[row[p]]), pa.array(signed(g))], ["pos", "gram"])
+                hits = pa.StructArray.from_arrays([pa.array(p - begins[row[p]]), pa.array(signed(g)), pa.array(said, pa.string())], ["pos", "gram", "said"])
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([own.column("id"), own.column("text_hash"), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), hits)], ["id", "text_hash", "n_words", "hits"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, text_hash bigint, n_words bigint, hits array<struct<pos:bigint,gram:bigint>>")
+    return rows.mapInArrow(run, "id bigint, text_hash bigint, n_words bigint, hits array<struct<pos:bigint,gram:bigint,said:string>>")
 
 
 def find_spans(rows: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc, label, base, start, cover) of the verified spans of the documents in `rows`."""
     hits = rows.where(F.size("hits") > 0).select(F.struct("id", "text_hash").alias("doc"), F.explode("hits").alias("h")).select("doc", "h.*").distinct()
-    votes = hits.join(F.broadcast(templates), "gram")  # the templates are a fixed list
+    votes = hits.join(F.broadcast(templates), ["gram", "said"])  # of TEMPLATE_WORDS at most; the words must be the same, not only their hash
     votes = votes.withColumn("diagonal", F.col("pos") - F.col("place"))
     lines = votes.groupBy("doc", "template", "label", "base", "places", "diagonal").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"), F.max("pos").alias("last"))
     by = Window.partitionBy("doc", "template").orderBy("diagonal", "start")
@@ -94,17 +117,19 @@ def find_spans(rows: DataFrame, templates: DataFrame) -> DataFrame:
     return spans.where(F.col("base") | ((F.col("cover") >= COVER) & (F.col("n") >= DENSE * (F.col("last") - F.col("start") + 1))))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
     n_base counts all places of the base's phrases, overlapping ones too; first_word and last_word are the least and
-    greatest of their starts. score is the largest share of a template found, 1 for a phrase of the base, 0 for none.
-    Null and empty texts have no words and labels; rows that repeat id and text get equal results.
+    greatest of their starts. `templates` (label, text) are license texts, by default those of the package; of one of
+    fewer than GRAM words all are sought together. score is the largest share of a template found, 1 for a phrase of the
+    base, 0 for none. Null and empty texts have no words and labels; rows that repeat id and text get equal results; an
+    empty table gives no rows.
     """
-    listed = _templates()
-    table = docs.sparkSession.createDataFrame(listed, "template int, label string, base boolean, places int, place int, gram bigint")
-    sizes = sorted({len(word_hashes(p, ALNUM_WORDS_LOWER)) for p in PHRASES} | {GRAM})
-    rows = checkpoint(find_grams(docs, sizes, np.array([r[-1] for r in listed], np.int64), id_col=id_col, text_col=text_col))
+    listed = _places(read_templates(docs.sparkSession) if templates is None else templates)
+    table = docs.sparkSession.createDataFrame(listed, "template int, label string, base boolean, places int, place int, gram bigint, said string")
+    sizes = sorted({len(r[-1].split()) for r in listed})
+    rows = checkpoint(find_grams(docs, sizes, np.array([r[-2] for r in listed], np.int64), id_col=id_col, text_col=text_col))
     spans = find_spans(rows, table)
     base = F.when(F.col("base"), F.col("start"))
     found = spans.groupBy("doc").agg(
