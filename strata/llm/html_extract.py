@@ -17,7 +17,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strata.llm.common import bounded_batches
 
@@ -423,19 +425,23 @@ def _blocks(top: _Node) -> list[str]:
     return blocks
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row: the main text and its length in code points.
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", keep: dict[str, Column] | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row: the main text and its length in code points; then the columns in `keep`.
 
     Null and empty html, and pages without text, give an empty text; a page without containers or paragraphs gives what
     text it has; rows that repeat an id stay apart; other columns aren't read. White space is what `str.split` takes for
-    it, decoded no-break spaces included. Of containers of equal score the inmost, then the last, is best.
+    it, decoded no-break spaces included. Of containers of equal score the inmost, then the last, is best. An empty
+    table gives no rows.
     """
     bounded_batches(pages.sparkSession)
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), *[c.alias(n) for n, c in (keep or {}).items()])
+    kept = [f for f in rows.schema.fields if f.name not in ("page_id", "url", "html")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract_text(x) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            made = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*made, *(batch.column(f.name) for f in kept)], ["page_id", "url", "text", "n_chars", *(f.name for f in kept)])
 
-    rows = pages.selectExpr(f"cast(`{id_col}` as bigint) AS page_id", f"cast(`{url_col}` as string) AS url", f"`{html_col}` AS html")
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    base = [StructField("page_id", LongType()), StructField("url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())]
+    return rows.mapInArrow(run, StructType([*base, *kept]))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import BROADCAST_IDS, bounded_batches, buffers, checkpoint, join_skewed, lists, pieces
 
-#: Labelled rows that the text model is fitted on: those of the least hashes of their ids. Languages that it tells apart, the commonest of the sample.
-SAMPLE_ROWS, MOST_LANGUAGES = 4000, 64
+#: Labelled rows that the text model is fitted on: those of the least hashes of their ids. All their labels are languages; more than MANY aren't labels of languages, and are refused.
+SAMPLE_ROWS, MANY = 4000, 1000
 CELLS = 1 << 15
 #: Trigrams overlap and repeat, so n of them weigh as n / (1 + n / SATURATION) independent ones.
 SATURATION = 200
@@ -69,18 +69,22 @@ def fit(rows: DataFrame, *, id_col: str, text_col: str, label_col: str, sample_r
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["label", "cell", "n"])
 
     counted = checkpoint(sample.select("label", "text").mapInArrow(count, "label string, cell int, n bigint").groupBy("label", "cell").agg(F.sum("n").alias("n")))
-    names = sorted(r[0] for r in counted.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect())
+    counts = counted.toArrow()  # of the sample, at most a row for each of its trigrams
+    names = sorted(set(counts["label"].to_pylist()))
+    if len(names) > MANY:
+        raise ValueError(f"{len(names)} labels in a sample of {sample_rows} rows: these aren't languages")
     table = np.full((len(names), CELLS), 0.5)
     if names:
-        for r in counted.where(F.col("label").isin(names)).collect():  # at most MOST_LANGUAGES * CELLS counts of the sample
-            table[names.index(r.label), r.cell] += r.n
+        at = {n: i for i, n in enumerate(names)}
+        np.add.at(table, (np.array([at[x] for x in counts["label"].to_pylist()]), counts["cell"].to_numpy()), counts["n"].to_numpy())
         table = np.log(table / table.sum(axis=1, keepdims=True))
         table -= table.mean(axis=0)
     return names, table.astype(np.float32)
 
 
-def _score(model: np.ndarray):
+def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for lo, hi in pieces(offsets):
@@ -134,7 +138,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: st
     none = F.lit(None).cast("string")
     pick = lambda c: (none if c is None else c).cast("string")
     source = rows.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"), pick(host).alias("host"), pick(declared).alias("declared"), pick(address).alias("address"), F.col(text_col).alias("text"))
-    scored = checkpoint(source.mapInArrow(_score(table), "id bigint, text_hash bigint, host string, declared string, address string, n bigint, logs array<double>, soft array<double>"))
+    scored = checkpoint(source.mapInArrow(_score(rows.sparkSession.sparkContext.broadcast(table)), "id bigint, text_hash bigint, host string, declared string, address string, n bigint, logs array<double>, soft array<double>"))
     if not names:
         return scored.select(F.col("id").alias("doc_id"), "text_hash", F.col("n").alias("n_letters"), none.alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
     n = len(names)
@@ -157,9 +161,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: st
 
 
 def identify_documents(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`identify` for the documents table: `lang` is the label of the sample and what a document declares, `source` its host."""
+    """`identify` for the documents table: `lang` labels the sample, `source` is the host. Documents declare nothing: what labels the model is no evidence too."""
     model = fit(docs, id_col="doc_id", text_col="text", label_col="lang", sample_rows=sample_rows)
-    return identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    return identify(docs, model, host=F.col("source"))
 
 
 def page_evidence(html: str = "html", url: str = "url") -> dict[str, Column]:

@@ -51,8 +51,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each page: its main text, markup, address and host, by a text model of `documents`."""
     model = language_id.fit(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", label_col="lang")
-    pages = table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in language_id.page_evidence().items()])
-    pages = html_extract.extract(table(spark, sf_dir, "pages")).join(pages, "page_id")
+    pages = html_extract.extract(table(spark, sf_dir, "pages"), keep=language_id.page_evidence())
     found = language_id.identify(pages, model, id_col="page_id", declared=F.col("declared"), host=F.col("host"), address=F.col("address"))
     return found.withColumnRenamed("doc_id", "page_id").drop("text_hash")
 
@@ -105,8 +104,19 @@ def mix_sql(rounds: int = SQL_ROUNDS) -> str:
         FROM c{rounds} c LEFT JOIN l ON c.source IS NOT DISTINCT FROM l.source AND c.k = l.k AND c.doc_id IS NOT DISTINCT FROM l.doc_id AND c.n = l.n"""
 
 
-#: DuckDB SQL by query. Extraction, the labels of the license templates and shuffled slots have none; tests hold them against plain versions.
+def html_sql() -> str:
+    """SQL for pages that have an <article> with nothing to leave out in it, and of references those that the given pages hold."""
+    blocks = "|".join(sorted(html_extract.BLOCKS, key=len, reverse=True))
+    return rf"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+        b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(t, '</?(?:{blocks})\b[^>]*>', chr(1), 'g'), '<br[^>]*>', ' ', 'g'), '<[^>]+>', '', 'g'), chr(1)) AS t FROM a),
+        c AS (SELECT page_id, url, list_filter(list_transform(t, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS t FROM b)
+        SELECT page_id, url, array_to_string(t, chr(10)) AS text, CAST(length(array_to_string(t, chr(10))) AS BIGINT) AS n_chars FROM c"""
+
+
+#: DuckDB SQL by query. The labels of the license templates, languages and shuffled slots have none; tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
+    "op1_html_extract": html_sql(),
     "op3_mix_sources": mix_sql(),
     "op2_vector_topk": """
         WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
