@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import HOT_KEYS, SPACE_WORDS, bounded_batches, buffers, checkpoint, few, grams, join_skewed, mix, pieces, signed, text_keys, words
+from strata.llm.common import SPACE_WORDS, bounded_batches, buffers, checkpoint, few, grams, join_skewed, mix, pieces, signed, text_keys, words
 
 GRAM = 10
 #: k-grams that a task gathers before it folds them; region words of a shard; regions of one k-gram beyond which they are dealt window by window.
@@ -102,8 +102,8 @@ def _anchors(window: int):
     return run
 
 
-def _regions(window: int, hot: frozenset[int]):
-    """Runs of windows whose least k-gram occurs again, with their words; a run that was seen here before keeps its smallest place, the others are removed at once (region null)."""
+def _regions(window: int):
+    """Runs of windows whose least k-gram occurs again, with their words; those of a hot k-gram, place * 2 + 1, window by window. A run that was seen here before keeps its smallest place, the others are removed at once (region null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], tuple[int, int, int, int, bytes]] = {}
@@ -124,15 +124,18 @@ def _regions(window: int, hot: frozenset[int]):
                 starts, at, g = _least(h, row, window)
                 begins = np.searchsorted(row, np.arange(hi - lo + 1))
                 base = int(offsets[lo])
-                wanted = np.zeros(len(h), bool)
+                wanted, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
                 for i in range(hi - lo):
-                    own = begins[i] + places[lo + i].values.to_numpy()
-                    wanted[own[own < begins[i + 1]]] = True  # places are of an id: those of its longer texts may lie beyond this one, others only add windows to look for
+                    own = places[lo + i].values.to_numpy()
+                    own, flag = begins[i] + (own >> 1), own & 1 == 1
+                    inside = own < begins[i + 1]
+                    wanted[own[inside]] = True  # places are of an id: those of its longer texts may lie beyond this one, others only add windows to look for
+                    hot[own[inside & flag]] = True
                 keep = wanted[at]
                 starts, at = starts[keep], at[keep]
                 if not len(at):
                     continue
-                is_hot = np.isin(signed(g[at]), np.fromiter(hot, np.int64, len(hot))) if hot else np.zeros(len(at), bool)
+                is_hot = hot[at]
                 cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | is_hot[1:])))
                 count = np.diff(np.append(cut, len(at)))
                 whole = grams(h, window)
@@ -159,47 +162,65 @@ def _regions(window: int, hot: frozenset[int]):
     return run
 
 
+def _suffixes(text: np.ndarray, longest: int) -> np.ndarray:
+    """The suffix array of a text of numbers, 0 for separators, each of which sorts by its place; by doubling, up to `longest` numbers."""
+    n = len(text)
+    separators = np.flatnonzero(text == 0)
+    rank = text.astype(np.int64) + len(separators)
+    rank[separators] = np.arange(len(separators))
+    step = 1
+    order = np.argsort(rank, kind="stable")
+    while True:
+        spread = rank[order]
+        if step > longest + 1 or (n and not (spread[1:] == spread[:-1]).any()):
+            return order
+        key = rank * (n + len(separators) + int(text.max(initial=0)) + 2)
+        key[: n - step] += rank[step:] + 1
+        order = np.argsort(key, kind="stable")
+        spread = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(spread[1:] != spread[:-1])))
+        step *= 2
+
+
 class FMIndex:
-    """Backward search over a text of numbers 0..sigma-1, 0 for separators: every separator sorts by its place, so a match never crosses one."""
+    """Backward search over a text of numbers 0..sigma-1, 0 for separators, which no match crosses.
 
-    def __init__(self, text: np.ndarray, longest: int):
+    It keeps the Burrows-Wheeler transform as a wavelet matrix, a bit a number and level with counts by 64, and one bit a
+    suffix: whether no earlier suffix starts with the same `window` numbers. Neither the text nor its suffix array stays.
+    """
+
+    def __init__(self, text: np.ndarray, longest: int, window: int):
         n = len(text)
-        separators = np.flatnonzero(text == 0)
-        rank = text.astype(np.int64) + len(separators)
-        rank[separators] = np.arange(len(separators))
-        step = 1
-        order = np.argsort(rank, kind="stable")
-        while True:
-            spread = rank[order]
-            if step > longest + 1 or (n and not (spread[1:] == spread[:-1]).any()):
-                break
-            key = rank * (n + len(separators) + int(text.max(initial=0)) + 2)
-            key[: n - step] += rank[step:] + 1
-            order = np.argsort(key, kind="stable")
-            spread = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(spread[1:] != spread[:-1])))
-            step *= 2
-        self.suffixes = order
-        transformed = text[order - 1]
+        order = _suffixes(text, longest)
+        self.n = n
+        at = text[order - 1].astype(np.int32)
         self.levels: list[tuple[int, np.ndarray, np.ndarray, int]] = []
-        at = transformed.astype(np.int64)
         for bit in range(max(1, int(text.max(initial=0)).bit_length()) - 1, -1, -1):
             ones = (at >> bit) & 1
             packed = np.packbits(ones.astype(np.uint8), bitorder="little")
             packed = np.concatenate((packed, np.zeros(8 + (-len(packed)) % 8, np.uint8))).view(np.uint64)
-            counts = np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)))
+            counts = np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64))).astype(np.int32)
             zeros = n - int(ones.sum())
             self.levels.append((bit, packed, counts, zeros))
             at = np.concatenate((at[ones == 0], at[ones == 1]))
         symbols = np.arange(int(text.max(initial=0)) + 1)
         self.base = self._descend(symbols, np.zeros(len(symbols), np.int64))
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(symbols)))))
-        # least place of every power-of-two run of suffixes
-        self.least = [order.copy()]
-        while len(self.least[-1]) > (1 << (len(self.least) - 1)):
-            half, last = 1 << (len(self.least) - 1), self.least[-1]
-            self.least.append(np.minimum(last[:-half], last[half:]))
+        self.earliest = self._earliest(text, order, window)
+
+    @staticmethod
+    def _earliest(text: np.ndarray, order: np.ndarray, window: int) -> np.ndarray:
+        """Bits by suffix: it is the first in the text of those that share its `window` numbers, which lie together in the order."""
+        n = len(order)
+        same = np.ones(max(0, n - 1), bool)  # a suffix and the one after it in the order
+        for j in range(window):
+            here = order + j
+            there = np.where(here < n, text[np.minimum(here, n - 1)], 0)
+            same &= (there[1:] == there[:-1]) & (there[1:] != 0)  # a separator is like no other
+        begins = np.flatnonzero(np.concatenate(([True], ~same))) if n else np.zeros(0, np.int64)
+        least = np.minimum.reduceat(order, begins) if n else order
+        return np.packbits(order == np.repeat(least, np.diff(np.append(begins, n))), bitorder="little")
 
     def _descend(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         for bit, packed, counts, zeros in self.levels:
@@ -208,47 +229,58 @@ class FMIndex:
             place = np.where((symbol >> bit) & 1, zeros + ones, place - ones)
         return place
 
-    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes that start with each symbol and go on as those between low and high."""
-        both = self._descend(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
+    def extend(self, symbol: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+        """Of each of the places in the suffix order, how far the suffixes before it that the symbol stands before reach: the bounds of a longer match, or the suffix one number longer."""
+        reached = self._descend(np.tile(symbol, len(places)), np.concatenate(places))
         start = self.first[symbol] - self.base[symbol]
-        return start + both[: len(symbol)], start + both[len(symbol) :]
+        return [start + reached[i * len(symbol) : (i + 1) * len(symbol)] for i in range(len(places))]
 
-    def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The least place in the text of the suffixes between low and high; none: the greatest number."""
-        out = np.full(len(low), np.iinfo(np.int64).max)
-        size = high - low
-        for level, table in enumerate(self.least):
-            some = np.flatnonzero((size >> level) == 1)
-            if len(some):
-                out[some] = np.minimum(table[low[some]], table[high[some] - (1 << level)])
-        return out
+    def is_earliest(self, suffix: np.ndarray) -> np.ndarray:
+        return (self.earliest[suffix >> 3] >> (suffix & 7)) & 1 == 1
 
 
 def repeated_windows(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(region, start) of the windows of the regions text[begins:ends] that occur earlier in the text too."""
-    index = FMIndex(text, int((ends - begins).max(initial=0)))
+    """(region, start) of the windows of the regions text[begins:ends], each before a separator, that occur earlier in the text too.
+
+    The regions are streamed from their ends: a match, that occurs twice at least, is extended to the left word by word;
+    the suffix that starts where it does is followed beside it, and its bit tells whether it is the earliest of its window.
+    """
+    index = FMIndex(text, int((ends - begins).max(initial=0)), window)
     n = len(text)
     region = np.arange(len(begins))
     right, left = ends.copy(), ends.copy()
     low, high = np.zeros(len(region), np.int64), np.full(len(region), n)
+    reached = ends.copy()  # how far a region's own suffixes are followed, and the one there: a separator's is its number
+    own = np.searchsorted(np.flatnonzero(text == 0), ends)
+    bits = np.zeros(n, bool)  # places whose window isn't the earliest
     found: list[tuple[np.ndarray, np.ndarray]] = []
     while len(region):
         left = left - 1
-        low, high = index.extend(text[left], low, high)
-        earlier = index.earliest(low, high) < left
-        match = earlier & (right - left >= window)
+        new = left < reached  # a match that starts anew passes places that were followed before
+        if new.all():
+            low, high, own = index.extend(text[left], low, high, own)
+            reached = left.copy()
+            bits[left] = ~index.is_earliest(own)
+        else:
+            low, high = index.extend(text[left], low, high)
+            at = np.flatnonzero(new)
+            if len(at):
+                own[at] = index.extend(text[left[at]], own[at])[0]
+                reached[at] = left[at]
+                bits[left[at]] = ~index.is_earliest(own[at])
+        again = high - low > 1
+        match = again & (right - left >= window) & bits[left]
         if match.any():
             found.append((region[match], left[match]))
         # a match that can't grow starts anew: with the window one word before, once it held a whole window, else one word less at the right
-        broken = np.flatnonzero(~earlier)
+        broken = np.flatnonzero(~again)
         if len(broken):
             held = right[broken] - left[broken] > window
             right[broken] = np.where(held, left[broken] + window, right[broken] - 1)
             left[broken], low[broken], high[broken] = right[broken], 0, n
-        left_over = np.where(earlier, left > begins[region], right - window >= begins[region])
+        left_over = np.where(again, left > begins[region], right - window >= begins[region])
         if not left_over.all():
-            region, right, left, low, high = (x[left_over] for x in (region, right, left, low, high))
+            region, right, left, low, high, reached, own = (x[left_over] for x in (region, right, left, low, high, reached, own))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none
@@ -325,14 +357,17 @@ def dedup(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col
     texts = checkpoint(join_skewed(texts, checkpoint(first), "sha"))
 
     again = rows.where(asks).select("key", "id", "place").union(rows.where(F.length("aux") == 8).select(_number(F.col("aux"), 1).alias("key"), "id", "place"))
-    common = again.groupBy("key").count().where(F.col("count") > HOT_REGIONS).orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key")
-    hot = frozenset(r[0] for r in common.collect())  # at most HOT_KEYS numbers
-    places = again.groupBy("id").agg(F.collect_set("place").alias("places"))
+    hot = checkpoint(again.groupBy("key").agg((F.count(F.lit(1)) > HOT_REGIONS).alias("hot")).where("hot"))
+    if hot.isEmpty():
+        again = again.withColumn("hot", F.lit(None).cast("boolean"))
+    else:
+        again = again.join(F.broadcast(hot), "key", "left") if few(hot) else join_skewed(checkpoint(again), hot, "key")
+    places = again.groupBy("id").agg(F.collect_set(F.col("place") * 2 + F.when(F.col("hot"), 1).otherwise(0)).alias("places"))  # of one document
     leaders = texts.where("member = id AND n_words >= %d" % window).select("id", "text_hash").distinct()
     places = checkpoint(places.join(leaders, "id"))
     ids = places.select("id").distinct()
     narrow = source.join(F.broadcast(ids), "id", "left_semi") if few(ids) else source
-    regions = checkpoint(narrow.join(places, ["id", "text_hash"]).mapInArrow(_regions(window, hot), REGION))
+    regions = checkpoint(narrow.join(places, ["id", "text_hash"]).mapInArrow(_regions(window), REGION))
     total = regions.where("region IS NOT NULL").agg(F.sum(F.col("windows") + window)).first()[0] or 0
     shards = max(1, total // SHARD_WORDS)
     dealt = regions.where("region IS NOT NULL").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "id", "text_hash", "start", "windows", "region")

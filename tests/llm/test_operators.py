@@ -314,7 +314,7 @@ def test_fm_index_counts_and_finds():
     rng = np.random.default_rng(0)
     text = rng.integers(1, 4, 400)
     text[[50, 130, 399]] = 0
-    index = substring_dedup.FMIndex(text, 200)
+    index = substring_dedup.FMIndex(text, 200, 5)
     for _ in range(50):
         a = int(rng.integers(0, 380))
         pattern = text[a : a + int(rng.integers(1, 9))]
@@ -324,7 +324,26 @@ def test_fm_index_counts_and_finds():
         for c in pattern[::-1]:
             low, high = index.extend(np.array([c]), low, high)
         places = [i for i in range(len(text)) if np.array_equal(text[i : i + len(pattern)], pattern)]
-        assert high[0] - low[0] == len(places) and index.earliest(low, high)[0] == min(places)
+        assert high[0] - low[0] == len(places)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_repeated_windows_of_random_regions(seed):
+    rng = np.random.default_rng(seed)
+    regions = [rng.integers(1, 3 if seed % 2 else 6, int(rng.integers(4, 60))) for _ in range(30)]
+    regions += [regions[i] for i in rng.integers(0, 30, 5)]
+    text = np.concatenate([np.append(r, 0) for r in regions])
+    ends = np.flatnonzero(text == 0)
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    got = sorted(zip(*(x.tolist() for x in substring_dedup.repeated_windows(text, begins, ends, 4)), strict=True))
+    seen, expected = set(), []
+    for r, (a, b) in enumerate(zip(begins, ends, strict=True)):
+        for i in range(a, b - 3):
+            key = tuple(text[i : i + 4])
+            if key in seen:
+                expected.append((r, i))
+            seen.add(key)
+    assert sorted(set(got)) == sorted(expected)
 
 
 def test_word_hashes_tell_words_apart():
