@@ -53,9 +53,12 @@ def looks_structured(text: Column) -> Column:
 
 
 def conjuncts(question: Column) -> Column:
-    """Parts of a compound question with three words or more."""
-    parts = F.split(question, r"(?i)\s*(?:,|;|\band\b|\bversus\b|\bvs\.?)\s*")
-    return F.filter(parts, lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) >= 3)
+    """Parts of a compound question with three words or more, each with the subjects (formulas, capitals) that it lost; empty for a simple one."""
+    parts = F.transform(F.split(question, r",?\s+and\s+|;\s*"), lambda p: F.regexp_replace(p, r"^[ ,;?]+|[ ,;?]+$", ""))
+    parts = F.filter(parts, lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) >= 3)
+    subjects = F.array_distinct(F.regexp_extract_all(question, F.lit(r"(\b(?:[A-Z][a-z]?[a-z]?[0-9]+[A-Za-z0-9]*|[A-Z]{2,})\b)"), 1))
+    carried = F.transform(parts, lambda p: F.when((F.size(subjects) > 0) & ~F.exists(subjects, lambda s: F.contains(p, s)), F.concat(p, F.lit(" for "), F.array_join(subjects, " "))).otherwise(p))
+    return F.when(F.size(parts) >= 2, F.transform(carried, lambda p: F.concat(p, F.lit("?")))).otherwise(F.array().cast("array<string>"))
 
 
 def number_of(text: Column) -> Column:

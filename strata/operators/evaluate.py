@@ -22,6 +22,13 @@ def case_metrics(hits: DataFrame, expected: DataFrame) -> DataFrame:
     return out.select("query", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("n_expected", F.lit(0)).alias("n_expected"), F.when(known, found / F.col("n_expected")).alias("recall"), F.when(F.col("n_hits") > 0, found / F.col("n_hits")).alias("precision"), F.when(known, F.coalesce(1 / F.col("_first"), F.lit(0.0))).alias("reciprocal_rank"))
 
 
+def counted_metrics(hits: DataFrame, counts: DataFrame) -> DataFrame:
+    """`case_metrics` of hits (query, rank, expected) that say themselves whether they are expected, and of how many are (query, n_expected)."""
+    per = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits"), F.count(F.when(F.col("expected"), 1)).alias("_found"), F.min(F.when(F.col("expected"), F.col("rank"))).alias("_first"))
+    out = counts.where("n_expected > 0").join(per, "query")
+    return out.select("query", "n_hits", "n_expected", (F.col("_found") / F.col("n_expected")).alias("recall"), (F.col("_found") / F.col("n_hits")).alias("precision"), F.coalesce(1 / F.col("_first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
 def case_score(metrics: dict[str, Column], unsupported: Column, claims: Column, forbidden: Column) -> Column:
     """Weights renormalised over the metrics that are not null, less half the unsupported share; a forbidden claim makes it zero."""
     have = {m: c for m, c in metrics.items() if m in WEIGHTS}

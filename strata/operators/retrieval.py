@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as t
 
 RRF_K, DEPTH = 60, 24
+#: Vectors and queries of a block.
+BLOCK, ASKED = 2048, 128
 
 
 def _top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -15,31 +22,75 @@ def _top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, least: float | None = None) -> DataFrame:
-    """(query, chunk, score, rank) of (query, v) against (chunk, v).
+def _norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def refused_vectors(vectors: DataFrame, width: int) -> DataFrame:
+    """(reason, n) of the vectors (chunk, v) that no search takes: null, without length, of another width."""
+    v = F.col("v").cast("array<double>")
+    reason = F.when(v.isNull(), "null").when(F.size(v) != width, "another width").when(_norm(v) == 0, "no length")
+    return vectors.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _best(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                c, q = np.array([x["v"] for x in r["vectors"]]), np.array([x["v"] for x in r["asked"]])
+                ids, own = np.array([x["chunk"] for x in r["vectors"]]), np.array([x["query"] for x in r["asked"]])
+                c, q = c / np.sqrt(np.einsum("ij,ij->i", c, c))[:, None], q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+                for i in range(len(own)):
+                    score = np.round((c * q[i]).sum(axis=1), 12)  # a row's sum doesn't depend on the block it is in
+                    best = np.lexsort((ids, -score))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), own[i]), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(score[best], pa.float64())], ["query", "chunk", "score"])
+
+    return run
 
-    Null, zero and other-width vectors are no candidates. `least` cuts after the k best are known, not before. The
-    queries are few by contract and broadcast; the best k are kept per task before the shuffle.
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, least: float | None = None, others_only: bool = False) -> DataFrame:
+    """(query, chunk, score, rank) of (query, v) against (chunk, v), ids being longs; scores to 12 places.
+
+    Null, zero and other-width vectors are no candidates (`refused_vectors` counts them). `least` cuts after the k best
+    are known, not before; `others_only` leaves out the chunk of the query's own id. Blocks of queries meet blocks of
+    vectors, and each pair of blocks gives the k best of each query.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    q = queries.select("query", F.col("v").cast("array<double>").alias("q")).withColumn("qn", norm("q")).where("qn > 0")
-    c = vectors.where("v IS NOT NULL").select("chunk", F.col("v").cast("array<double>").alias("c")).withColumn("cn", norm("c")).where("cn > 0")
-    dot = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = c.join(F.broadcast(q), F.size("q") == F.size("c")).select("query", "chunk", (dot / (F.col("qn") * F.col("cn"))).alias("score"))
+    def usable(df: DataFrame, id_col: str) -> DataFrame:
+        df = df.select(F.col(id_col).cast("bigint").alias(id_col), F.col("v").cast("array<double>").alias("v")).where("v IS NOT NULL")
+        return df.where((F.size("v") > 0) & (_norm(F.col("v")) > 0)).withColumn("width", F.size("v"))
+
+    def packed(df: DataFrame, id_col: str, size: int, name: str, number: str) -> DataFrame:
+        blocks = df.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))  # a row a width
+        dealt = df.join(F.broadcast(blocks), "width").withColumn(number, F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int"))
+        return dealt.groupBy("width", number).agg(F.collect_list(F.struct(id_col, "v")).alias(name))  # about `size` rows
+
+    c, q = packed(usable(vectors, "chunk"), "chunk", BLOCK, "vectors", "block"), packed(usable(queries, "query"), "query", ASKED, "asked", "q_block")
+    met = q.join(c.select("width", "block"), "width").repartition("width", "block", "q_block").join(c, ["width", "block"])
+    pairs = met.select("vectors", "asked").mapInArrow(_best(k + 1 if others_only else k), "query bigint, chunk bigint, score double")
+    if others_only:
+        pairs = pairs.where("chunk <> query")
     top = _top(pairs, k, F.desc("score"), F.col("chunk"))
     return top.where(F.col("score") >= least) if least is not None else top
 
 
 def term_hits(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query, chunk, coverage, hits): how much of a question's terms each passage holds, passages without any left out.
+    """(query, chunk, coverage, hits): how much of a question's terms each passage holds as substrings, passages without any left out.
 
-    The few questions are broadcast; a passage is read once for all of them.
+    A term lies within a run of the characters that terms are made of. So terms are looked for in the different runs of
+    the corpus, by their first three characters, and passages are reached over the runs that they hold: no question meets
+    a passage that has none of its terms.
     """
-    q = queries.select("query", t.terms(F.col("question")).alias("terms")).where(F.size("terms") > 0)
-    p = passages.select("chunk", F.lower(F.concat_ws("\n", "title", "text")).alias("body"))
-    rows = p.join(F.broadcast(q)).withColumn("held", F.filter("terms", lambda x: F.contains(F.col("body"), x))).where(F.size("held") > 0)
-    hits = F.aggregate("held", F.lit(0).cast("bigint"), lambda s, x: s + t.occurrences(F.col("body"), x))
-    return rows.select("query", "chunk", (F.size("held") / F.size("terms")).alias("coverage"), hits.alias("hits"))
+    asked = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term"))
+    need = asked.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
+    runs = F.regexp_extract_all(F.lower(F.concat_ws("\n", "title", "text")), F.lit(r"([a-z0-9.\-_/]+)"), 1)
+    held = passages.select("chunk", F.explode(runs).alias("run")).groupBy("chunk", "run").agg(F.count(F.lit(1)).alias("n"))
+    starts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("run") - k + 1)), lambda i: F.col("run").substr(i, F.lit(k)))
+    different = held.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(starts(2), starts(3)))).alias("start"))
+    terms = asked.select("term", F.substring("term", 1, 3).alias("start")).distinct()
+    inside = different.join(terms, "start").where(F.contains("run", "term")).select("run", "term", t.occurrences(F.col("run"), F.col("term")).alias("times"))
+    found = held.join(inside, "run").groupBy("chunk", "term").agg(F.sum(F.col("n") * F.col("times")).alias("hits"))
+    rows = found.join(asked, "term").groupBy("query", "chunk").agg(F.count(F.lit(1)).alias("held"), F.sum("hits").alias("hits"))
+    return rows.join(need, "query").select("query", "chunk", (F.col("held") / F.col("need")).alias("coverage"), "hits")
 
 
 def lexical_top_k(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
@@ -49,6 +100,26 @@ def lexical_top_k(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     return _top(scored, k, F.desc("score"), F.col("chunk"))
 
 
+def quotes_in(quotes: DataFrame, sources: DataFrame, *, words: int = 5) -> DataFrame:
+    """(quote_id, source_id) of the quotes that stand in the sources but for case and white space.
+
+    The inner words of a quote are whole words of a text that holds it, so the two meet on the hash of the first of them,
+    at most `words`; the whole quote decides. Quotes without inner words meet on a part of a word, and so all texts.
+    """
+    q = quotes.select("quote_id", F.lower(t.squeezed(F.col("quote"))).alias("_q")).where(F.length("_q") > 0).withColumn("_w", F.split("_q", " "))
+    s = sources.select("source_id", F.lower(t.squeezed(F.col("text"))).alias("_t"))
+    cut = s.select("source_id", F.split("_t", " ").alias("_w"))
+    q = q.withColumn("_k", F.least(F.lit(words), F.size("_w") - 2))
+    long = q.where("_k > 0").select("quote_id", "_q", "_k", F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.col("_k")), " ")).alias("_h"))
+    sizes = F.broadcast(long.select("_k").distinct())  # at most `words` numbers
+    places = F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1)
+    grams = cut.join(sizes, F.size("_w") >= F.col("_k")).select("source_id", "_k", F.explode(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.col("_k")), " ")))).alias("_h"))
+    met = grams.join(long, ["_h", "_k"]).select("quote_id", "source_id", "_q").distinct()
+    found = met.join(s, "source_id").where(F.contains("_t", "_q")).select("quote_id", "source_id")
+    short = q.where("_k <= 0").select("quote_id", "_q")
+    return found if short.isEmpty() else found.unionByName(s.join(short, F.contains("_t", "_q")).select("quote_id", "source_id"))
+
+
 def index(passages: DataFrame) -> DataFrame:
     """(term, chunk, pos): the positions of every token, lower-cased."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
@@ -59,9 +130,9 @@ def precise(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """(query, chunk, score, rank) of passages that hold all terms, nearer terms first: one over the least span of a term with the first."""
     q = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term")).where(F.col("term").rlike("^[a-z0-9]+$"))
     need = q.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    met = postings.join(F.broadcast(q), "term").groupBy("query", "chunk", "term").agg(F.min("pos").alias("first"))
+    met = postings.join(q, "term").groupBy("query", "chunk", "term").agg(F.min("pos").alias("first"))
     met = met.groupBy("query", "chunk").agg(F.count(F.lit(1)).alias("n"), (F.max("first") - F.min("first") + 1).alias("span"))
-    return _top(met.join(F.broadcast(need), "query").where("n = need").select("query", "chunk", (1 / F.col("span")).alias("score")), k, F.desc("score"), F.col("chunk"))
+    return _top(met.join(need, "query").where("n = need").select("query", "chunk", (1 / F.col("span")).alias("score")), k, F.desc("score"), F.col("chunk"))
 
 
 def relaxed(queries: DataFrame, passages: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -71,38 +142,73 @@ def relaxed(queries: DataFrame, passages: DataFrame, found: DataFrame, k: int) -
     return _top(pool.select("query", "chunk", F.col("coverage").alias("score"), "pool"), k, F.desc("score"), F.col("pool")).drop("pool")
 
 
-def bm25(queries: DataFrame, passages: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, chunk, score, rank) by BM25 over the questions' terms; only their postings are shuffled."""
+def bm25(queries: DataFrame, passages: DataFrame, k: int, *, columns: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, chunk, score, rank) by BM25 over the questions' terms; only their postings are shuffled. `columns` weighs columns of the passages, by default `text` alone."""
+    return _top(_bm25_scores(queries, passages, columns or {"text": 1.0}, k1, b).drop("held"), k, F.round("score", 9).desc(), F.col("chunk"))
+
+
+def _bm25_scores(queries: DataFrame, passages: DataFrame, columns: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, chunk, score, held): a term's weighted frequency over the columns, its rarity, and the length of all columns; how many terms the passage holds."""
     terms = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term"))
-    words = passages.select("chunk", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1).alias("w"))
-    size = words.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean"))
-    posts = words.select("chunk", F.size("w").alias("n"), F.explode("w").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
-    tf = posts.groupBy("term", "chunk", "n").agg(F.count(F.lit(1)).alias("tf"))
+    words = {c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), 1) for c in columns}
+    each = passages.select("chunk", *[w.alias(f"_{c}") for c, w in words.items()])
+    length = sum((F.size(f"_{c}") for c in columns), F.lit(0))
+    size = each.agg(F.count(F.lit(1)).alias("docs"), F.avg(length).alias("mean"))
+    weighed = lambda c, x: F.transform(f"_{c}", lambda w: F.struct(w.alias("term"), F.lit(float(x)).alias("w")))
+    said = F.flatten(F.array(*[weighed(c, x) for c, x in columns.items()]))
+    posts = each.select("chunk", length.alias("n"), F.explode(said).alias("p")).select("chunk", "n", "p.*").join(terms.select("term").distinct(), "term", "left_semi")
+    tf = posts.groupBy("term", "chunk", "n").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(size))  # one row of counts
+    rows = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(size))  # one row of counts
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return _top(rows.groupBy("query", "chunk").agg(F.sum(weight).alias("score")), k, F.round("score", 9).desc(), F.col("chunk"))
+    return rows.groupBy("query", "chunk").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("held"))
 
 
-def fuse(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(query, chunk, rrf, found_by, rank_1..): reciprocal rank fusion of rankings (query, chunk, rank)."""
-    rows = None
-    for i, r in enumerate(ranked, 1):
-        one = r.select("query", "chunk", F.lit(i).alias("leg"), "rank")
-        rows = one if rows is None else rows.union(one)
-    legs = [F.max(F.when(F.col("leg") == i, F.col("rank"))).alias(f"rank_{i}") for i in range(1, len(ranked) + 1)]
-    return rows.groupBy("query", "chunk").agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"), F.count(F.lit(1)).alias("found_by"), *legs)
+def section_search(queries: DataFrame, passages: DataFrame, k: int = 8, *, columns: dict[str, float], family: Column | None = None) -> DataFrame:
+    """(query, chunk, score, place, rank, snippet): at most twelve sections a question, of the passages that `family` allows.
+
+    First those whose title is the question (place 0), then those that hold all its terms (1), then those that hold some
+    (2), each by BM25 over the weighted columns. The snippet is the text around the first term that it holds.
+    """
+    allowed = passages if family is None else passages.where(family)
+    asked = queries.select("query", t.alias_norm(F.col("question")).alias("_name"), t.terms(F.col("question")).alias("_terms"))
+    rows = _bm25_scores(queries, allowed, columns).join(asked, "query").join(allowed.select("chunk", "title", "text"), "chunk")
+    place = F.when(t.alias_norm(F.col("title")) == F.col("_name"), 0).when(F.col("held") == F.size("_terms"), 1).otherwise(2)
+    top = _top(rows.withColumn("place", place), min(k, 12), F.col("place"), F.round("score", 9).desc(), F.col("chunk"))
+    at = F.array_min(F.filter(F.transform("_terms", lambda x: F.instr(F.lower("text"), x)), lambda i: i > 0))
+    return top.select("query", "chunk", "score", "place", "rank", F.substring("text", F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - 40), F.lit(120)).alias("snippet"))
+
+
+def fuse(*ranked: DataFrame | None, k: int = RRF_K) -> DataFrame:
+    """(query, chunk, rrf, found_by, similarity, rank_1..): reciprocal rank fusion of rankings (query, chunk, rank); similarity is the score of the first, null where it has none.
+
+    A leg that is absent, or has nothing for a question, adds nothing.
+    """
+    legs = [r.select("query", "chunk", F.lit(i).alias("leg"), "rank", (F.col("score") if i == 1 and "score" in r.columns else F.lit(None)).cast("double").alias("score")) for i, r in enumerate(ranked, 1) if r is not None]
+    rows = reduce(DataFrame.union, legs)
+    ranks = [F.max(F.when(F.col("leg") == i, F.col("rank"))).alias(f"rank_{i}") for i in range(1, len(ranked) + 1)]
+    return rows.groupBy("query", "chunk").agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"), F.count(F.lit(1)).alias("found_by"), F.max("score").alias("similarity"), *ranks)
 
 
 def fused_top_k(fused: DataFrame, k: int) -> DataFrame:
-    return _top(fused, k, F.round("rrf", 12).desc(), F.desc("found_by"), F.col("chunk"))
+    """By fused score; ties by how many legs found it, then by similarity, then to the smaller chunk."""
+    return _top(fused, k, F.round("rrf", 12).desc(), F.desc("found_by"), F.desc_nulls_last("similarity"), F.col("chunk"))
+
+
+def hybrid_top_k(queries: DataFrame, passages: DataFrame, asked: DataFrame | None, vectors: DataFrame | None, k: int = 6, *, depth: int = DEPTH, techniques: list[str] | None = None) -> DataFrame:
+    """The fusion of a dense leg, (query, v) against (chunk, v), and a lexical one, `depth` hits each, over the passages of `techniques`; without vectors the lexical leg is alone."""
+    if techniques is not None:
+        passages = passages.where(F.col("technique").isin(techniques))
+        vectors = None if vectors is None else vectors.join(passages.select("chunk"), "chunk", "left_semi")
+    dense = None if asked is None or vectors is None else cosine_top_k(asked, vectors, depth)
+    return fused_top_k(fuse(dense, lexical_top_k(queries, passages, depth)), k)
 
 
 def graded(hits: DataFrame, queries: DataFrame, passages: DataFrame, *, structured: float = 1.0) -> DataFrame:
     """The hits with coverage, grade, useful and position: by grade, then fused score times a weight for tables and captions."""
     q = queries.select("query", t.terms(F.col("question")).alias("terms"))
-    rows = hits.join(passages.select("chunk", "text"), "chunk").join(F.broadcast(q), "query")
+    rows = hits.join(passages.select("chunk", "text"), "chunk").join(q, "query")
     cover = t.coverage(F.col("text"), F.col("terms"))
     rows = rows.withColumns({"coverage": cover, "grade": t.grade(cover), "weight": F.when(t.looks_structured(F.col("text")), structured).otherwise(1.0)})
     at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("grade"), F.round(F.col("rrf") * F.col("weight"), 12).desc(), F.col("chunk")))

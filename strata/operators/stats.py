@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.shared import shared_folder
+
 
 def long_form(table: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(id, key, value) of the non-null cells."""
@@ -35,6 +37,7 @@ def average_rank(cases: DataFrame, by: list[str], value: str, rank: str) -> Data
     Values are counted first and cut into ranges; a range starts after the sum of the counts before it, so no task gets
     a whole group. The ranges are checkpointed, since each has to stay what it is for both of its uses.
     """
+    shared_folder(cases.sparkSession)
     counts = cases.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranges = counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()).checkpoint()
     totals = ranges.groupBy(*by, "_range").agg(F.sum("_n").alias("_total"))  # a row a group and range
@@ -53,13 +56,17 @@ def rank_cases(cases: DataFrame) -> DataFrame:
 
 
 def fdr(cells: DataFrame, p: str, block: list[str], tie: list[str]) -> DataFrame:
-    """Benjamini-Hochberg q within each block; null p counts for nothing and has null q; ties go by `tie`."""
+    """Benjamini-Hochberg q within each block; null p counts for nothing and has null q; ties go by `tie`.
+
+    The least of a cell's and all later raw values is a running minimum down from the greatest p.
+    """
     known = cells.where(F.col(p).isNotNull())
-    up = Window.partitionBy(*block).orderBy(p, *tie)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*block))
-    ranked = known.withColumn("_raw", F.col(p) * m / F.row_number().over(up))
-    q = F.least(F.lit(1.0), F.min("_raw").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    return ranked.withColumn("q", q).drop("_raw").unionByName(cells.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    sizes = known.groupBy(*block).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = known.join(sizes, block) if block else known.crossJoin(sizes)  # one row of counts
+    down = Window.partitionBy(*block).orderBy(F.desc(p), *[F.desc(c) for c in tie])
+    ranked = ranked.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_m") - F.row_number().over(down) + 1))
+    q = F.least(F.lit(1.0), F.min("_raw").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.withColumn("q", q).select(*cells.columns, "q").unionByName(cells.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def outcome(r: Column, q: Column, sign: str, alpha: float = 0.05) -> Column:
@@ -108,11 +115,11 @@ def _steps(size: int, n: int) -> list[int]:
 
 
 def standardised(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The rows with z = (x - mean) / sd of their key and the reason where there is none."""
-    by = Window.partitionBy(key)
-    n, sd = F.count(value).over(by), F.stddev_samp(value).over(by)
-    df = df.withColumn("refused", F.when(n < 2, "fewer than two values").when(sd == 0, "no variance"))
-    return df.withColumn("z", F.when(F.col("refused").isNull(), (F.col(value) - F.avg(value).over(by)) / sd))
+    """The rows with z = (x - mean) / sd of their key and the reason where there is none; a null key is a key."""
+    by = df.groupBy(F.col(key).alias("_key")).agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"), F.avg(value).alias("_mean"))
+    df = df.join(by, F.col(key).eqNullSafe(F.col("_key")))
+    df = df.withColumn("refused", F.when(F.col("_n") < 2, "fewer than two values").when(F.col("_sd") == 0, "no variance"))
+    return df.withColumn("z", F.when(F.col("refused").isNull(), (F.col(value) - F.col("_mean")) / F.col("_sd"))).drop("_key", "_n", "_sd", "_mean")
 
 
 def log_fallback(df: DataFrame, keys: list[str]) -> dict[str, str]:

@@ -18,10 +18,10 @@ REGISTRY = [("k", None, "benefit", ["temperature_k", "frequency_hz"]), ("Eg", "e
 SCHEMA = "key string, units string, direction string, required array<string>"
 
 
-@query("""SELECT record, key, CASE WHEN key NOT IN ('k', 'Ebd', 'tan_delta') THEN 'unknown key' WHEN (key = 'k' AND (temperature_k IS NULL OR frequency_hz IS NULL)) OR (key = 'Ebd' AND coalesce(method, '') = '') OR (key = 'tan_delta' AND frequency_hz IS NULL) THEN 'required context missing' END AS reason, CASE key WHEN 'Ebd' THEN 'MV/cm' END AS units FROM {property_values} WHERE material % 10 = 0""")
+@query("""SELECT record, key, CASE WHEN key NOT IN ('k', 'Ebd', 'tan_delta') THEN 'unknown key' WHEN (key = 'k' AND (temperature_k IS NULL OR frequency_hz IS NULL)) OR (key = 'Ebd' AND coalesce(method, '') = '') OR (key = 'tan_delta' AND frequency_hz IS NULL) THEN 'required context missing' END AS reason, CASE key WHEN 'Ebd' THEN 'MV/cm' END AS units FROM {property_values}""")
 def write_gate(spark: SparkSession, d: str) -> DataFrame:
     specs = spark.createDataFrame([r for r in REGISTRY if r[0] != "kappa_th"], SCHEMA)
-    v = bind(spark, d, "property_values").where("material % 10 = 0").join(F.broadcast(specs), "key", "left")  # a fixed table
+    v = bind(spark, d, "property_values").join(F.broadcast(specs), "key", "left")  # a fixed table
     held = F.map_filter(F.create_map(*[x for c in ("temperature_k", "frequency_hz", "method") for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, x: F.coalesce(x, F.lit("")) != "")
     lacks = F.size(F.array_except("required", F.map_keys(held))) > 0
     return v.select("record", "key", first_reason([Rule("unknown key", F.col("direction").isNull()), Rule("required context missing", lacks)]).alias("reason"), "units")
@@ -120,9 +120,9 @@ def tensor_eigenvalues(spark: SparkSession, d: str) -> DataFrame:
     return bind(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round(F.element_at(describe.eigenvalues(t), -1), 4).alias("largest"))
 
 
-@query("""SELECT o_orderkey AS id, position, token FROM {orders}, (VALUES (0, 'film'), (2, 'k')) AS t(position, token) WHERE o_orderkey % 5 = 0""")
+@query("""SELECT o_orderkey AS id, 0 AS position, o_orderstatus AS token FROM {orders} UNION ALL SELECT o_orderkey, 2, o_orderpriority FROM {orders}""")
 def label_tokens(spark: SparkSession, d: str) -> DataFrame:
-    labels = bind(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.lit("film | | k").alias("label"))
+    labels = bind(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat("o_orderstatus", F.lit(" | | "), "o_orderpriority").alias("label"))
     return labels.lateralJoin(describe.label_rows()(F.col("label").outer())).select("id", "position", "token")
 
 

@@ -9,22 +9,15 @@ from pyspark.sql import functions as F
 
 from strata.functions.authors import parse_authors
 from strata.operators import graph, rules, state
+from strata.operators.shared import shared_folder
 from strata.plans.registry import bind, query
 from strata.sources import envelopes, release
 from strata.streaming import ingest
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the checkpoint folder that executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            import tempfile
-
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = sc._jsc.sc().getCheckpointDir().get()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints, which executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, count({c}) = 0 AS empty FROM {{{t}}}" for t, cs in {"nation": ["n_nationkey", "n_name", "n_regionkey"], "events": ["event_id", "ts", "user_id", "event_type", "value", "props"]}.items() for c in cs))
@@ -221,11 +214,11 @@ def missing_reverse(spark: SparkSession, d: str) -> DataFrame:
 ALIASES = "al AS (SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS n, p_partkey AS entity, 'name' AS kind FROM {part} UNION ALL SELECT lower(p_brand), p_partkey, 'brand' FROM {part})"
 
 
-@query(f"WITH {ALIASES}, q AS (SELECT DISTINCT upper(p_name) AS name FROM {{part}} WHERE p_partkey % 10 = 0 UNION SELECT p_brand FROM {{part}} WHERE p_partkey < 5), f AS (SELECT name, entity, array_to_string(list_sort(list(DISTINCT kind)), ',') AS matched_on FROM q JOIN al ON n = lower(name) GROUP BY ALL) SELECT name, entity, matched_on, count(*) OVER (PARTITION BY name) > 1 AS ambiguous FROM f")
+@query(f"WITH {ALIASES}, q AS (SELECT DISTINCT upper(p_name) AS name FROM {{part}} UNION SELECT p_brand FROM {{part}}), f AS (SELECT name, entity, array_to_string(list_sort(list(DISTINCT kind)), ',') AS matched_on FROM q JOIN al ON n = lower(name) GROUP BY ALL) SELECT name, entity, matched_on, count(*) OVER (PARTITION BY name) > 1 AS ambiguous FROM f")
 def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
     p = bind(spark, d, "part")
     aliases = p.select(F.col("p_name").alias("alias"), F.col("p_partkey").alias("entity"), F.lit("name").alias("kind")).union(p.select("p_brand", "p_partkey", F.lit("brand")))
-    names = p.where("p_partkey % 10 = 0").select(F.upper("p_name").alias("name")).union(p.where("p_partkey < 5").select("p_brand")).distinct()
+    names = p.select(F.upper("p_name").alias("name")).union(p.select("p_brand")).distinct()
     return graph.resolve(names, aliases).withColumn("matched_on", F.array_join("matched_on", ","))
 
 

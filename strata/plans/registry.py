@@ -44,9 +44,9 @@ BINDINGS: dict[str, str] = {
                CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 1000.0 END AS k
         FROM {events}""",
     "claims": """
-        SELECT l_orderkey * 10 + l_linenumber AS claim, p_brand AS field, l_suppkey AS document, l_linenumber AS page, l_extendedprice / l_quantity AS value,
+        SELECT l_orderkey * 10 + l_linenumber AS claim, l_partkey AS field, l_suppkey AS document, l_linenumber AS page, l_extendedprice / l_quantity AS value,
                CASE WHEN l_linestatus = 'O' THEN 'nm' WHEN l_linenumber = 3 THEN '' ELSE 'nm' END AS units, l_returnflag AS reactor, l_linestatus AS state
-        FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_suppkey <= 20 AND l_quantity >= 40""",
+        FROM {lineitem}""",
     "passages": "SELECT doc_id AS chunk, lang AS technique, source AS title, text FROM {documents}",
     "questions": "SELECT item_id AS query, text AS question FROM {benchmark}",
 }

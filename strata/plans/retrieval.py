@@ -10,15 +10,15 @@ from strata.operators import evaluate, retrieval
 from strata.plans.registry import bind, query
 
 NOISE = ", ".join(f"'{w}'" for w in t.QUESTION_NOISE)
-TERMS = f"""q AS (SELECT query, list_filter(list_transform(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9.\\-_/]*'), lambda x: lower(regexp_replace(x, '^[.\\-_/]+|[.\\-_/]+$', '', 'g'))), lambda x: length(x) > 1 AND x NOT IN ({NOISE})) AS all_terms FROM {{questions}} WHERE query < 12),
+TERMS = f"""q AS (SELECT query, list_filter(list_transform(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9.\\-_/]*'), lambda x: lower(regexp_replace(x, '^[.\\-_/]+|[.\\-_/]+$', '', 'g'))), lambda x: length(x) > 1 AND x NOT IN ({NOISE})) AS all_terms FROM {{questions}}),
     t AS (SELECT query, term, min(i) AS i FROM (SELECT query, unnest(all_terms) AS term, unnest(range(len(all_terms))) AS i FROM q) GROUP BY query, term), n AS (SELECT query, count(*) AS need FROM t GROUP BY query)"""
 HITS = TERMS + """, b AS (SELECT chunk, lower(title || chr(10) || text) AS body FROM {passages}),
     h AS (SELECT query, chunk, count(*) / max(need) AS coverage, sum((length(body) - length(replace(body, term, ''))) // length(term)) AS hits FROM b JOIN t ON contains(body, term) JOIN n USING (query) GROUP BY query, chunk)"""
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """A stated set of questions: the first twelve benchmark items."""
-    return bind(spark, d, "questions").where("query < 12")
+    """The questions: all benchmark items."""
+    return bind(spark, d, "questions")
 
 
 @query(f"WITH {TERMS} SELECT query, list_aggregate(list(term ORDER BY i), 'string_agg', ' ') AS terms FROM t GROUP BY query")
@@ -62,19 +62,47 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(_questions(spark, d), bind(spark, d, "passages"), 12).withColumn("score", F.round("score", 5))
 
 
-FUSED = BM25 + LEXICAL[len(TERMS):].replace(", b AS (", ", b AS (") + """, u AS (SELECT query, chunk, rank, 1 AS leg FROM k WHERE rank <= 24 UNION ALL SELECT query, chunk, rank, 2 FROM l WHERE rank <= 24),
-    e AS (SELECT query, chunk, sum(1.0 / (60 + rank)) AS rrf, count(*) AS found_by, max(rank) FILTER (WHERE leg = 1) AS rank_1, max(rank) FILTER (WHERE leg = 2) AS rank_2 FROM u GROUP BY query, chunk),
-    o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(rrf, 12) DESC, found_by DESC, chunk) AS rank FROM e)"""
+#: The dense leg: an item's vector is the embedding of its id, for even ids; a passage's that of its own. Both legs over two techniques.
+FUSED = LEXICAL.replace("AS body FROM {passages})", "AS body FROM {passages} WHERE technique IN ('en', 'de'))") + """, k AS (SELECT query, chunk, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM
+        (SELECT e.vec_id AS query, x.vec_id AS chunk, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 12) AS score FROM {embeddings} e JOIN {questions} q ON q.query = e.vec_id AND q.query % 2 = 0, {embeddings} x JOIN {passages} p ON p.chunk = x.vec_id AND p.technique IN ('en', 'de'))),
+    u AS (SELECT query, chunk, rank, 1 AS leg, score FROM k WHERE rank <= 24 UNION ALL SELECT query, chunk, rank, 2, NULL FROM l WHERE rank <= 24),
+    f AS (SELECT query, chunk, sum(1.0 / (60 + rank)) AS rrf, count(*) AS found_by, max(score) AS similarity, max(rank) FILTER (WHERE leg = 1) AS rank_1, max(rank) FILTER (WHERE leg = 2) AS rank_2 FROM u GROUP BY query, chunk),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(rrf, 12) DESC, found_by DESC, similarity DESC NULLS LAST, chunk) AS rank FROM f)"""
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    q, p = _questions(spark, d), bind(spark, d, "passages")
-    return retrieval.fused_top_k(retrieval.fuse(retrieval.bm25(q, p, 24), retrieval.lexical_top_k(q, p, 24)), 6)
+    q, e = _questions(spark, d), bind(spark, d, "embeddings")
+    asked = e.join(q.where("query % 2 = 0").select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    return retrieval.hybrid_top_k(q, bind(spark, d, "passages"), asked, e.select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("v")), 6, techniques=["en", "de"])
 
 
 @query(f"WITH {FUSED} SELECT query, chunk, round(rrf, 8) AS rrf, found_by, rank_1, rank_2, rank FROM o WHERE rank <= 6")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).withColumn("rrf", F.round("rrf", 8))
+    return _fused(spark, d).withColumn("rrf", F.round("rrf", 8)).drop("similarity")
+
+
+SECTIONS = """q AS (SELECT query, question FROM {questions} UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY title), title FROM (SELECT DISTINCT title FROM {passages})), """ + TERMS.replace("q AS (", "qt AS (").replace("FROM {questions})", "FROM q)").replace("FROM q) GROUP BY query, term)", "FROM qt) GROUP BY query, term)") + """, p AS (SELECT * FROM {passages} WHERE technique <> 'fr'),
+    w AS (SELECT chunk, title, text, regexp_extract_all(lower(title), '[a-z0-9]+') AS a, regexp_extract_all(lower(text), '[a-z0-9]+') AS b FROM p), z AS (SELECT count(*) AS docs, avg(len(a) + len(b)) AS mean FROM w),
+    x AS (SELECT chunk, len(a) + len(b) AS n, unnest(a) AS term, 5.0 AS weight FROM w UNION ALL SELECT chunk, len(a) + len(b), unnest(b), 1.0 FROM w),
+    f AS (SELECT term, chunk, n, sum(weight) AS tf FROM x WHERE term IN (SELECT term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    s AS (SELECT query, chunk, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score, count(*) AS held FROM f JOIN df USING (term) JOIN t USING (term), z GROUP BY query, chunk),
+    y AS (SELECT s.*, w.text, CASE WHEN lower(trim(regexp_replace(w.title, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(q.question, '\\s+', ' ', 'g'))) THEN 0 WHEN held = n.need THEN 1 ELSE 2 END AS place FROM s JOIN w USING (chunk) JOIN q ON q.query = s.query JOIN n ON n.query = s.query),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place, round(score, 9) DESC, chunk) AS rank FROM y)"""
+
+
+@query(f"WITH {SECTIONS} SELECT query, chunk, round(score, 5) AS score, place, rank, substr(text, greatest(1, coalesce((SELECT min(instr(lower(r.text), t.term)) FROM t WHERE t.query = r.query AND instr(lower(r.text), t.term) > 0), 1) - 40), 120) AS snippet FROM r WHERE rank <= 8")
+def section_search(spark: SparkSession, d: str) -> DataFrame:
+    p = bind(spark, d, "passages")
+    titles = p.select("title").distinct().withColumn("query", F.row_number().over(Window.orderBy("title")) + 1_000_000).select(F.col("query").cast("bigint").alias("query"), F.col("title").alias("question"))
+    found = retrieval.section_search(_questions(spark, d).unionByName(titles), p, 8, columns={"title": 5.0, "text": 1.0}, family=F.col("technique") != "fr")
+    return found.withColumn("score", F.round("score", 5))
+
+
+@query("""SELECT CASE WHEN vec_id % 10 = 0 THEN 'null' WHEN vec_id % 10 = 1 THEN 'another width' WHEN vec_id % 10 = 2 THEN 'no length' END AS reason, count(*) AS n FROM {embeddings} WHERE vec_id % 10 < 3 GROUP BY 1""")
+def refused_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v, i = F.col("embedding"), F.col("vec_id") % 10
+    odd = F.when(i == 1, F.slice(v, 1, 3)).when(i == 2, F.transform(v, lambda x: x * 0)).when(i > 2, v)
+    return retrieval.refused_vectors(bind(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), odd.alias("v")), 64)
 
 
 @query(f"""WITH {FUSED}, g AS (SELECT o.query, o.chunk, rrf, (SELECT count(*) FROM t WHERE t.query = o.query AND contains(lower(x.text), t.term)) / n.need AS coverage, contains(x.text, '|') OR contains(x.text, chr(9)) AS pipes, x.text FROM o JOIN {{passages}} x ON x.chunk = o.chunk JOIN n ON n.query = o.query WHERE rank <= 6),
@@ -86,13 +114,14 @@ def graded_hits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query", "chunk", "grade", F.round("coverage", 6).alias("coverage"), "useful", "position")
 
 
-COSINE = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM {embeddings}), c AS (SELECT q.vec_id AS query, x.vec_id AS chunk, list_cosine_similarity(q.v, x.v) AS score, q.label = x.label AS same FROM e q, e x WHERE q.vec_id < 10 AND x.vec_id >= 10),
+COSINE = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM {embeddings}), c AS (SELECT q.vec_id AS query, x.vec_id AS chunk, round(list_cosine_similarity(q.v, x.v), 12) AS score, q.label = x.label AS same FROM e q, e x WHERE q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM c)"""
 
 
 def _cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of ids divisible by 20 against all others."""
     e = bind(spark, d, "embeddings")
-    return retrieval.cosine_top_k(e.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), e.where("vec_id >= 10").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("v")), 20)
+    return retrieval.cosine_top_k(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("v")), 20, others_only=True)
 
 
 @query(f"WITH {COSINE} SELECT query, chunk, round(score, 6) AS score, rank FROM r WHERE rank <= 20")
@@ -104,14 +133,13 @@ METRICS = COSINE + """, w AS (SELECT query, count(*) AS n_expected FROM c WHERE
     m AS (SELECT query, n_hits, n_expected, found / n_expected AS recall, found / n_hits AS precision, coalesce(1 / first, 0.0) AS reciprocal_rank, first FROM w JOIN p USING (query))"""
 
 
-def _expected(spark: SparkSession, d: str) -> DataFrame:
-    e = bind(spark, d, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query"), "label")
-    return e.where("vec_id >= 10").join(F.broadcast(q), "label").select("query", F.col("vec_id").alias("chunk"))
-
-
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.case_metrics(_cosine(spark, d), _expected(spark, d))
+    """What is expected of a query are the other vectors of its label: they are counted, not listed."""
+    e = bind(spark, d, "embeddings").select("vec_id", "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("wanted"))
+    sizes = e.groupBy(F.col("label").alias("wanted")).agg((F.count(F.lit(1)) - 1).alias("n_expected"))
+    hits = _cosine(spark, d).join(e.select(F.col("vec_id").alias("chunk"), "label"), "chunk").join(q, "query")
+    return evaluate.counted_metrics(hits.select("query", "rank", (F.col("label") == F.col("wanted")).alias("expected")), q.join(sizes, "wanted").select("query", "n_expected"))
 
 
 @query(f"WITH {METRICS} SELECT query, n_hits, n_expected, round(recall, 6) AS recall, round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank FROM m")
@@ -203,11 +231,9 @@ def other_models(spark: SparkSession, d: str) -> DataFrame:
     return bind(spark, d, "documents").where("source <> 'src0'").groupBy(F.col("source").alias("model")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT b.item_id, d.doc_id FROM {benchmark} b JOIN {documents} d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) WHERE b.item_id < 20""")
+@query("""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM {documents}), b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM {benchmark}) SELECT b.item_id, d.doc_id FROM b JOIN d ON contains(d.t, b.q)""")
 def quote_check(spark: SparkSession, d: str) -> DataFrame:
-    quotes = bind(spark, d, "benchmark").where("item_id < 20").select("item_id", F.lower(t.squeezed(F.col("text"))).alias("quote"))  # a stated set of twenty quotes
-    docs = bind(spark, d, "documents").select("doc_id", F.lower(t.squeezed(F.col("text"))).alias("body"))
-    return docs.join(F.broadcast(quotes), F.contains("body", "quote")).select("item_id", "doc_id")
+    return retrieval.quotes_in(bind(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), bind(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text")).select(F.col("quote_id").alias("item_id"), F.col("source_id").alias("doc_id"))
 
 
 @query("""SELECT doc_id, contains(text, '|') OR contains(text, chr(9)) OR (len(w) >= 8 AND len(list_filter(w, lambda x: regexp_full_match(x, '[-+]?[0-9][0-9.,]*%?'))) / len(w) >= 0.25) AS structured FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {documents})""")

@@ -17,9 +17,15 @@ def survey(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, out).select("table", "c.column", "rows", "c.non_null", (F.col("c.non_null") == 0).alias("empty"))
 
 
+def new_rows(rows: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys aren't staged; a null in a key equals a null, so a replay adds nothing."""
+    have = staged.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    return rows.join(have, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+
+
 def stage(rows: DataFrame, staged: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     """(keys, payload, status) of the rows not staged yet: each row verbatim as JSON, so a replay adds nothing."""
-    return rows.join(staged.select(*keys).distinct(), keys, "left_anti").select(*keys, F.to_json(F.struct(*payload)).alias("payload"), F.lit("staged").alias("status"))
+    return new_rows(rows, staged, keys).select(*keys, F.to_json(F.struct(*payload)).alias("payload"), F.lit("staged").alias("status"))
 
 
 def stage_series(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,7 +71,8 @@ def subset(tables: dict[str, tuple[DataFrame, str]], keep: DataFrame, key: str)
 
 
 def seed_missing(wanted: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    return wanted.join(existing.select(*keys), keys, "left_anti")
+    """Definitions that aren't stored yet."""
+    return new_rows(wanted, existing, keys)
 
 
 def with_lineage(results: DataFrame, *, run_id: str, kind: str, params: str, seed: int | None = None, permutations: int | None = None, eligible: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strata.operators.joins import validity
 from strata.operators.rules import Rule, quarantine
+from strata.sources.release import new_rows
 
 
 def read_files(spark: SparkSession, path: str, schema, *, files_per_batch: int = 100, fmt: str = "parquet") -> DataFrame:
@@ -26,11 +27,11 @@ def _append_new(batch: DataFrame, target: str, keys: list[str]) -> None:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         have = batch.select(*keys).limit(0)
-    batch.dropDuplicates(keys).join(have, keys, "left_anti").write.mode("append").parquet(target)
+    new_rows(batch.dropDuplicates(keys), have, keys).write.mode("append").parquet(target)
 
 
 def stage(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Appends rows whose keys aren't in the target yet, all that is there now, then stops."""
+    """Appends rows whose keys, nulls among them, aren't in the target yet, all that is there now, then stops."""
     return stream.writeStream.foreachBatch(lambda batch, _: _append_new(batch, target, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
