@@ -100,7 +100,12 @@ def unit_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return claims.reconcile(rows).select("claim", "units", "mislabelled", "value")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS g, list({'id': o_orderkey, 'target': o_totalprice} ORDER BY o_orderkey) AS l FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1),
+    c AS (SELECT o_custkey AS g, o_orderkey AS claim, o_totalprice AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders} WHERE o_orderstatus = 'O'),
+    r AS (SELECT g, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS claim, NULL::BIGINT AS expectation FROM e
+          UNION ALL SELECT g, n, CASE WHEN x IS NULL THEN used ELSE list_append(used, x) END, claim, x FROM
+            (SELECT r.g, c.n, r.used, c.claim, list_filter(e.l, lambda s: abs(c.value - s.target) <= 0.05 * abs(s.target) AND NOT list_contains(r.used, s.id))[1].id AS x FROM r JOIN c ON c.g = r.g AND c.n = r.n + 1 JOIN e ON e.g = r.g))
+    SELECT claim, expectation FROM r WHERE expectation IS NOT NULL""")
 def expected_matches(spark: SparkSession, d: str) -> DataFrame:
     o = bind(spark, d, "orders").select(F.col("o_custkey").alias("case"), "o_orderkey", "o_totalprice", "o_orderstatus")
     expected = o.where("o_orderstatus = 'F'").select("case", F.col("o_orderkey").alias("expectation"), F.col("o_totalprice").alias("target"))
