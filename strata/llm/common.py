@@ -198,34 +198,22 @@ def few(ids: DataFrame) -> bool:
     return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
-#: Nodes that hold more than one edge in so many are joined by broadcast: there are fewer than twice as many.
-HUBS = 1_000
-
-
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """The edges (u, v) with m, the least neighbour of u. Hubs, of a number that HUBS bounds, are broadcast, so that no task gets a hub's edges."""
-    least = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")))
-    hubs = least.where(F.col("_n") * HUBS > total).select("u", "m")
-    others = least.where(F.col("_n") * HUBS <= total).select("u", "m")
-    cold = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti")
-    return edges.join(F.broadcast(hubs), "u").unionByName(cold.join(others, "u"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (u, v): component is the smallest node reachable.
 
-    Alternates large-star and small-star rounds until nothing changes. Minima are combined before they are shuffled and
-    hubs are broadcast. Nodes without an edge to another node are absent.
+    Alternates large-star and small-star rounds until nothing changes. Minima are combined before they are shuffled; the
+    least neighbours of a round are written first, so that their join to the edges is one of two plain shuffles, whose
+    partitions adaptive execution splits where a hub's edges fill one. Nodes without an edge to another node are absent.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        large = _with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = checkpoint(large)
-        small = _with_least(large, large.count())
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).distinct()
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         edges = checkpoint(small)
         after = state(edges)
         if after == before:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE_WORDS_LOWER, bounded_batches, buffers, checkpoint, components, few, grams, join_skewed, mix, pieces, signed, text_keys, words
+from strata.llm.common import BROADCAST_IDS, SPACE_WORDS_LOWER, bounded_batches, buffers, checkpoint, components, few, grams, join_skewed, mix, pieces, signed, text_keys, words
 
 #: Keys that a task gathers before it folds them and writes them out; shingles of a group that one task compares.
 FOLD_KEYS = 1 << 21
@@ -270,9 +270,10 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     hashed = rows.where("id IS NOT NULL").select("id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))
-    several = checkpoint(hashed.groupBy("id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("_most")).where("least <> _most").select("id", "least"))
+    several = hashed.groupBy("id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("_most")).where("least <> _most").select("id", "least")
     if several.isEmpty():
         return rows, None
+    several = checkpoint(several)
     top = hashed.agg(F.max("id")).first()[0]
     pairs = hashed.join(F.broadcast(several) if few(several) else several, "id").groupBy("id", "text_hash").agg(F.min("least").alias("least"))
     numbers = checkpoint(pairs.where("text_hash <> least").select("id", "text_hash", F.monotonically_increasing_id().alias("n")))
@@ -337,24 +338,25 @@ def representatives(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     Of a class that of the smallest id stays, of rows that repeat an id and a text one. Texts that share an id but don't
     link all stay; so do rows without an id, which link with nothing.
     """
-    found = checkpoint(members(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col))
+    found = checkpoint(members(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col).where("doc_id IS NOT NULL"))
     numbered = F.coalesce(F.xxhash64(text_col), F.lit(0))
-    behind = found.where("doc_id IS NOT NULL AND NOT leads")
-    plain = behind.where("text_hash IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    # an id that several texts share: one of them has its id for a number, the others are told by their hash
-    shared = checkpoint(found.where("text_hash IS NOT NULL").select("doc_id").distinct())
-    if not shared.isEmpty():
-        hashes = shared.join(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), numbered.alias("_hash")).distinct(), "doc_id")
-        least = hashes.groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
-        first = least.join(behind.where("text_hash IS NULL").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("_id"), "_hash")
+    behind = found.where("NOT leads")
+    count, numbers = behind.agg(F.count(F.lit(1)), F.count("text_hash")).first()
+    plain = behind.where("text_hash IS NULL").select(F.col("doc_id").alias("_id"))
+    shared = found.where("text_hash IS NOT NULL").select("doc_id").distinct()
+    if numbers or not shared.isEmpty():
+        # an id that several texts share: the text of the least hash has the id for its number, the others are told by their hash
+        shared = checkpoint(shared)
+        least = shared.join(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), numbered.alias("_hash")), "doc_id").groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
+        first = least.join(behind.where("text_hash IS NULL"), "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), "_hash")
         gone = checkpoint(first.unionByName(behind.where("text_hash IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()))
         plain = plain.join(shared.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
         docs = docs.join(F.broadcast(gone) if few(gone) else gone, F.col(id_col).eqNullSafe(F.col("_id")) & (numbered == F.col("_hash")), "left_anti")
-    docs = docs.join(F.broadcast(plain) if few(plain) else plain, F.col(id_col) == F.col("_id"), "left_anti")
-    again = found.where("doc_id IS NOT NULL AND leads").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id").distinct()
-    again = checkpoint(again.withColumnRenamed("doc_id", "_id"))
+    docs = docs.join(F.broadcast(plain) if count <= BROADCAST_IDS else plain, F.col(id_col) == F.col("_id"), "left_anti")
+    again = found.where("leads").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_id")).distinct()
     if again.isEmpty():
         return docs
+    again = checkpoint(again)
     held = F.broadcast(again) if few(again) else again
     repeated = docs.join(held, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_hash", numbered)
     return docs.join(held, F.col(id_col) == F.col("_id"), "left_anti").unionByName(repeated.dropDuplicates([id_col, "_hash"]).drop("_hash"))

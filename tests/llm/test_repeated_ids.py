@@ -42,9 +42,7 @@ def test_one_document_of_each_class_stays(spark):
     assert jaccard_join.representatives(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hubs", [1000, 2])
-def test_components_of_paths_stars_and_rings(spark, monkeypatch, hubs):
-    monkeypatch.setattr("strata.llm.common.HUBS", hubs)
+def test_components_of_paths_stars_and_rings(spark):
     path = [(i, i + 1) for i in range(0, 300)]
     star = [(1000, 1000 + i) for i in range(1, 200)] + [(1999, 1300 + i) for i in range(150)] + [(1100, 1350)]
     ring = [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(5000, 5000), (6001, 6000), (6000, 6001)]
