@@ -7,6 +7,7 @@ characters always belong to words.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,6 +181,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: for rounds of joins, whose size estimates a checkpoint would carry on and multiply."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_skewed(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left outer join to `right`, which has each key once, where few keys may hold most rows of `left`.
 
@@ -205,16 +213,16 @@ def components(edges: DataFrame) -> DataFrame:
     least neighbours of a round are written first, so that their join to the edges is one of two plain shuffles, whose
     partitions adaptive execution splits where a hub's edges fill one. Nodes without an edge to another node are absent.
     """
-    edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
-        edges = checkpoint(small)
+        edges = written(small)
         after = state(edges)
         if after == before:
             break

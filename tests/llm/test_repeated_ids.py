@@ -43,7 +43,7 @@ def test_one_document_of_each_class_stays(spark):
 
 
 def test_components_of_paths_stars_and_rings(spark):
-    path = [(i, i + 1) for i in range(0, 300)]
+    path = [(i, i + 1) for i in range(0, 999)]
     star = [(1000, 1000 + i) for i in range(1, 200)] + [(1999, 1300 + i) for i in range(150)] + [(1100, 1350)]
     ring = [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(5000, 5000), (6001, 6000), (6000, 6001)]
     got = {tuple(r) for r in components(spark.createDataFrame(path + star + ring, "u bigint, v bigint").repartition(4)).collect()}
