@@ -29,6 +29,11 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*QUESTION_NOISE)))
 
 
+def stem(word: Column) -> Column:
+    """A lower-cased word without its plural ending: -ies is -y, a last -s goes, but for -us, -ss, -is and words of three letters."""
+    return F.when((F.length(word) > 4) & word.rlike("[^ae]ies$"), F.concat(word.substr(F.lit(1), F.length(word) - 3), F.lit("y"))).when((F.length(word) > 3) & word.rlike("[^usi]s$"), word.substr(F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
 def coverage(text: Column, of: Column) -> Column:
     """The share of terms that a text holds as substrings; 0 without terms."""
     low = F.lower(text)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from strata.functions import text as t
 
 RRF_K, DEPTH = 60, 24
+#: What a cover without other words adds to the rank of a passage.
+COVER = 0.1
 #: Vectors and queries of a block.
 BLOCK, ASKED = 2048, 128
 
@@ -121,18 +123,31 @@ def quotes_in(quotes: DataFrame, sources: DataFrame, *, words: int = 5) -> DataF
 
 
 def index(passages: DataFrame) -> DataFrame:
-    """(term, chunk, pos): the positions of every token, lower-cased."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
-    return passages.select("chunk", F.posexplode(words).alias("pos", "term"))
+    """(term, chunk, pos): the positions of every word of title and text, without its plural ending."""
+    words = F.regexp_extract_all(F.lower(F.concat_ws("\n", "title", "text")), F.lit("([a-z0-9]+)"), 1)
+    return passages.select("chunk", F.posexplode(words).alias("pos", "word")).select(t.stem(F.col("word")).alias("term"), "chunk", "pos")
 
 
 def precise(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """(query, chunk, score, rank) of passages that hold all terms, nearer terms first: one over the least span of a term with the first."""
-    q = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term")).where(F.col("term").rlike("^[a-z0-9]+$"))
+    """(query, chunk, score, rank) of passages that hold all terms, ranked by cover density; ties to the smaller chunk.
+
+    A cover is a stretch of a passage that holds all terms and no shorter one that does; it adds COVER over one more than
+    the words in it that are no terms. The stretch that ends at a place starts at the least of the last places of each
+    term up to there, which is a running maximum a term: rows are the places of terms times the terms of the question.
+    """
+    words = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term")).select("query", F.explode(F.regexp_extract_all("term", F.lit("([a-z0-9]+)"), 1)).alias("word"))
+    q = words.select("query", t.stem(F.col("word")).alias("term")).distinct()
     need = q.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    met = postings.join(q, "term").groupBy("query", "chunk", "term").agg(F.min("pos").alias("first"))
-    met = met.groupBy("query", "chunk").agg(F.count(F.lit(1)).alias("n"), (F.max("first") - F.min("first") + 1).alias("span"))
-    return _top(met.join(need, "query").where("n = need").select("query", "chunk", (1 / F.col("span")).alias("score")), k, F.desc("score"), F.col("chunk"))
+    met = postings.join(q, "term")
+    whole = met.groupBy("query", "chunk").agg(F.count_distinct("term").alias("n")).join(need, "query").where("n = need").select("query", "chunk", "need")
+    placed = met.join(whole, ["query", "chunk"]).withColumn("place", F.row_number().over(Window.partitionBy("query", "chunk").orderBy("pos")))
+    until = Window.partitionBy("query", "chunk", "other").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.max(F.when(F.col("term") == F.col("other"), F.col(c))).over(until)
+    seen = placed.join(q.withColumnRenamed("term", "other"), "query").withColumns({"_pos": last("pos"), "_place": last("place")})
+    ends = seen.groupBy("query", "chunk", "pos", "place", "need").agg(F.count("_pos").alias("n"), F.min("_pos").alias("begin"), F.min("_place").alias("first")).where("n = need")
+    covers = ends.groupBy("query", "chunk", "begin", "first").agg(F.min("pos").alias("end"), F.min("place").alias("last"))
+    noise = (F.col("end") - F.col("begin")) - (F.col("last") - F.col("first"))
+    return _top(covers.groupBy("query", "chunk").agg(F.sum(COVER / (1 + noise)).alias("score")), k, F.round("score", 9).desc(), F.col("chunk"))
 
 
 def relaxed(queries: DataFrame, passages: DataFrame, found: DataFrame, k: int) -> DataFrame:

@@ -194,6 +194,34 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def leakage_partials(df: DataFrame, y: str, inputs: dict[str, Column], descriptors: list[str], *, tolerance: float = 1e-8, flag: float = 0.1) -> DataFrame:
+    """(descriptor, sd, reproducible, partial, flagged): whether a log score is a linear combination of its log inputs, over the complete cases.
+
+    sd is the standard deviation of what least squares on the inputs leave. Only where the score is not reproducible,
+    partial is the correlation of that rest with what they leave of a descriptor, null where they leave nothing of it;
+    flagged are those beyond `flag`. Two passes of aggregates; without cases, or with collinear inputs, sd is null and reproducible false.
+    """
+    xs = list(inputs)
+    df = df.select(F.col(y).alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(inputs.values())], *[F.col(d).cast("double").alias(f"_d{i}") for i, d in enumerate(descriptors)])
+    df, names, k = df.dropna(), [f"_x{i}" for i in range(len(xs))], len(xs) + 1
+    targets = ["_y", *[f"_d{i}" for i in range(len(descriptors))]]
+    schema = "descriptor string, sd double, reproducible boolean, partial double, flagged boolean"
+    n, s = moments(df, targets[0], [*names, *targets[1:]])
+    if n <= k or np.linalg.matrix_rank(s[:k, :k]) < k:
+        return df.sparkSession.createDataFrame([(d, None, False, None, None) for d in descriptors], schema)
+    at = {c: k + i for i, c in enumerate(targets[1:])} | {"_y": s.shape[0] - 1}
+    rest = {}
+    for c in targets:
+        b = np.linalg.solve(s[:k, :k], s[:k, at[c]])
+        rest[c] = F.col(c) - float(b[0]) - sum((float(v) * F.col(x) for v, x in zip(b[1:], names, strict=True)), F.lit(0.0))
+    left = df.select(*[r.alias(c) for c, r in rest.items()], F.col("_y").alias("_whole"), *[F.col(c).alias(f"{c}_whole") for c in targets[1:]])
+    near = lambda c, whole: F.stddev_samp(c) <= tolerance * F.greatest(F.stddev_samp(whole), F.lit(1.0))
+    row = left.agg(F.stddev_samp("_y").alias("sd"), near("_y", "_whole").alias("fine"), *[F.when(~near(c, f"{c}_whole"), F.corr(c, "_y")).alias(c) for c in targets[1:]])
+    one = lambda i, d: F.struct(F.lit(d).alias("descriptor"), "sd", F.col("fine").alias("reproducible"), F.when(~F.col("fine"), F.col(f"_d{i}")).alias("partial"))
+    rows = row.select(F.explode(F.array(*[one(i, d) for i, d in enumerate(descriptors)])).alias("r")).select("r.*")
+    return rows.withColumn("flagged", F.abs("partial") > flag)
+
+
 def vif(df: DataFrame, xs: list[str]) -> DataFrame:
     """(term, vif, warning): the diagonal of the inverse correlation matrix; infinite where predictors are collinear, a warning from 10."""
     n, s = moments(df, xs[0], xs)

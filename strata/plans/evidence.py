@@ -157,7 +157,10 @@ def null_vs_observed_corr(spark: SparkSession, d: str) -> DataFrame:
     return score.weight_correlations(_weights(spark)).join(observed, ["a", "b"]).select("a", "b", F.round("null_r", 6).alias("null_r"), F.round("r", 5).alias("observed_r"))
 
 
-@query("SELECT true AS reproducible, 0.0 AS sd")
+REST_SQL = "r AS (SELECT ln(exp(" + " + ".join(f"{t.weight} * ln({z_sql(t)})" for t in WIDE) + ")) - (" + " + ".join(f"{t.weight} * ln({z_sql(t)})" for t in WIDE) + ") AS rest FROM {part_measures})"
+
+
+@query(f"WITH {REST_SQL} SELECT stddev_samp(rest) <= 1e-6 AS reproducible, round(stddev_samp(rest), 6) AS sd FROM r")
 def leakage_check(spark: SparkSession, d: str) -> DataFrame:
     scored = score.score(bind(spark, d, "part_measures"), WIDE)
     z = {t.key: F.ln(scalar.normalised(F.col(t.key), t.lo, t.hi, log10=t.log10, cost=t.cost)["z"]) for t in WIDE}
@@ -165,6 +168,26 @@ def leakage_check(spark: SparkSession, d: str) -> DataFrame:
     return out.select("reproducible", F.round("sd", 6).alias("sd"))
 
 
+def _rest_sql(y: str) -> str:
+    """What least squares on x1 and x2 leave of a column, from the covariances in v."""
+    slope = lambda a, b: f"(c{a}_{y} * v{b} - c{b}_{y} * v12) / (v1 * v2 - v12 * v12)"
+    return f"{y} - m_{y} - {slope(1, 2)} * (x1 - m1) - {slope(2, 1)} * (x2 - m2) AS {y}"
+
+
+LEAK_SQL = ("x AS (SELECT " + " + ".join(f"{t.weight} * ln({z_sql(t)})" for t in WIDE) + f" AS y, ln({z_sql(WIDE[0])}) AS x1, ln({z_sql(WIDE[1])}) AS x2, tan_delta AS a, eg AS b FROM {{part_measures}}), w AS (SELECT * FROM x WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), "
+    "v AS (SELECT var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS v12, avg(x1) AS m1, avg(x2) AS m2, " + ", ".join(f"covar_pop(x1, {y}) AS c1_{y}, covar_pop(x2, {y}) AS c2_{y}, avg({y}) AS m_{y}" for y in "yab") + " FROM w), "
+    "f AS (SELECT " + ", ".join(_rest_sql(y) for y in "yab") + " FROM w, v)")
+
+
+@query(f"WITH {LEAK_SQL} SELECT 'tan_delta' AS descriptor, round(stddev_samp(y), 6) AS sd, false AS reproducible, round(corr(y, a), 5) AS partial, abs(corr(y, a)) > 0.1 AS flagged FROM f UNION ALL SELECT 'eg', round(stddev_samp(y), 6), false, round(corr(y, b), 5), abs(corr(y, b)) > 0.1 FROM f")
+def leakage_partials(spark: SparkSession, d: str) -> DataFrame:
+    """A score of four inputs of which two are declared: the descriptors that go with what is left."""
+    scored = score.score(bind(spark, d, "part_measures"), WIDE)
+    z = {t.key: F.ln(scalar.normalised(F.col(t.key), t.lo, t.hi, log10=t.log10, cost=t.cost)["z"]) for t in WIDE[:2]}
+    out = stats.leakage_partials(scored.withColumn("_y", F.ln("score")), "_y", z, ["tan_delta", "eg"])
+    return out.select("descriptor", F.round("sd", 6).alias("sd"), "reproducible", F.round("partial", 5).alias("partial"), "flagged")
+
+
 STAT_KEYS = ["eg", "k", "ebd", "tan_delta", "kappa_th"]
 LONG_SQL = "l AS (" + " UNION ALL ".join(f"SELECT material AS id, '{k}' AS key, CAST({k} AS DOUBLE) AS value FROM {{part_measures}} WHERE {k} IS NOT NULL" for k in STAT_KEYS) + "), c AS (SELECT x.key AS x_key, y.key AS y_key, id, x.value AS x, y.value AS y FROM l x JOIN l y USING (id) WHERE x.key < y.key)"
 
@@ -209,7 +232,7 @@ def standardised_values(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), "refused", F.round("z", 5).alias("z"))
 
 
-@query("SELECT * FROM (VALUES ('k', 'log10'), ('c_acctbal', 'none')) AS v(key, transform)")
+@query("SELECT 'k' AS key, CASE WHEN min(k) > 0 THEN 'log10' ELSE 'none' END AS transform FROM {part_measures} UNION ALL SELECT 'c_acctbal', CASE WHEN min(c_acctbal) > 0 THEN 'log10' ELSE 'none' END FROM {customer}")
 def log_fallback(spark: SparkSession, d: str) -> DataFrame:
     both = bind(spark, d, "part_measures").select("k", F.lit(None).cast("double").alias("c_acctbal")).union(bind(spark, d, "customer").select(F.lit(None).cast("double"), "c_acctbal"))
     return spark.createDataFrame(list(stats.log_fallback(both, ["k", "c_acctbal"]).items()), "key string, transform string")

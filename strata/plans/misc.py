@@ -10,7 +10,7 @@ from strata.operators import evidence
 from strata.operators.rules import Rule, first_reason
 from strata.plans.records import _stream, scratch
 from strata.plans.registry import bind, query
-from strata.sources import release
+from strata.sources import envelopes, release
 from strata.streaming import ingest
 
 # fixed values: keys, units, direction and required context of the registry
@@ -158,3 +158,15 @@ def gap_families(spark: SparkSession, d: str) -> DataFrame:
     gaps = spark.createDataFrame([("reg",), ("box",), ("none",), ("nation",)], "gap string")
     families = bind(spark, d, "region").select(F.explode(F.array(*map(F.lit, ["reg", "boxes", "nation", "nations"]))).alias("family"))
     return release.gap_families(gaps, families)
+
+
+@query("""SELECT event_id AS record, CASE event_type WHEN 'view' THEN 'energy' WHEN 'click' THEN 'spatial' ELSE 'other' END AS kind, CASE WHEN user_id % 3 = 0 THEN 'um' WHEN event_type = 'view' THEN 'eV' END AS units,
+    CASE WHEN user_id % 3 = 0 THEN 'container' WHEN event_type = 'view' THEN 'caller' END AS units_source, CASE WHEN value > 50 THEN value WHEN user_id % 4 < 2 THEN 1.5 + user_id % 4 END AS dispersion FROM {events}""")
+def signal_axes(spark: SparkSession, d: str) -> DataFrame:
+    e, u = bind(spark, d, "events"), F.col("user_id")
+    kind = F.when(F.col("event_type") == "view", " Energy").when(F.col("event_type") == "click", "spatial").otherwise(F.col("event_type"))
+    axis = F.struct(F.lit("").alias("name"), kind.alias("kind"), F.when(u % 3 == 0, " um ").otherwise(" ").alias("units"))
+    known = F.create_map(F.lit("c0"), F.lit(1.5), F.lit("c1"), F.lit(2.5))
+    own = F.when(F.col("value") > 50, F.col("value"))
+    rows = e.select(F.col("event_id").alias("record"), envelopes.resolved_axes(F.array(axis), ["energy", "spatial", "time"], {"energy": "eV"})[0].alias("a"), envelopes.resolved_calibration(own, F.concat(F.lit("c"), u % 4), known).alias("dispersion"))
+    return rows.select("record", "a.kind", "a.units", "a.units_source", "dispersion")

@@ -34,10 +34,15 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.lexical_top_k(_questions(spark, d), bind(spark, d, "passages"), 24).withColumn("score", F.round("score", 6))
 
 
-PRECISE = TERMS + """, w AS (SELECT chunk, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {passages}), p AS (SELECT chunk, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w),
-    t2 AS (SELECT query, term FROM t WHERE regexp_full_match(term, '[a-z0-9]+')), n2 AS (SELECT query, count(*) AS need FROM t2 GROUP BY query),
-    m AS (SELECT query, chunk, term, min(pos) AS f FROM p JOIN t2 USING (term) GROUP BY ALL), s AS (SELECT query, chunk, count(*) AS n, max(f) - min(f) + 1 AS span FROM m GROUP BY ALL),
-    r AS (SELECT query, chunk, 1 / span AS score, row_number() OVER (PARTITION BY query ORDER BY 1 / span DESC, chunk) AS rank FROM s JOIN n2 USING (query) WHERE n = need)"""
+STEM = "CASE WHEN length(w) > 4 AND regexp_matches(w, '[^ae]ies$') THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 3 AND regexp_matches(w, '[^usi]s$') THEN substr(w, 1, length(w) - 1) ELSE w END"
+PRECISE = TERMS + f""", w AS (SELECT chunk, regexp_extract_all(lower(title || chr(10) || text), '[a-z0-9]+') AS w FROM {{passages}}), p AS (SELECT chunk, {STEM} AS term, pos FROM (SELECT chunk, unnest(w) AS w, unnest(range(len(w))) AS pos FROM w)),
+    t2 AS (SELECT DISTINCT query, {STEM} AS term FROM (SELECT query, unnest(regexp_extract_all(term, '[a-z0-9]+')) AS w FROM t)), n2 AS (SELECT query, count(*) AS need FROM t2 GROUP BY query),
+    m AS (SELECT query, chunk, term, pos FROM p JOIN t2 USING (term)), h2 AS (SELECT query, chunk, need FROM m JOIN n2 USING (query) GROUP BY query, chunk, need HAVING count(DISTINCT term) = need),
+    o AS (SELECT m.*, need, row_number() OVER (PARTITION BY query, chunk ORDER BY pos) AS place FROM m JOIN h2 USING (query, chunk)),
+    e AS (SELECT o.query, o.chunk, o.pos, o.place, l.term, max(l.pos) AS pos_l, max(l.place) AS place_l, any_value(o.need) AS need FROM o JOIN o l ON o.query = l.query AND o.chunk = l.chunk AND l.pos <= o.pos GROUP BY ALL),
+    b AS (SELECT query, chunk, pos, place, min(pos_l) AS begin_, min(place_l) AS first_ FROM e GROUP BY query, chunk, pos, place HAVING count(*) = any_value(need)),
+    c AS (SELECT query, chunk, begin_, min(pos) - begin_ - (min(place) - first_) AS noise FROM b GROUP BY query, chunk, begin_, first_), s AS (SELECT query, chunk, sum(0.1::DOUBLE / (1 + noise)) AS score FROM c GROUP BY query, chunk),
+    r AS (SELECT query, chunk, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM s)"""
 
 
 @query(f"WITH {PRECISE} SELECT query, chunk, round(score, 8) AS score, rank FROM r WHERE rank <= 10")

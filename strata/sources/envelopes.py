@@ -46,6 +46,25 @@ def import_new(incoming: DataFrame, stored: DataFrame, sha: str = "sha") -> Data
     return incoming.dropDuplicates([sha]).join(stored.select(sha).distinct(), sha, "left_anti")
 
 
+def resolved_axes(axes: Column, kinds: list[str], hints: dict[str, str] | None = None) -> Column:
+    """Axes (name, kind, units) with units_source: a kind outside the vocabulary is 'other'; a unit of the container's wins over the caller's hint for the kind."""
+    given = F.create_map(*[F.lit(x) for pair in (hints or {"": ""}).items() for x in pair])
+
+    def one(a: Column) -> Column:
+        said = F.lower(F.trim(F.coalesce(a["kind"], F.lit("other"))))
+        own, hint = F.nullif(F.trim(a["units"]), F.lit("")), F.nullif(F.trim(F.try_element_at(given, said)), F.lit(""))
+        kind = F.when(said.isin(*kinds), said).otherwise("other")
+        source = F.when(own.isNotNull(), "container").when(hint.isNotNull(), "caller")
+        return F.struct(F.coalesce(F.nullif(a["name"], F.lit("")), kind).alias("name"), kind.alias("kind"), F.coalesce(own, hint).alias("units"), source.alias("units_source"))
+
+    return F.transform(axes, one)
+
+
+def resolved_calibration(own: Column, ref: Column, table: Column) -> Column:
+    """A signal's own calibration, else that of its envelope's table (a map by id) under its reference; null where neither is, so that the validator can report it."""
+    return F.coalesce(own, F.try_element_at(table, F.coalesce(ref, F.lit(""))))
+
+
 def flatten_signals(records: DataFrame) -> DataFrame:
     """(record, position, signal fields..) of records with an array `signals`; `rank_matches` tells whether a shape has an axis for each dimension."""
     rows = records.select("record", F.posexplode("signals").alias("position", "s")).select("record", "position", "s.*")

@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from strata.plans import registry
 from tests.conftest import DATA
 
-SAMPLE = ["fom_score", "eligible_values", "bh_fdr", "consensus_median", "since_improved", "validity_join", "bm25_topk", "canonical_units", "fit_promotion", "card_upsert", "author_components", "stream_quarantine", "unsupported_numbers", "expected_matches"]
+SAMPLE = ["fom_score", "eligible_values", "bh_fdr", "consensus_median", "since_improved", "validity_join", "bm25_topk", "canonical_units", "fit_promotion", "card_upsert", "author_components", "stream_quarantine", "unsupported_numbers", "expected_matches", "fulltext_precise", "leakage_check", "leakage_partials", "log_fallback", "signal_axes"]
 
 
 def plain(v):
