@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions import units
+
 #: Claims of a field beyond which its pairs are dealt to blocks, and how many of the commonest fields can be (a fixed number, broadcast).
 FIELD_BLOCK, HOT_FIELDS = 2_000, 256
 
@@ -53,16 +55,37 @@ def contradictions(claims: DataFrame, *, fraction: float = 0.10, context: tuple[
 def greedy_match(expected: DataFrame, extracted: DataFrame, on: str, fits) -> DataFrame:
     """(on, claim, expectation): each claim, in the order of its id, takes the first expectation of its group that fits and is free.
 
-    `fits(value, target)` is a column. The order matters, so a group, the claims of one case, is matched in one task.
+    `fits(value, target)` is a column. The order matters, so the pairs of a group that fit, those of one case, are matched in one task.
+    """
+    return _first_free(extracted.join(expected, on).where(fits(F.col("value"), F.col("target"))).select(on, "claim", "expectation"), on)
+
+
+def matched_claims(expected: DataFrame, claims: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """(case, claim, expectation, units_agree): `greedy_match` of claims (case, claim, field, value, units) with expectations (case, expectation, field, value, units, tolerance).
+
+    A claim fits an expectation of its field, or of one that has its field as an alias, when its value lies within the
+    relative tolerance of the expected one, converted to the unit that the claim's field declares; an expectation without a
+    value fits any. Units agree where none are expected or both are one after conversion. Null fields fit nothing.
     """
-    pairs = extracted.join(expected, on).where(fits(F.col("value"), F.col("target"))).select(on, "claim", "expectation")
+    other = F.create_map(*[x for k, v in (aliases or {"": []}).items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    keys = F.array_distinct(F.concat(F.array("field"), F.coalesce(F.try_element_at(other, F.col("field")), F.array().cast("array<string>"))))
+    wanted = units.to_declared(expected.where("field IS NOT NULL").withColumn("key", F.explode(keys)), "key")
+    wanted = wanted.select("case", "expectation", F.col("key").alias("field"), F.col("value").isNull().alias("any"), F.col("canonical").alias("target"), F.col("canonical_units").alias("target_units"), "tolerance", F.col("units").isNull().alias("no_units"))
+    near = F.abs(F.col("value") - F.col("target")) <= F.greatest(F.abs("target") * F.col("tolerance"), F.lit(1e-12))
+    pairs = claims.select("case", "claim", "field", "value", "units").join(wanted, ["case", "field"]).where(F.col("any") | near)
+    agree = F.col("no_units") | units.normalised(F.col("units")).eqNullSafe(units.normalised(F.col("target_units")))
+    pairs = pairs.select("case", "claim", "expectation", agree.alias("units_agree"))
+    return _first_free(pairs.select("case", "claim", "expectation"), "case").join(pairs, ["case", "claim", "expectation"])
+
 
+def _first_free(pairs: DataFrame, on: str) -> DataFrame:
     def match(group: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), {}
-        for r in group.sort_values(["claim", "expectation"]).itertuples():
-            if r.claim not in out and r.expectation not in used:
-                out[r.claim] = r.expectation
-                used.add(r.expectation)
+        group = group.sort_values(["claim", "expectation"])
+        for claim, expectation in zip(group["claim"], group["expectation"], strict=True):
+            if claim not in out and expectation not in used:
+                out[claim] = expectation
+                used.add(expectation)
         return pd.DataFrame({on: group[on].iloc[0], "claim": list(out), "expectation": list(out.values())})
 
     return pairs.groupBy(on).applyInPandas(match, pairs.schema)

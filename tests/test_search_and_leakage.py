@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import text as t
-from strata.operators import retrieval, stats
+from strata.operators import joins, retrieval, stats
 from strata.sources import envelopes
 
 
@@ -68,3 +68,16 @@ def test_axes_and_calibrations(spark):
     got = {r.id: (None if r.axes is None else [tuple(a) for a in r.axes], r.c) for r in got}
     assert got[1] == ([("e", "energy", "eV", "container"), ("other", "other", None, None), ("other", "other", None, None)], 1.0)
     assert got[2] == (None, 9.0) and got[3] == ([], None) and got[4] == ([("t", "time", "s", "caller")], None)
+
+
+def test_claims_meet_expectations_by_alias_and_unit(spark):
+    expected = spark.createDataFrame(
+        [(1, 1, "oxygen_pressure", 100.0, "mTorr", 0.05), (1, 2, "temperature_c", 700.0, None, 0.01), (1, 3, "temperature_c", 973.15, "K", 0.01), (1, 4, "note", None, None, 0.0), (2, 1, "temperature_c", 0.0, "degC", 0.1), (2, 2, None, 1.0, None, 0.1)],
+        "case int, expectation int, field string, value double, units string, tolerance double")
+    claims = spark.createDataFrame(
+        [(1, 10, "pressure_torr", 0.101, "torr"), (1, 11, "temperature_c", 699.0, "degC"), (1, 12, "temperature_c", 701.0, "F"), (1, 13, "temperature_c", 700.0, "degC"), (1, 14, "note", 5.0, None), (1, 15, "pressure_torr", 0.2, "torr"),
+         (2, 20, "temperature_c", 0.1, "degC"), (2, 21, "temperature_c", None, "degC"), (2, 22, None, 1.0, None)],
+        "case int, claim int, field string, value double, units string")
+    got = joins.matched_claims(expected, claims, {"oxygen_pressure": ["pressure_torr"]}).collect()
+    assert {(r.case, r.claim): (r.expectation, r.units_agree) for r in got} == {(1, 10): (1, True), (1, 11): (2, True), (1, 12): (3, False), (1, 14): (4, True)}
+    assert joins.matched_claims(expected.limit(0), claims).count() == 0
