@@ -315,6 +315,14 @@ def members(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_co
     member = checkpoint(texts.where("member IS NOT NULL").groupBy("id").agg(F.min("member").alias("member")))
     to = lambda df, c: df.join(member.withColumnRenamed("id", c), c).drop(c).withColumnRenamed("member", c)
     near = to(to(near.distinct(), "u"), "v").where("u <> v").distinct()
+    return resolve(source, numbers, texts, near, k, rule)
+
+
+def resolve(source: DataFrame, numbers: DataFrame | None, texts: DataFrame, near: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """The rows of `members` out of candidate pairs `near` (u, v): sets are compared in full within the groups that the pairs connect.
+
+    `texts` has (id, n, digest, member) of each row of `source`: the size and digest of its set and the least id with an equal one.
+    """
     candidates = checkpoint(components(near))
     links = _links(source, candidates, texts, k, rule)
     found = checkpoint(components(links)).withColumnRenamed("node", "member")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import checkpoint
-from strata.llm import decontaminate, html_extract, jaccard_join, language_id, license_scan, mixing, sharding, substring_dedup, vector_topk, warc
+from strata.llm import decontaminate, fill_in_middle, hard_negatives, html_extract, jaccard_join, language_id, license_scan, minhash_dedup, mixing, sharding, substring_dedup, vector_topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", label.alias("label")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_vector_topk, op3_mix_sources, op4_warc, op5_jaccard_join, op6_license_scan,
-        op7_language_id, op8_decontaminate, op9_shard, op10_substring_dedup, page_languages,
+        op7_language_id, op8_decontaminate, op9_shard, op10_substring_dedup, op11_fill_in_middle, op12_minhash_dedup, op13_hard_negatives, page_languages,
     )
 }
 
@@ -114,6 +129,20 @@ def html_sql() -> str:
         SELECT page_id, url, array_to_string(t, chr(10)) AS text, CAST(length(array_to_string(t, chr(10))) AS BIGINT) AS n_chars FROM c"""
 
 
+def similar_sql(num: int, den: int, more: str = "") -> str:
+    """SQL of the components that links of 3-word shingles make."""
+    return rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE {den} * shared >= {num} * (x.n + y.n - shared)),
+        t AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT t.v, r.c FROM r JOIN t ON t.u = r.doc_id WHERE r.c < t.v)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id{more}
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) USING (doc_id)"""
+
+
 #: DuckDB SQL by query. The labels of the license templates, languages and shuffled slots have none; tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op1_html_extract": html_sql(),
@@ -134,16 +163,26 @@ ORACLE_SQL: dict[str, str] = {
                list_aggregate(flatten(list_transform(n, lambda x: list_transform([32768, 1024, 32, 1], lambda y: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // y) % 32 + 1 AS INTEGER), 1)))), 'string_agg', '') AS payload_digest,
                CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
         FROM f""",
-    "op5_jaccard_join": r"""
-        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-        e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
-        t AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
-        r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT t.v, r.c FROM r JOIN t ON t.u = r.doc_id WHERE r.c < t.v)
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
-        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) USING (doc_id)""",
+    "op5_jaccard_join": similar_sql(90, 100),
+    "op12_minhash_dedup": similar_sql(85, 100, ", coalesce(c, d.doc_id) = d.doc_id AS kept"),
+    "op11_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+        h AS (SELECT doc_id, t, length(t) AS n, list_transform(range(4), lambda i: CAST(('0x' || substr(s, CAST(8 * i + 1 AS INTEGER), 8)) AS BIGINT)) AS h FROM d),
+        c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substring(t, 1, a) AS x, substring(t, a + 1, b - a) AS y, substring(t, b + 1, n - b) AS z FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM p""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, row_number() OVER () AS r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+        s AS (SELECT a.r AS a, a.vec_id AS anchor_id, a.label AS mine, c.r, c.vec_id, c.label, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.r <> c.r AND len(a.e) = len(c.e) WHERE a.vec_id % 50 = 0),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) AS place FROM s WHERE label = mine) WHERE place <= 5),
+        n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.vec_id, s.r) AS INTEGER) AS rank
+              FROM p JOIN s ON s.a = p.a AND s.label <> p.mine AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op10_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
