@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as t
+from strata.operators import ranked
+from strata.operators.shared import shared_folder
 
 RRF_K, DEPTH = 60, 24
 #: What a cover without other words adds to the rank of a passage.
@@ -75,31 +77,43 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, least: float
     return top.where(F.col("score") >= least) if least is not None else top
 
 
-def term_hits(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query, chunk, coverage, hits): how much of a question's terms each passage holds as substrings, passages without any left out.
+def questioned(queries: DataFrame) -> DataFrame:
+    """(query, terms, scale) of the questions that have terms; scale is their number."""
+    return queries.select("query", t.terms(F.col("question")).alias("terms")).where(F.size("terms") > 0).withColumn("scale", F.size("terms"))
+
+
+def substring_posts(asked: DataFrame, passages: DataFrame) -> DataFrame:
+    """(term, chunk, hits) of the terms that stand in title or text as substrings.
 
     A term lies within a run of the characters that terms are made of. So terms are looked for in the different runs of
-    the corpus, by their first three characters, and passages are reached over the runs that they hold: no question meets
-    a passage that has none of its terms.
+    the corpus, by their first three characters, and passages are reached over the runs that they hold.
     """
-    asked = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term"))
-    need = asked.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    runs = F.regexp_extract_all(F.lower(F.concat_ws("\n", "title", "text")), F.lit(r"([a-z0-9.\-_/]+)"), 1)
-    held = passages.select("chunk", F.explode(runs).alias("run")).groupBy("chunk", "run").agg(F.count(F.lit(1)).alias("n"))
+    runs = ranked.counted(passages.select("chunk", F.concat_ws("\n", "title", "text").alias("body")), {"body": 1.0}, r"[a-z0-9.\-_/]+").where("term IS NOT NULL").select("chunk", F.col("term").alias("run"), "tf")
+    shared_folder(passages.sparkSession)
+    runs = runs.checkpoint()
+    terms = asked.select(F.explode("terms").alias("term")).distinct().withColumn("start", F.substring("term", 1, 3))
     starts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("run") - k + 1)), lambda i: F.col("run").substr(i, F.lit(k)))
-    different = held.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(starts(2), starts(3)))).alias("start"))
-    terms = asked.select("term", F.substring("term", 1, 3).alias("start")).distinct()
+    different = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(starts(2), starts(3)))).alias("start"))
     inside = different.join(terms, "start").where(F.contains("run", "term")).select("run", "term", t.occurrences(F.col("run"), F.col("term")).alias("times"))
-    found = held.join(inside, "run").groupBy("chunk", "term").agg(F.sum(F.col("n") * F.col("times")).alias("hits"))
-    rows = found.join(asked, "term").groupBy("query", "chunk").agg(F.count(F.lit(1)).alias("held"), F.sum("hits").alias("hits"))
-    return rows.join(need, "query").select("query", "chunk", (F.col("held") / F.col("need")).alias("coverage"), "hits")
+    return runs.join(inside, "run").groupBy("chunk", "term").agg(F.sum(F.col("tf").cast("bigint") * F.col("times")).alias("hits"))
+
+
+def term_hits(queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query, chunk, coverage, hits): how much of a question's terms each passage holds as substrings, passages without any left out.
+
+    All pairs with a term in common: `lexical_top_k` finds the best without them.
+    """
+    asked = questioned(queries)
+    rows = substring_posts(asked, passages).join(asked.select("query", "scale", F.explode("terms").alias("term")), "term")
+    return rows.groupBy("query", "chunk").agg((F.count(F.lit(1)) / F.max("scale")).alias("coverage"), F.sum("hits").alias("hits"))
 
 
 def lexical_top_k(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     """(query, chunk, score, rank): coverage plus a hundredth of at most twenty occurrences; ties to the smaller chunk."""
-    hits = term_hits(queries, passages)
-    scored = hits.select("query", "chunk", (F.col("coverage") + 0.01 * F.least("hits", F.lit(20))).alias("score"))
-    return _top(scored, k, F.desc("score"), F.col("chunk"))
+    asked = questioned(queries)
+    posts = substring_posts(asked, passages).select("chunk", F.lit(0).cast("bigint").alias("n"), "term", F.lit(1.0).alias("c"), F.col("hits").cast("double").alias("o"))
+    found = ranked.searched(asked, ranked.packed(posts), k, most_o=20.0, places=None)
+    return ranked.best(found, k, places=None).drop("held")
 
 
 def quotes_in(quotes: DataFrame, sources: DataFrame, *, words: int = 5) -> DataFrame:
@@ -151,47 +165,51 @@ def precise(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
 
 
 def relaxed(queries: DataFrame, passages: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Any-term search for the questions that the precise stage found nothing for: a pool of 4k, ranked anew by coverage."""
-    left = queries.join(found.select("query").distinct(), "query", "left_anti")
-    pool = _top(term_hits(left, passages).withColumn("score", F.col("hits").cast("double")), 4 * k, F.desc("score"), F.col("chunk")).withColumnRenamed("rank", "pool")
-    return _top(pool.select("query", "chunk", F.col("coverage").alias("score"), "pool"), k, F.desc("score"), F.col("pool")).drop("pool")
+    """(query, chunk, score, rank): any-term search for the questions that the precise stage found nothing for: a pool of 4k by occurrences, ranked anew by coverage."""
+    asked = questioned(queries.join(found.select("query").distinct(), "query", "left_anti"))
+    posts = substring_posts(asked, passages).select("chunk", F.lit(0).cast("bigint").alias("n"), "term", F.col("hits").cast("double").alias("c"), F.lit(0.0).alias("o"))
+    pool = ranked.best(ranked.searched(asked.drop("scale"), ranked.packed(posts), 4 * k), 4 * k).withColumnRenamed("rank", "pool").join(asked.select("query", "scale"), "query")
+    return _top(pool.select("query", "chunk", (F.col("held") / F.col("scale")).alias("score"), "pool"), k, F.desc("score"), F.col("pool")).drop("pool")
+
+
+def fulltext_top_k(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """(query, chunk, score, rank, stage): the precise stage, and for the questions that it finds nothing for the relaxed one."""
+    shared_folder(passages.sparkSession)
+    found = precise(queries, index(passages), k).checkpoint()
+    return found.withColumn("stage", F.lit("precise")).unionByName(relaxed(queries, passages, found, k).withColumn("stage", F.lit("relaxed")))
 
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int, *, columns: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, chunk, score, rank) by BM25 over the questions' terms; only their postings are shuffled. `columns` weighs columns of the passages, by default `text` alone."""
-    return _top(_bm25_scores(queries, passages, columns or {"text": 1.0}, k1, b).drop("held"), k, F.round("score", 9).desc(), F.col("chunk"))
-
-
-def _bm25_scores(queries: DataFrame, passages: DataFrame, columns: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, chunk, score, held): a term's weighted frequency over the columns, its rarity, and the length of all columns; how many terms the passage holds."""
-    terms = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term"))
-    words = {c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), 1) for c in columns}
-    each = passages.select("chunk", *[w.alias(f"_{c}") for c, w in words.items()])
-    length = sum((F.size(f"_{c}") for c in columns), F.lit(0))
-    size = each.agg(F.count(F.lit(1)).alias("docs"), F.avg(length).alias("mean"))
-    weighed = lambda c, x: F.transform(f"_{c}", lambda w: F.struct(w.alias("term"), F.lit(float(x)).alias("w")))
-    said = F.flatten(F.array(*[weighed(c, x) for c, x in columns.items()]))
-    posts = each.select("chunk", length.alias("n"), F.explode(said).alias("p")).select("chunk", "n", "p.*").join(terms.select("term").distinct(), "term", "left_semi")
-    tf = posts.groupBy("term", "chunk", "n").agg(F.sum("w").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(size))  # one row of counts
-    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return rows.groupBy("query", "chunk").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("held"))
+    """(query, chunk, score, rank) by BM25 over the questions' terms, without scoring every passage that holds one. `columns` weighs columns of the passages, by default `text` alone."""
+    asked, index = bm25_index(queries, passages, columns or {"text": 1.0}, k1, b)
+    return ranked.best(ranked.searched(asked, index, k), k).drop("held")
+
+
+def bm25_index(queries: DataFrame, passages: DataFrame, columns: dict[str, float], k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """The questions with their terms, and the packed postings of these: a term's weighted frequency over the columns, its rarity, and the length of all columns."""
+    asked = questioned(queries).drop("scale")
+    return asked, ranked.packed(ranked.bm25_posts(asked.select(F.explode("terms").alias("term")), passages, columns, k1, b))
 
 
 def section_search(queries: DataFrame, passages: DataFrame, k: int = 8, *, columns: dict[str, float], family: Column | None = None) -> DataFrame:
     """(query, chunk, score, place, rank, snippet): at most twelve sections a question, of the passages that `family` allows.
 
     First those whose title is the question (place 0), then those that hold all its terms (1), then those that hold some
-    (2), each by BM25 over the weighted columns. The snippet is the text around the first term that it holds.
+    (2), each by BM25 over the weighted columns. The first are joined by title; of the others a search for passages with
+    all terms and one for any finds the best. The snippet is the text around the first term that it holds.
     """
-    allowed = passages if family is None else passages.where(family)
-    asked = queries.select("query", t.alias_norm(F.col("question")).alias("_name"), t.terms(F.col("question")).alias("_terms"))
-    rows = _bm25_scores(queries, allowed, columns).join(asked, "query").join(allowed.select("chunk", "title", "text"), "chunk")
-    place = F.when(t.alias_norm(F.col("title")) == F.col("_name"), 0).when(F.col("held") == F.size("_terms"), 1).otherwise(2)
-    top = _top(rows.withColumn("place", place), min(k, 12), F.col("place"), F.round("score", 9).desc(), F.col("chunk"))
-    at = F.array_min(F.filter(F.transform("_terms", lambda x: F.instr(F.lower("text"), x)), lambda i: i > 0))
+    allowed, k = passages if family is None else passages.where(family), min(k, 12)
+    asked, index = bm25_index(queries, allowed, columns)
+    names = queries.select("query", t.alias_norm(F.col("question")).alias("_name")).join(asked, "query")
+    titled = allowed.select("chunk", t.alias_norm(F.col("title")).alias("_name")).join(names, "_name")
+    titled = titled.select("query", "chunk", F.explode("terms").alias("term")).join(index[0].select("chunk", "term", "c"), ["chunk", "term"])
+    titled = titled.groupBy("query", "chunk").agg(F.sum("c").alias("score"), F.count(F.lit(1)).alias("held"))
+    titled = _top(titled, k, F.round("score", 9).desc(), F.col("chunk"))
+    rows = titled.unionByName(ranked.best(ranked.searched(asked, index, k, whole=True), k)).unionByName(ranked.best(ranked.searched(asked, index, k), k))
+    rows = rows.groupBy("query", "chunk").agg(F.max("score").alias("score"), F.max("held").alias("held")).join(names, "query").join(allowed.select("chunk", "title", "text"), "chunk")
+    place = F.when(t.alias_norm(F.col("title")) == F.col("_name"), 0).when(F.col("held") == F.size("terms"), 1).otherwise(2)
+    top = _top(rows.withColumn("place", place), k, F.col("place"), F.round("score", 9).desc(), F.col("chunk"))
+    at = F.array_min(F.filter(F.transform("terms", lambda x: F.instr(F.lower("text"), x)), lambda i: i > 0))
     return top.select("query", "chunk", "score", "place", "rank", F.substring("text", F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - 40), F.lit(120)).alias("snippet"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.scalar import dlnz, normalised
+from strata.operators import scans
 
 FLOOR = 1e-3
 
@@ -91,9 +92,15 @@ def scoreable_under_all(table: DataFrame, specs: dict[str, list[Term]]) -> DataF
 
 
 def medians(table: DataFrame, keys: list[str]) -> DataFrame:
-    """The exact, interpolated median of each column: the reference point of sensitivities."""
-    row = table.agg(*[F.percentile(F.col(k), F.lit(0.5)).alias(k) for k in keys])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("median")) for k in keys])).alias("r")).select("r.*")
+    """(key, median): the exact, interpolated median of each column, the reference point of sensitivities; null for a column without values."""
+    cells = table.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys])).alias("r")).select("r.*")
+    every = table.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+    return every.join(scans.quantiles(cells, ["key"], "value", [0.5]), "key", "left").select("key", F.col("quantile").alias("median"))
+
+
+def reference(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The medians as one row, a column a key."""
+    return medians(table, keys).agg(*[F.max(F.when(F.col("key") == k, F.col("median"))).alias(k) for k in keys])
 
 
 def gamma(reference: DataFrame, terms: list[Term]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators import scans
+
 
 def headers(points: DataFrame, keys: list[str]) -> DataFrame:
     """One row a series: extents, number of points, of points with y and with k, and the status of k."""
@@ -43,9 +45,12 @@ def value_at(points: DataFrame, keys: list[str], x: float) -> DataFrame:
 
 
 def bracket(points: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
-    """(keys, target, below, above): the nearest stored x on both sides of each target of the same series."""
-    near = points.join(targets, keys)
-    return near.groupBy(*keys, "target").agg(F.max(F.when(F.col("x") <= F.col("target"), F.col("x"))).alias("below"), F.min(F.when(F.col("x") >= F.col("target"), F.col("x"))).alias("above"))
+    """(keys, target, below, above): the nearest stored x on both sides of each target of the same series.
+
+    Series without a stored x give no rows. Points and targets meet in one ordered stream, not as a product.
+    """
+    met = scans.nearest(points, targets.select(*keys, "target").distinct(), keys, "x", "target")
+    return met.select(*keys, "target", F.col("below.x").alias("below"), F.col("above.x").alias("above")).where("below IS NOT NULL OR above IS NOT NULL")
 
 
 def consensus(values: DataFrame, entry: str, source: str, voter: Column) -> DataFrame:
@@ -54,7 +59,9 @@ def consensus(values: DataFrame, entry: str, source: str, voter: Column) -> Data
     The class is by the spread over the median: single_source, excellent below 2%, warning below 10%, else suspicious.
     """
     v = F.when(voter, F.col("value"))
-    out = values.groupBy(entry).agg(F.count(v).alias("n"), F.count_distinct(F.when(voter, F.col(source))).alias("n_sources"), F.percentile(v, F.lit(0.5)).alias("median"), (F.max(v) - F.min(v)).alias("range"), F.count(F.when(~voter, 1)).alias("others"))
+    out = values.groupBy(entry).agg(F.count(v).alias("n"), F.count_distinct(F.when(voter, F.col(source))).alias("n_sources"), (F.max(v) - F.min(v)).alias("range"), F.count(F.when(~voter, 1)).alias("others"))
+    middle = scans.quantiles(values.select(F.col(entry).alias("_entry"), v.alias("_v")), ["_entry"], "_v", [0.5]).select("_entry", F.col("quantile").alias("median"))
+    out = out.join(middle, F.col(entry).eqNullSafe(F.col("_entry")), "left")
     spread = F.when(F.col("n") > 0, F.try_divide(F.col("range"), F.abs("median")))
     of = F.when(F.col("n") == 0, None).when(F.col("n") == 1, "single_source").when(spread < 0.02, "excellent").when(spread < 0.10, "warning").otherwise("suspicious")
     return out.select(entry, "n", "n_sources", "median", spread.alias("spread"), of.alias("class"), "others")

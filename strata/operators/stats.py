@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.shared import shared_folder
+from strata.operators import scans
 
 
 def long_form(table: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
@@ -34,18 +34,11 @@ def correlation_cells(cases: DataFrame) -> DataFrame:
 def average_rank(cases: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
     """(by, value, rank): the rank of every different value, with the mean rank for ties.
 
-    Values are counted first and cut into ranges; a range starts after the sum of the counts before it, so no task gets
-    a whole group. The ranges are checkpointed, since each has to stay what it is for both of its uses.
+    Values are counted first; a rank is a running sum of the counts over ranges, so no task gets a whole group.
     """
-    shared_folder(cases.sparkSession)
-    counts = cases.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranges = counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()).checkpoint()
-    totals = ranges.groupBy(*by, "_range").agg(F.sum("_n").alias("_total"))  # a row a group and range
-    before = lambda x: F.coalesce(x, F.lit(0))
-    starts = totals.select(*by, "_range", before(F.sum("_total").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).alias("_start"))
-    here = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranges.withColumn("_before", before(F.sum("_n").over(here))).join(F.broadcast(starts), [*by, "_range"])
-    return placed.select(*by, value, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(rank))
+    counts = scans.cut(cases.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), by, value)
+    placed = scans.running(counts, by, [F.col(value)], "_upto", "sum", F.col("_n"))
+    return placed.select(*by, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(rank))
 
 
 def rank_cases(cases: DataFrame) -> DataFrame:
@@ -58,14 +51,17 @@ def rank_cases(cases: DataFrame) -> DataFrame:
 def fdr(cells: DataFrame, p: str, block: list[str], tie: list[str]) -> DataFrame:
     """Benjamini-Hochberg q within each block; null p counts for nothing and has null q; ties go by `tie`.
 
-    The least of a cell's and all later raw values is a running minimum down from the greatest p.
+    A cell's rank is a running count over ranges, the least of its own and all later raw values a running minimum down
+    from the greatest p, so a block may have any number of cells.
     """
     known = cells.where(F.col(p).isNotNull())
+    order = [F.col(c).desc() for c in (p, *tie)]
+    ranked = scans.running(scans.cut(known, block, *order), block, order, "_down", "sum", F.lit(1))
     sizes = known.groupBy(*block).agg(F.count(F.lit(1)).alias("_m"))
-    ranked = known.join(sizes, block) if block else known.crossJoin(sizes)  # one row of counts
-    down = Window.partitionBy(*block).orderBy(F.desc(p), *[F.desc(c) for c in tie])
-    ranked = ranked.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_m") - F.row_number().over(down) + 1))
-    q = F.least(F.lit(1.0), F.min("_raw").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.join(sizes, block) if block else ranked.crossJoin(F.broadcast(sizes))  # one row of counts
+    ranked = ranked.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_m") - F.col("_down") + 1))
+    ranked = scans.running(ranked, block, order, "_least", "min", F.col("_raw"))
+    q = F.least(F.lit(1.0), "_least")
     return ranked.withColumn("q", q).select(*cells.columns, "q").unionByName(cells.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
@@ -75,43 +71,94 @@ def outcome(r: Column, q: Column, sign: str, alpha: float = 0.05) -> Column:
     return F.when(r.isNull() | q.isNull() | (q > alpha), "inconclusive").when(agrees, "supports").otherwise("contradicts")
 
 
-def permutation_p(cases: DataFrame, *, permutations: int = 10_000, seed: int = 20_240, chunk: int = 500) -> DataFrame:
+#: Cases of a block of a permuted pair; permutations that one task works on; rounds of the permuting network, and of small ones, which mix slowly.
+PERMUTED_BLOCK, PERMUTED_AT_ONCE, ROUNDS, MANY_ROUNDS = 65_536, 250, 6, 12
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    x = x + _MIX[0]
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted(rows: np.ndarray, n: int, seed: int, which: np.ndarray) -> np.ndarray:
+    """Where each of the keyed permutations `which` of 0 .. n - 1 takes the given rows: a line a permutation.
+
+    A Feistel network on (row // b, row % b) with b about the square root of n: each round adds to one half a number
+    that the other half, the round, the permutation and the seed give. It permutes the a * b cells of the square; what
+    falls beyond n goes through again until it falls below.
+    """
+    b = max(1, int(np.ceil(np.sqrt(n))))
+    a = -(-n // b)
+    key = _mixed(_mixed(np.asarray(which, np.int64).astype(np.uint64)) ^ np.uint64(seed))[:, None]
+    side = max(a, b)
+    adds = [(_mixed(np.arange(side, dtype=np.uint64) + (key + np.uint64(r * int(_MIX[1]) % (1 << 64)))) % np.uint64(b if r % 2 else a)).astype(np.int64).ravel() for r in range(MANY_ROUNDS if n < 1_000 else ROUNDS)]
+
+    def through(cells: np.ndarray, start: np.ndarray) -> np.ndarray:
+        left, right = np.divmod(cells, b)
+        for r, add in enumerate(adds):
+            if r % 2:
+                right = right + add[start + left]
+                right -= b * (right >= b)
+            else:
+                left = left + add[start + right]
+                left -= a * (left >= a)
+        return left * b + right
+
+    start = side * np.arange(len(key))
+    out = through(np.asarray(rows, np.int64)[None], start[:, None])
+    line, place = np.nonzero(out >= n)
+    while len(line):
+        cells = through(out[line, place], start[line])
+        out[line, place] = cells
+        line, place = line[cells >= n], place[cells >= n]
+    return out
+
+
+def permutation_p(cases: DataFrame, *, permutations: int = 10_000, seed: int = 20_240, chunk: int | None = None) -> DataFrame:
     """(x_key, y_key, n, r, p): p = (1 + permuted |r| at least the observed) / (permutations + 1).
 
-    The permutations of a pair are cut into chunks, each with a seed of (seed, pair, chunk), so the partitioning can't
-    change a result. A pair's cases are packed once; each chunk is one task's work.
+    A pair's cases are numbered by id, with a running count over ranges, and standardised. A permutation is a keyed one
+    of those numbers, so where it takes a case follows from the case's number and the seed alone. Cases are packed in
+    blocks of PERMUTED_BLOCK numbers; a block of x meets each block of y of its pair for some permutations at a time and
+    gives the sums of the products of the cases that are taken there. The sums of all blocks make a permutation's r. So
+    no task holds a whole pair, and no partitioning changes a result. Below three cases, or without variance, r and p
+    are null.
     """
-    packed = cases.groupBy("x_key", "y_key").agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("c"))
-    packed = packed.select("x_key", "y_key", F.col("c.x").alias("x"), F.col("c.y").alias("y")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // chunk))))
-    packed = packed.repartition("x_key", "y_key", "chunk")
+    by, chunk = ["x_key", "y_key"], chunk or PERMUTED_AT_ONCE
+    size = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    numbered = scans.running(scans.cut(cases, by, "id", "x", "y"), by, [F.col("id"), F.col("x"), F.col("y")], "row", "sum", F.lit(1)).withColumn("row", F.col("row") - 1)
+    rows = numbered.join(size.where("n >= 3 AND sx > 0 AND sy > 0"), by)
+    rows = rows.select(*by, "n", "row", ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
+    blocks = rows.groupBy(*by, "n", F.floor(F.col("row") / PERMUTED_BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("row", "x", "y"))).alias("c")).checkpoint()  # PERMUTED_BLOCK rows at most
+    left = blocks.select(*by, "n", F.col("block").alias("x_block"), F.col("c.x").alias("x"))
+    right = blocks.select(*by, F.col("block").alias("y_block"), F.col("c.y").alias("y"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(permutations), F.lit(chunk)))  # permutation 0 is none: the observed
+    met = left.join(right, by).withColumn("first", chunks).repartition(*by, "x_block", "y_block", "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for r in batch.itertuples():
-                x, y = np.asarray(r.x, float), np.asarray(r.y, float)
-                n = len(x)
-                if n < 3 or x.std() == 0 or y.std() == 0:
-                    out.append((r.x_key, r.y_key, n, None, 0))
-                    continue
-                x, y = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
-                seen = float(x @ y / n)
-                text = np.frombuffer(f"{r.x_key}|{r.y_key}".encode(), np.uint8)
-                rng = np.random.default_rng([seed, int(r.chunk), *text.tolist()])
-                size = min(chunk, permutations - chunk * int(r.chunk))
-                over = sum(int(np.count_nonzero(np.abs(rng.permuted(np.tile(y, (k, 1)), axis=1) @ x / n) >= abs(seen) - 1e-12)) for k in _steps(size, n))
-                out.append((r.x_key, r.y_key, n, seen, over))
-            yield pd.DataFrame(out, columns=["x_key", "y_key", "n", "r", "over"]).astype({"r": "float64"})
-
-    found = packed.mapInPandas(run, "x_key string, y_key string, n bigint, r double, over bigint")
-    out = found.groupBy("x_key", "y_key").agg(F.max("n").alias("n"), F.max("r").alias("r"), F.sum("over").alias("over"))
-    return out.select("x_key", "y_key", "n", "r", F.when(F.col("r").isNotNull(), (1 + F.col("over")) / (permutations + 1)).alias("p"))
-
-
-def _steps(size: int, n: int) -> list[int]:
-    """Permutations done at once: at most a million numbers."""
-    step = max(1, 1_000_000 // max(1, n))
-    return [min(step, size - i) for i in range(0, size, step)]
+                x, y, begin, low = np.asarray(r.x, float), np.asarray(r.y, float), int(r.x_block) * PERMUTED_BLOCK, int(r.y_block) * PERMUTED_BLOCK
+                own, which, sums = np.arange(begin, begin + len(x)), np.arange(max(1, r.first), min(r.first + chunk, permutations + 1)), []
+                if r.first == 0:
+                    sums.append([x @ y if low == begin else 0.0])
+                step = max(1, 1_000_000 // len(x))
+                for i in range(0, len(which), step):
+                    to = permuted(own, int(r.n), seed, which[i : i + step]) - low
+                    here = (to >= 0) & (to < len(y))
+                    sums.append(np.where(here, y[np.where(here, to, 0)], 0.0) @ x)
+                which, sums = np.append([0], which) if r.first == 0 else which, np.concatenate(sums)
+                yield pd.DataFrame({"x_key": r.x_key, "y_key": r.y_key, "which": which, "s": sums})
+
+    sums = met.mapInPandas(run, "x_key string, y_key string, which bigint, s double").groupBy(*by, "which").agg(F.sum("s").alias("s")).checkpoint()
+    seen = sums.where("which = 0").select(*by, F.abs("s").alias("seen"), F.col("s").alias("sum"))
+    over = sums.join(seen, by).groupBy(*by).agg(F.count(F.when((F.col("which") > 0) & (F.abs("s") >= F.col("seen") * (1 - 1e-12)), 1)).alias("over"), F.any_value("sum").alias("sum"))
+    out = size.join(over, by, "left")
+    return out.select(*by, "n", (F.col("sum") / F.col("n")).alias("r"), ((1 + F.col("over")) / (permutations + 1)).alias("p"))
 
 
 def standardised(df: DataFrame, key: str, value: str) -> DataFrame:

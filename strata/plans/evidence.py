@@ -110,8 +110,7 @@ GAMMA_SQL = "g AS (" + " UNION ALL ".join(f"SELECT '{t.key}' AS key, {_dlnz_sql(
 
 
 def _gamma(spark: SparkSession, d: str) -> DataFrame:
-    reference = bind(spark, d, "part_measures").agg(*[F.percentile(F.col(t.key), F.lit(0.5)).alias(t.key) for t in WIDE])
-    return score.gamma(reference, WIDE)
+    return score.gamma(score.reference(bind(spark, d, "part_measures"), [t.key for t in WIDE]), WIDE)
 
 
 @query(f"WITH {MEDIAN_ROW}, {GAMMA_SQL} SELECT key, round(gamma, 6) AS gamma FROM g")

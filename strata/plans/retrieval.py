@@ -50,10 +50,14 @@ def fulltext_precise(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.precise(_questions(spark, d), retrieval.index(bind(spark, d, "passages")), 10).withColumn("score", F.round("score", 8))
 
 
-@query("WITH " + HITS + ", pool AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CAST(hits AS DOUBLE) DESC, chunk) AS pool FROM h WHERE query % 2 = 0) SELECT query, chunk, round(coverage, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coverage DESC, pool) AS rank FROM pool WHERE pool <= 40) WHERE rank <= 10")
+RELAXED = PRECISE + HITS.replace(TERMS, "").replace(" b AS (", " body AS (").replace("FROM b JOIN", "FROM body JOIN") + """, pool AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CAST(hits AS DOUBLE) DESC, chunk) AS pool FROM h WHERE query NOT IN (SELECT query FROM r)),
+    x AS (SELECT query, chunk, coverage AS score, row_number() OVER (PARTITION BY query ORDER BY coverage DESC, pool) AS rank FROM pool WHERE pool <= 40)"""
+
+
+@query(f"WITH {RELAXED} SELECT query, chunk, round(score, 6) AS score, rank, 'relaxed' AS stage FROM x WHERE rank <= 10 UNION ALL SELECT query, chunk, round(score, 6), rank, 'precise' FROM r WHERE rank <= 10")
 def relaxed_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = _questions(spark, d).where("query % 2 = 1")
-    return retrieval.relaxed(_questions(spark, d), bind(spark, d, "passages"), found, 10).select("query", "chunk", F.round("score", 6).alias("score"), "rank")
+    """The precise stage of all questions, and the relaxed one of those that it finds nothing for."""
+    return retrieval.fulltext_top_k(_questions(spark, d), bind(spark, d, "passages"), 10).withColumn("score", F.round("score", 6))
 
 
 BM25 = TERMS + """, w AS (SELECT chunk, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {passages}), z AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.operators import campaign, series, verdict
+from strata.operators import campaign, scans, series, verdict
 from strata.plans.registry import bind, query
 
 S = ["material", "tag"]
@@ -45,6 +45,17 @@ def bracket_asof(spark: SparkSession, d: str) -> DataFrame:
     return series.bracket(p, S, targets)
 
 
+@query("""WITH p AS (SELECT material, tag, x, min(record) AS record FROM {points} GROUP BY ALL), t AS (SELECT DISTINCT material, tag, CAST(record % 1009 AS DOUBLE) / 10 AS target FROM {points}),
+    a AS (SELECT t.*, p.x AS below, p.record AS below_record FROM t ASOF LEFT JOIN p ON t.material = p.material AND t.tag = p.tag AND t.target >= p.x)
+    SELECT a.*, p.x AS above FROM a ASOF LEFT JOIN p ON a.material = p.material AND a.tag = p.tag AND a.target <= p.x""")
+def asof_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Many targets of each series, each with the stored points around it."""
+    p = bind(spark, d, "points")
+    targets = p.select(*S, ((F.col("record") % 1009).cast("double") / 10).alias("target")).distinct()
+    met = scans.nearest(p, targets, S, "x", "target", ["record"])
+    return met.select(*S, "target", F.col("below.x").alias("below"), F.col("below.record").alias("below_record"), F.col("above.x").alias("above"))
+
+
 CONSENSUS = VALUE_AT + """, c AS (SELECT material, count(value) FILTER (WHERE tag IN ('view', 'click', 'purchase')) AS n, count(DISTINCT source) FILTER (WHERE tag IN ('view', 'click', 'purchase')) AS n_sources, quantile_cont(value, 0.5) FILTER (WHERE tag IN ('view', 'click', 'purchase')) AS median,
     max(value) FILTER (WHERE tag IN ('view', 'click', 'purchase')) - min(value) FILTER (WHERE tag IN ('view', 'click', 'purchase')) AS rng, count(*) FILTER (WHERE tag NOT IN ('view', 'click', 'purchase')) AS others FROM v GROUP BY material),
     k AS (SELECT *, CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN 'single_source' WHEN rng / abs(median) < 0.02 THEN 'excellent' WHEN rng / abs(median) < 0.10 THEN 'warning' ELSE 'suspicious' END AS class FROM c)"""
