@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as t
+from strata.functions.stemming import stems
 from strata.operators import ranked
 from strata.operators.shared import shared_folder
 
@@ -136,10 +137,32 @@ def quotes_in(quotes: DataFrame, sources: DataFrame, *, words: int = 5) -> DataF
     return found if short.isEmpty() else found.unionByName(s.join(short, F.contains("_t", "_q")).select("quote_id", "source_id"))
 
 
-def index(passages: DataFrame) -> DataFrame:
-    """(term, chunk, pos): the positions of every word of title and text, without its plural ending."""
+def stemmed(words: DataFrame, *, light: bool = False) -> DataFrame:
+    """(word, term) of the different words of a table (word): their English stems, or only without plural endings."""
+    words = words.select("word").distinct()
+    return words.select("word", t.stem(F.col("word")).alias("term")) if light else stems(words).withColumnRenamed("stem", "term")
+
+
+def index(passages: DataFrame, *, only: DataFrame | None = None, light: bool = False) -> DataFrame:
+    """(term, chunk, pos): the positions of every word of title and text under its stem; with `only` (term) of those terms alone.
+
+    Different words are stemmed once; with `only` the few words behind its terms are all that the positions meet.
+    """
     words = F.regexp_extract_all(F.lower(F.concat_ws("\n", "title", "text")), F.lit("([a-z0-9]+)"), 1)
-    return passages.select("chunk", F.posexplode(words).alias("pos", "word")).select(t.stem(F.col("word")).alias("term"), "chunk", "pos")
+    places = passages.select("chunk", F.posexplode(words).alias("pos", "word"))
+    of = stemmed(passages.select(F.explode(F.array_distinct(words)).alias("word")), light=light)
+    if only is not None:
+        of = of.join(F.broadcast(only.select("term").distinct()) if only.limit(ranked.FEW + 1).count() <= ranked.FEW else only.select("term").distinct(), "term", "left_semi")
+        shared_folder(passages.sparkSession)
+        of = of.checkpoint()
+        of = F.broadcast(of) if of.limit(ranked.FEW + 1).count() <= ranked.FEW else of
+    return places.join(of, "word").select("term", "chunk", "pos")
+
+
+def stem_terms(queries: DataFrame, *, light: bool = False) -> DataFrame:
+    """(query, term): the different stems of the words of each question's terms."""
+    words = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term")).select("query", F.explode(F.regexp_extract_all("term", F.lit("([a-z0-9]+)"), 1)).alias("word"))
+    return words.join(stemmed(words, light=light), "word").select("query", "term").distinct()
 
 
 def precise(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
@@ -149,8 +172,7 @@ def precise(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     the words in it that are no terms. The stretch that ends at a place starts at the least of the last places of each
     term up to there, which is a running maximum a term: rows are the places of terms times the terms of the question.
     """
-    words = queries.select("query", F.explode(t.terms(F.col("question"))).alias("term")).select("query", F.explode(F.regexp_extract_all("term", F.lit("([a-z0-9]+)"), 1)).alias("word"))
-    q = words.select("query", t.stem(F.col("word")).alias("term")).distinct()
+    q = stem_terms(queries)
     need = q.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
     met = postings.join(q, "term")
     whole = met.groupBy("query", "chunk").agg(F.count_distinct("term").alias("n")).join(need, "query").where("n = need").select("query", "chunk", "need")
@@ -175,7 +197,7 @@ def relaxed(queries: DataFrame, passages: DataFrame, found: DataFrame, k: int) -
 def fulltext_top_k(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     """(query, chunk, score, rank, stage): the precise stage, and for the questions that it finds nothing for the relaxed one."""
     shared_folder(passages.sparkSession)
-    found = precise(queries, index(passages), k).checkpoint()
+    found = precise(queries, index(passages, only=stem_terms(queries)), k).checkpoint()
     return found.withColumn("stage", F.lit("precise")).unionByName(relaxed(queries, passages, found, k).withColumn("stage", F.lit("relaxed")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as t
+from strata.functions.stemming import duckdb_sql, stems
 from strata.operators import evaluate, retrieval
 from strata.plans.registry import bind, query
 
@@ -34,9 +35,9 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.lexical_top_k(_questions(spark, d), bind(spark, d, "passages"), 24).withColumn("score", F.round("score", 6))
 
 
-STEM = "CASE WHEN length(w) > 4 AND regexp_matches(w, '[^ae]ies$') THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 3 AND regexp_matches(w, '[^usi]s$') THEN substr(w, 1, length(w) - 1) ELSE w END"
-PRECISE = TERMS + f""", w AS (SELECT chunk, regexp_extract_all(lower(title || chr(10) || text), '[a-z0-9]+') AS w FROM {{passages}}), p AS (SELECT chunk, {STEM} AS term, pos FROM (SELECT chunk, unnest(w) AS w, unnest(range(len(w))) AS pos FROM w)),
-    t2 AS (SELECT DISTINCT query, {STEM} AS term FROM (SELECT query, unnest(regexp_extract_all(term, '[a-z0-9]+')) AS w FROM t)), n2 AS (SELECT query, count(*) AS need FROM t2 GROUP BY query),
+PRECISE = TERMS + f""", w AS (SELECT chunk, regexp_extract_all(lower(title || chr(10) || text), '[a-z0-9]+') AS w FROM {{passages}}), pw AS (SELECT chunk, unnest(w) AS w, unnest(range(len(w))) AS pos FROM w),
+    tw AS (SELECT DISTINCT query, unnest(regexp_extract_all(term, '[a-z0-9]+')) AS w FROM t), words AS (SELECT DISTINCT w AS word FROM pw UNION SELECT w FROM tw), st AS ({duckdb_sql("words")}),
+    p AS (SELECT chunk, stem AS term, pos FROM pw JOIN st ON word = w), t2 AS (SELECT DISTINCT query, stem AS term FROM tw JOIN st ON word = w), n2 AS (SELECT query, count(*) AS need FROM t2 GROUP BY query),
     m AS (SELECT query, chunk, term, pos FROM p JOIN t2 USING (term)), h2 AS (SELECT query, chunk, need FROM m JOIN n2 USING (query) GROUP BY query, chunk, need HAVING count(DISTINCT term) = need),
     o AS (SELECT m.*, need, row_number() OVER (PARTITION BY query, chunk ORDER BY pos) AS place FROM m JOIN h2 USING (query, chunk)),
     e AS (SELECT o.query, o.chunk, o.pos, o.place, l.term, max(l.pos) AS pos_l, max(l.place) AS place_l, any_value(o.need) AS need FROM o JOIN o l ON o.query = l.query AND o.chunk = l.chunk AND l.pos <= o.pos GROUP BY ALL),
@@ -47,7 +48,13 @@ PRECISE = TERMS + f""", w AS (SELECT chunk, regexp_extract_all(lower(title || ch
 
 @query(f"WITH {PRECISE} SELECT query, chunk, round(score, 8) AS score, rank FROM r WHERE rank <= 10")
 def fulltext_precise(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.precise(_questions(spark, d), retrieval.index(bind(spark, d, "passages")), 10).withColumn("score", F.round("score", 8))
+    q = _questions(spark, d)
+    return retrieval.precise(q, retrieval.index(bind(spark, d, "passages"), only=retrieval.stem_terms(q)), 10).withColumn("score", F.round("score", 8))
+
+
+@query(f"WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM {{documents}}) {duckdb_sql('words')}")
+def word_stems(spark: SparkSession, d: str) -> DataFrame:
+    return stems(bind(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).distinct())
 
 
 RELAXED = PRECISE + HITS.replace(TERMS, "").replace(" b AS (", " body AS (").replace("FROM b JOIN", "FROM body JOIN") + """, pool AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CAST(hits AS DOUBLE) DESC, chunk) AS pool FROM h WHERE query NOT IN (SELECT query FROM r)),
