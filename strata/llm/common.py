@@ -188,6 +188,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, drop: list[str], reserved: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The columns but those to drop, and what each was called. All get names that nothing else has, or with `reserved` only those of these names, case aside, and names with a dot.
+
+    Renaming all columns below an expression of all of them, a row's hash say, would double the optimizer's constraints a column.
+    """
+    mine = lambda c: reserved is None or c.lower() in reserved or c.lower().startswith("kept_") or "." in c
+    called = {(f"kept_{i}" if mine(c) else c): c for i, c in enumerate(docs.columns) if c.lower() not in drop}
+    return docs.select(*[F.col(f"`{c}`").alias(k) if k != c else F.col(f"`{c}`") for k, c in called.items()]), called
+
+
+def under(called: dict[str, str], name: str) -> str:
+    """The name under which a column was set aside; case aside, as Spark has it."""
+    return next(k for k, c in called.items() if c.lower() == name.lower())
+
+
 def join_skewed(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left outer join to `right`, which has each key once, where few keys may hold most rows of `left`.
 

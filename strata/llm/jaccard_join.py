@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import BROADCAST_IDS, SPACE_WORDS_LOWER, bounded_batches, buffers, checkpoint, components, few, grams, join_skewed, mix, pieces, signed, text_keys, words
+from strata.llm.common import BROADCAST_IDS, SPACE_WORDS_LOWER, bounded_batches, buffers, checkpoint, components, few, grams, join_skewed, mix, pieces, set_aside, signed, text_keys, under, words
 
 #: Keys that a task gathers before it folds them and writes them out; shingles of a group that one task compares.
 FOLD_KEYS = 1 << 21
@@ -346,6 +346,12 @@ def representatives(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     Of a class that of the smallest id stays, of rows that repeat an id and a text one. Texts that share an id but don't
     link all stay; so do rows without an id, which link with nothing.
     """
+    docs, called = set_aside(docs, [], ["_id", "_hash"])
+    out = _representatives(docs, k, num, den, under(called, id_col), under(called, text_col))
+    return out.select(*[F.col(x).alias(c) for x, c in called.items()])
+
+
+def _representatives(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     found = checkpoint(members(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col).where("doc_id IS NOT NULL"))
     numbered = F.coalesce(F.xxhash64(text_col), F.lit(0))
     behind = found.where("NOT leads")

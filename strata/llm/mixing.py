@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import BROADCAST_IDS, checkpoint, join_skewed
+from strata.llm.common import BROADCAST_IDS, checkpoint, join_skewed, set_aside, under
 
 RANGE_ROWS = 4_000
 SPACES = r"\x20\x09-\x0D"
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each document as often as `mix` takes it, with the columns that it came with. Nulls, repeats and empty tables as there."""
-    own = docs.select(*[F.col(c).alias(f"kept_{c}") for c in docs.columns])
-    rows = mix(own, id_col=f"kept_{id_col}", text_col=f"kept_{text_col}", source_col=f"kept_{source_col}", **how).where("times > 0")
+    own, called = set_aside(docs, [])
+    rows = mix(own, id_col=under(called, id_col), text_col=under(called, text_col), source_col=under(called, source_col), **how).where("times > 0")
     rows = rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return rows.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+    return rows.select(*[F.col(k).alias(c) for k, c in called.items()])

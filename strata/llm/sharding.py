@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from strata.llm.common import BROADCAST_IDS, checkpoint
+from strata.llm.common import BROADCAST_IDS, checkpoint, set_aside, under
 
 BUCKET_BYTES = 16 << 20
 #: Bytes that a task of the second pass reads, in whole buckets: the more data, the more tasks.
@@ -52,10 +52,12 @@ def shard(docs: DataFrame, *, shards: int = 24, seed: int = 17, id_col: str = "d
     The law is `key`: the id and the number of shards decide, and grown_shard, the shard among one more, is the same
     or the new one. Slots are gapless from 0 in each shard. Null ids share a shard, rows that repeat an id share theirs,
     and are dealt to its buckets by all their columns: only whole copies of a row share a bucket. Null and empty texts
-    are ROW_BYTES long; reruns agree. Columns of these names are replaced. An empty table gives no rows.
+    are ROW_BYTES long; reruns agree. Columns of these names, case aside, are replaced. An empty table gives no rows.
     """
     names = ["shard", "slot", "grown_shard", "size", "text_crc32", "law"]
-    own = [c for c in docs.columns if c not in names]
+    spark = docs.sparkSession
+    docs, called = set_aside(docs, names, ["_id", "_hash", "_bucket", "_offset", "_row", "_n"])
+    own, id_col, text_col = list(called), under(called, id_col), under(called, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = lambda c: F.to_json(F.struct(c)) if "map" in docs.schema[c].dataType.simpleString() else F.col(c)  # noqa: E731  maps have no hash
     rows = docs.select(*own).withColumns({"_id": F.col(id_col).cast("bigint"), "size": (F.octet_length(text) + ROW_BYTES).cast("bigint"), "_hash": F.xxhash64(*[plain(c) for c in own])})
@@ -71,8 +73,9 @@ def shard(docs: DataFrame, *, shards: int = 24, seed: int = 17, id_col: str = "d
     }).join(F.broadcast(offsets) if buckets * shards <= BROADCAST_IDS // 2 else offsets, ["shard", "_bucket"])
     kept = [c for c in rows.columns if c not in ("_id", "_hash", "_offset", "_bucket")]
     schema = StructType([*(rows.schema[c] for c in kept), StructField("slot", LongType())])
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes[1] or 0) // TASK_BYTES))
-    return rows.repartition(tasks, "shard", "_bucket").groupBy("shard", "_bucket").applyInArrow(_shuffle(seed), schema).select(*own, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes[1] or 0) // TASK_BYTES))
+    out = rows.repartition(tasks, "shard", "_bucket").groupBy("shard", "_bucket").applyInArrow(_shuffle(seed), schema)
+    return out.select(*[F.col(k).alias(c) for k, c in called.items()], "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
