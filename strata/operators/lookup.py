@@ -51,6 +51,30 @@ def near_names(names: DataFrame, known: DataFrame, key: str, *, prefix: int = 3,
     return rows.withColumn("_r", rank).where(F.col("_r") <= most).select("name", "candidate", "distance")
 
 
+def deletions(name: Column, distance: int) -> Column:
+    """Hashes of a name and of all that is left of it without up to `distance` of its characters, each once."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
+    held = left = F.array(name)
+    for _ in range(distance):
+        left = F.array_distinct(F.flatten(F.transform(left, lambda w: F.when(F.length(w) > 0, without(w)).otherwise(F.array().cast("array<string>")))))
+        held = F.concat(held, left)
+    return F.array_distinct(F.transform(held, lambda w: F.xxhash64(w)))
+
+
+def similar_names(names: DataFrame, known: DataFrame, key: str, *, distance: int = 2, most: int = 6) -> DataFrame:
+    """(name, candidate, distance): at most `most` known names within an edit distance of each name, case aside, the nearest first; ties by name.
+
+    Two names within a distance have what is left of each without that many characters, or fewer, in common. Those
+    remains are the keys that names meet on, wherever the difference is, and the edit distance decides. Null names meet
+    nothing; different spellings of a name by case are candidates of their own.
+    """
+    side = lambda df, out: df.select(F.col(key).alias(out)).where(F.col(out).isNotNull()).distinct().select(out, F.explode(deletions(F.lower(out), distance)).alias("_d"))
+    pairs = side(names, "name").join(side(known, "candidate"), "_d").select("name", "candidate").distinct()
+    near = pairs.withColumn("distance", F.levenshtein(F.lower("name"), F.lower("candidate"))).where(F.col("distance") <= distance)
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("distance", "candidate"))
+    return near.withColumn("_r", rank).where(F.col("_r") <= most).select("name", "candidate", "distance")
+
+
 def either(rows: DataFrame, labels: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """(group, label, n, match): rows of a group whose label stands in either column, case aside; a match only where there is just one.
 

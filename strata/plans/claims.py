@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import chemistry, units
 from strata.functions import text as t
-from strata.operators import claims, gates, joins, plausibility, rules
+from strata.operators import claims, disputes, gates, joins, plausibility, rules
 from strata.plans.registry import bind, query
 
 UNITS = ["nm", "Angstroms", "nm per cycle", "°C", "K", "mTorr", "1.42 A/cycle", "um", "eV", "g/cm3", "", "furlong"]
@@ -63,6 +63,14 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("field", F.col("left").alias("left_claim"), F.col("right").alias("right_claim"), F.round("spread", 6).alias("spread"), F.array_join("differs", ",").alias("differs"))
 
 
+@query("""WITH c AS (SELECT *, lower(trim(units)) AS u, row_number() OVER () AS r FROM {claims}), p AS (SELECT a.r, b.value < a.value AS below FROM c a JOIN c b ON a.field = b.field AND a.r <> b.r AND NOT (a.document = b.document AND a.page = b.page) AND (a.u = '' OR b.u = '' OR a.u = b.u)
+    AND abs(a.value - b.value) / abs((a.value + b.value) / 2) > 0.1), n AS (SELECT r, count(*) FILTER (WHERE below) AS n_below, count(*) FILTER (WHERE NOT below) AS n_above FROM p GROUP BY r)
+    SELECT c.claim, field, coalesce(n_below, 0) AS n_below, coalesce(n_above, 0) AS n_above FROM c LEFT JOIN n USING (r)""")
+def disputed_claims(spark: SparkSession, d: str) -> DataFrame:
+    """How many claims contradict each claim: the counts of the pairs that `contradictions` lists."""
+    return disputes.disputes(bind(spark, d, "claims"))
+
+
 @query("""SELECT event_id AS id, array_to_string(list_filter([CASE WHEN event_id % 3 = 0 THEN 'substrate' END, CASE WHEN event_type = 'error' THEN 'method' END], lambda x: x IS NOT NULL), ',') AS missing_context, event_id % 3 <> 0 AND event_type <> 'error' AND event_id % 7 <> 0 AS comparable FROM {events}""")
 def comparable_claims(spark: SparkSession, d: str) -> DataFrame:
     e, i = bind(spark, d, "events"), F.col("event_id")

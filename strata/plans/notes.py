@@ -99,6 +99,17 @@ def near_names(spark: SparkSession, d: str) -> DataFrame:
     return lookup.near_names(asked, p.select(F.col("p_name").alias("n")).distinct(), "n")
 
 
+@query("""WITH n AS (SELECT DISTINCT substr(c_name, 10) || c_mktsegment AS n FROM {customer}), a AS (SELECT DISTINCT substr(c_mktsegment, 1, 1) || substr(c_name, 11) || c_mktsegment AS name FROM {customer}),
+    r AS (SELECT name, n AS candidate, levenshtein(lower(name), lower(n)) AS distance FROM a JOIN n ON abs(length(name) - length(n)) <= 2)
+    SELECT name, candidate, distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, candidate) AS k FROM r WHERE distance <= 2) WHERE k <= 6""")
+def similar_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names whose first letter is wrong, and the known ones two edits away or nearer."""
+    c = bind(spark, d, "customer")
+    known = c.select(F.concat(F.expr("substr(c_name, 10)"), "c_mktsegment").alias("n"))
+    asked = c.select(F.concat(F.expr("substr(c_mktsegment, 1, 1)"), F.expr("substr(c_name, 11)"), "c_mktsegment").alias("n"))
+    return lookup.similar_names(asked, known, "n")
+
+
 @query("""WITH m AS (SELECT o_custkey AS sample, o_orderkey AS row FROM {orders} WHERE lower(o_orderstatus) = 'f' OR lower(substr(o_orderpriority, 3)) = 'f') SELECT sample, 'f' AS label, count(*) AS n, CASE WHEN count(*) = 1 THEN max(row) END AS match FROM m GROUP BY sample""")
 def label_match(spark: SparkSession, d: str) -> DataFrame:
     o = bind(spark, d, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderkey").alias("row"), F.col("o_orderstatus").alias("a"), F.expr("substr(o_orderpriority, 3)").alias("b"))

@@ -25,6 +25,35 @@ def survey(spark: SparkSession, d: str) -> DataFrame:
     return release.survey({t: bind(spark, d, t) for t in ("nation", "events")})
 
 
+#: The columns of the driver's tables; those in capitals are profiled without least and greatest, whose text differs by engine.
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey C_ACCTBAL c_mktsegment", "supplier": "s_suppkey s_name s_nationkey S_ACCTBAL", "part": "p_partkey p_name p_brand p_type p_size P_RETAILPRICE",
+    "orders": "o_orderkey o_custkey o_orderstatus O_TOTALPRICE O_ORDERDATE o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber L_QUANTITY L_EXTENDEDPRICE L_DISCOUNT L_TAX l_returnflag l_linestatus L_SHIPDATE",
+    "events": "event_id TS user_id event_type VALUE props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id EMBEDDING label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def _profile_sql(table: str, column: str) -> str:
+    c = column.lower()
+    ends = "NULL, NULL" if column.isupper() else f"CAST(min({c}) AS VARCHAR), CAST(max({c}) AS VARCHAR)"
+    return f"SELECT '{table}', '{c}', count(*), count({c}), count({c}) = 0, count(DISTINCT {c}), {ends} FROM {{{table}}}"
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_profile_sql(t, c) for t, cs in COLUMNS.items() for c in cs.split()) + ') AS p("table", "column", rows, non_null, empty, n_distinct, least, greatest)')
+def table_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of every table."""
+    out = release.profile({t: bind(spark, d, t) for t in COLUMNS})
+    odd = [c.lower() for cs in COLUMNS.values() for c in cs.split() if c.isupper()]
+    return out.withColumns({c: F.when(~F.col("column").isin(odd), F.col(c)) for c in ("least", "greatest")})
+
+
+@query("""SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 11 = 0 OR event_type IN ('view', 'click')) AS with_phase, count(*) FILTER (WHERE NOT (event_id % 11 = 0 OR event_type IN ('view', 'click'))) AS without_phase FROM {events}""")
+def recoverable_phases(spark: SparkSession, d: str) -> DataFrame:
+    """A phase by the record's id, else by its label."""
+    phase = F.coalesce(F.when(F.col("event_id") % 11 == 0, "by id"), F.when(F.col("event_type").isin("view", "click"), F.col("event_type")))
+    return release.recoverable(bind(spark, d, "events"), phase)
+
+
 @query("""SELECT o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS payload, 'staged' AS status FROM {orders} WHERE o_orderkey % 3 <> 0""")
 def staging_anti(spark: SparkSession, d: str) -> DataFrame:
     o = bind(spark, d, "orders")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def survey(tables: dict[str, DataFrame]) -> DataFrame:
@@ -17,6 +18,36 @@ def survey(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, out).select("table", "c.column", "rows", "c.non_null", (F.col("c.non_null") == 0).alias("empty"))
 
 
+def profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, rows, non_null, empty, n_distinct, least, greatest) of every column of every table; least and greatest as text, of numbers, strings, dates and booleans.
+
+    Distinct values are counted exactly: a table's cells are grouped by column and the hash of the value, so repeats
+    are dropped before the shuffle and no aggregate holds a column's values. Arrays, maps and structs count by their
+    content. A column of nulls is empty and has neither; a table without rows has rows 0.
+    """
+    out = []
+    for name, df in tables.items():
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        ordered = [c for c, k in kinds.items() if isinstance(k, T.NumericType | T.StringType | T.DateType | T.TimestampType | T.TimestampNTZType | T.BooleanType)]
+        own = {c: f"c{i}" for i, c in enumerate(df.columns)}
+        df = df.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()])
+        ends = lambda c: [F.min(own[c]).cast("string"), F.max(own[c]).cast("string")] if c in ordered else [F.lit(None).cast("string")] * 2
+        one = lambda c: F.struct(F.lit(c).alias("column"), F.count(own[c]).alias("non_null"), *[x.alias(k) for x, k in zip(ends(c), ("least", "greatest"), strict=True)])
+        row = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*[one(c) for c in own]).alias("cells"))
+        told = row.select("rows", F.explode("cells").alias("c")).select("rows", "c.*")
+        value = lambda c: F.to_json(F.struct(own[c])) if "map" in kinds[c].simpleString() else F.col(own[c])  # noqa: E731  maps have no hash
+        hashed = lambda c: F.struct(F.lit(c).alias("column"), F.when(F.col(own[c]).isNotNull(), F.xxhash64(value(c))).alias("h"), F.when(F.col(own[c]).isNotNull(), F.hash(value(c))).alias("g"))
+        cells = df.select(F.explode(F.array(*[hashed(c) for c in own])).alias("c")).select("c.*").where("h IS NOT NULL")
+        different = cells.groupBy("column", "h", "g").agg(F.lit(1).alias("x")).groupBy("column").agg(F.count("x").alias("n_distinct"))
+        out.append(told.join(different, "column", "left").select(F.lit(name).alias("table"), "column", "rows", "non_null", (F.col("non_null") == 0).alias("empty"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "least", "greatest"))
+    return reduce(DataFrame.union, out)
+
+
+def recoverable(rows: DataFrame, phase: Column) -> DataFrame:
+    """(rows, with_phase, without_phase): how many rows carry a phase that can be recovered, and how many don't."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count(phase).alias("with_phase"), (F.count(F.lit(1)) - F.count(phase)).alias("without_phase"))
+
+
 def new_rows(rows: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys aren't staged; a null in a key equals a null, so a replay adds nothing."""
     have = staged.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
