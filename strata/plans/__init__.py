@@ -1,3 +1,3 @@
 """Queries; importing the package registers them."""
 
-from strata.plans import claims, evidence, misc, notes, records, retrieval, series  # noqa: F401
+from strata.plans import claims, evidence, instrument, misc, notes, records, retrieval, series  # noqa: F401

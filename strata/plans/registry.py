@@ -47,6 +47,12 @@ BINDINGS: dict[str, str] = {
         SELECT l_orderkey * 10 + l_linenumber AS claim, l_partkey AS field, l_suppkey AS document, l_linenumber AS page, l_extendedprice / l_quantity AS value,
                CASE WHEN l_linestatus = 'O' THEN 'nm' WHEN l_linenumber = 3 THEN '' ELSE 'nm' END AS units, l_returnflag AS reactor, l_linestatus AS state
         FROM {lineitem}""",
+    # envelopes as JSON text, braces written as parentheses; every thirteenth doesn't read
+    "envelopes": """
+        SELECT event_id AS record, CASE WHEN event_id % 13 = 0 THEN 'no json' ELSE translate('("contract_version":"canonical/' || CASE WHEN event_id % 5 = 0 THEN '1.0' ELSE '0.2' END || '","record_id":"r' || CAST(event_id AS STRING) || '","kind":"' || event_type
+            || '","note_' || event_type || '":' || CAST(user_id AS STRING) || ',"signals":[("signal_id":"s1","shape":[4,2],"axes":[("kind":"energy"),("kind":"time")],"data":[1,2,3]),("signal_id":"s2","shape":[8],"axes":[],"meta":("values":[1,2],"gain":' || CAST(event_id % 7 AS STRING)
+            || '))],"derived_scalars":[("name":"gap","derivation":"' || CASE WHEN event_id % 3 = 0 THEN 'guessed' ELSE 'measured' END || '","value":' || CAST(event_id % 100 AS STRING) || '),("name":"k","derivation":" Fitted ","value":2.5)])', '()', chr(123) || chr(125)) END AS envelope
+        FROM {events}""",
     "passages": "SELECT doc_id AS chunk, lang AS technique, source AS title, text FROM {documents}",
     "questions": "SELECT item_id AS query, text AS question FROM {benchmark}",
 }

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from strata.operators.joins import validity
 from strata.operators.rules import Rule, quarantine
@@ -19,20 +21,37 @@ def read_files(spark: SparkSession, path: str, schema, *, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
-def _append_new(batch: DataFrame, target: str, keys: list[str]) -> None:
-    spark = batch.sparkSession
+def use_rocksdb(spark: SparkSession) -> None:
+    """State of streams that start from now on is kept in RocksDB, on disk beside its changelog, not in the executors' heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def held_keys(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    """The keys that a table holds now; none where there is no table yet."""
     try:
-        have = spark.read.parquet(target).select(*keys)
-    except Exception as e:  # the first batch: there is no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        return spark.read.parquet(target).select(*schema.names)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        have = batch.select(*keys).limit(0)
+        return spark.createDataFrame([], schema)
+
+
+def _append_new(batch: DataFrame, target: str, keys: list[str]) -> None:
+    have = held_keys(batch.sparkSession, target, batch.select(*keys).schema)
     new_rows(batch.dropDuplicates(keys), have, keys).write.mode("append").parquet(target)
 
 
 def stage(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Appends rows whose keys, nulls among them, aren't in the target yet, all that is there now, then stops."""
-    return stream.writeStream.foreachBatch(lambda batch, _: _append_new(batch, target, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends rows whose keys, nulls among them, aren't in the target yet, all that is there now, then stops.
+
+    What the stream has brought is held as state, in the RocksDB store of the checkpoint; what the target held before,
+    from other streams or a batch that failed half-way, is read once a run. So no batch reads what the others appended.
+    """
+    spark = stream.sparkSession
+    use_rocksdb(spark)
+    have = held_keys(spark, target, stream.select(*keys).schema).persist()
+    once = stream.dropDuplicates(keys)
+    return once.writeStream.foreachBatch(lambda batch, _: new_rows(batch, have, keys).write.mode("append").parquet(target)).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def once_by_hash(stream: DataFrame, event_time: str, sha: str, *, delay: str = "1 hour") -> DataFrame:
@@ -58,22 +77,48 @@ def check_validity(stream: DataFrame, windows: DataFrame) -> DataFrame:
     return validity(stream, windows)
 
 
-BEST = "run bigint, seq bigint, best double, since bigint"
+BEST = "run bigint, seq bigint, best double, since bigint, late bigint"
+
+
+class BestSoFar(StatefulProcessor):
+    """Of each run its last seq, its best and the evaluations since; one value of state a run, however long it is."""
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("best", "seq bigint, best double, since bigint, late bigint", self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seq, best, since, late = self.state.get() if self.state.exists() else (None, None, 0, 0)
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a run's rows of one micro-batch
+        fresh = ~batch["seq"].duplicated() & (batch["seq"] > (seq if seq is not None else -np.inf))
+        late += int((~fresh).sum())
+        batch = batch[fresh]
+        if len(batch):
+            value = batch["objective"].where(batch["feasible"].astype("boolean").fillna(False)).to_numpy(np.float64, na_value=np.nan)
+            before = np.fmax.accumulate(np.concatenate(([np.nan if best is None else best], value)))
+            better = np.flatnonzero((value > before[:-1]) | (np.isnan(before[:-1]) & ~np.isnan(value)))
+            since = len(value) - 1 - int(better[-1]) if len(better) else since + len(value)
+            best = None if np.isnan(before[-1]) else float(before[-1])
+            seq = int(batch["seq"].iloc[-1])
+        self.state.update((seq, best, since, late))
+        yield pd.DataFrame({"run": [key[0]], "seq": [seq], "best": [best], "since": [since], "late": [late]}).astype({"best": "float64", "seq": "Int64"})
 
+    def close(self) -> None:
+        pass
 
-def best_so_far(stream: DataFrame) -> DataFrame:
-    """A stream (run, seq, objective, feasible): after each micro-batch, each run's last seq, best and evaluations since it improved."""
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, best, since = state.get if state.exists else (-1, None, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows.itertuples():
-            better = r.feasible and pd.notna(r.objective) and (best is None or r.objective > best)
-            best, since, seq = (float(r.objective), 0, int(r.seq)) if better else (best, since + 1, int(r.seq))
-        state.update((seq, best, since))
-        yield pd.DataFrame({"run": [key[0]], "seq": [seq], "best": [best], "since": [since]}).astype({"best": "float64"})
+def best_so_far(stream: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
+    """A stream (run, seq, objective, feasible): after each micro-batch, each run's last seq, best, evaluations since it improved, and late rows.
 
-    return stream.groupBy("run").applyInPandasWithState(update, BEST, "seq bigint, best double, since bigint", "update", GroupStateTimeout.NoTimeout)
+    Rows are taken in the order of their seq. One that isn't beyond what the run has had, a replay or a straggler, is
+    counted as late and changes nothing else. With `idle_ms` the state of a run that gets no rows for so long is dropped,
+    and a later row begins it anew; that needs a trigger that goes on, as one that takes what is there never ends with
+    it. State is kept in RocksDB.
+    """
+    use_rocksdb(stream.sparkSession)
+    return stream.groupBy("run").transformWithStateInPandas(BestSoFar(idle_ms), BEST, "update", "processingTime" if idle_ms else "none")
 
 
 def windowed_counts(stream: DataFrame, event_time: str, *, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
