@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,12 @@ def people_of(authors: str | None) -> list[dict] | None:
     return out
 
 
+def organisation(authors: Column) -> Column:
+    """The name of an organisation without case, punctuation and legal form; null for people and for nothing."""
+    name = F.regexp_replace(F.lower(F.regexp_replace(authors, r"[^\p{L}\p{N}]+", " ")), r"\b(inc|ltd|gmbh|corp|the)\b", " ")
+    return F.when(authors.rlike(_ORGANISATION.pattern), F.nullif(F.trim(F.regexp_replace(name, r"\s+", " ")), F.lit("")))
+
+
 @F.pandas_udf(PEOPLE)
 def parse_authors(authors: pd.Series) -> pd.Series:
     return authors.map(people_of)

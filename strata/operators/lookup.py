@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators import scans
+
 
 def first_known(rows: DataFrame, maps: list[tuple[DataFrame, str]], out: str, given: Column | None = None) -> DataFrame:
     """The rows with `out`: what is given, else the first of the maps (key column of both sides, `out`) that knows it."""
@@ -20,14 +22,15 @@ def first_known(rows: DataFrame, maps: list[tuple[DataFrame, str]], out: str, gi
 def find_or_create(wanted: DataFrame, existing: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
     """(keys, id, created) of the distinct wanted identities: the stored id, else the next ones in key order.
 
-    New ids are dealt by a rank over the new identities alone.
+    New ids are dealt by a running count over ranges of the new identities alone.
     """
     rows = wanted.select(*keys).distinct().join(existing.select(*keys, id_col), keys, "left")
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
     known = rows.where(F.col(id_col).isNotNull()).withColumn("created", F.lit(False))
-    new = rows.where(F.col(id_col).isNull()).crossJoin(F.broadcast(top))  # one row
-    new = new.withColumn(id_col, F.col("_top") + F.row_number().over(Window.orderBy(*keys))).withColumn("created", F.lit(True))
-    return known.unionByName(new.drop("_top"))
+    new = scans.cut(rows.where(F.col(id_col).isNull()).drop(id_col), [], *keys)
+    new = scans.running(new, [], [F.col(k) for k in keys], "_at", "sum", F.lit(1)).crossJoin(F.broadcast(top))  # one row
+    new = new.select(*keys, (F.col("_top") + F.col("_at")).alias(id_col), F.lit(True).alias("created"))
+    return known.unionByName(new)
 
 
 def stored_or_computed(rows: DataFrame, stored: DataFrame, key: str, order: str, computed: Column) -> DataFrame:

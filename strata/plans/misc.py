@@ -153,10 +153,14 @@ def uncarried_phases(spark: SparkSession, d: str) -> DataFrame:
     return evidence.uncarried_phases(names, names.where("entity % 2 = 0").select("entity", F.lit("Red").alias("phase")), ["small", "large", "red"])
 
 
-@query("""SELECT * FROM (VALUES ('reg', 'reg', NULL), ('box', 'boxes', NULL), ('none', NULL, 'fits no family'), ('nation', NULL, 'fits several families')) AS v(gap, family, error) WHERE (SELECT count(*) FROM {region}) > 0""")
+@query("""WITH g AS (SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN 'none' || p_size ELSE lower(split_part(p_type, ' ', 1)) END AS gap FROM {part}), f AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) || CASE WHEN p_size % 2 = 0 THEN 's' ELSE '' END AS family FROM {part} WHERE p_size % 2 = 0 OR lower(p_type) LIKE 's%'),
+    m AS (SELECT gap, count(*) AS n, min(family) AS family FROM g JOIN f ON family IN (gap, gap || 's', gap || 'es') GROUP BY gap)
+    SELECT g.gap, CASE WHEN n = 1 THEN family END AS family, CASE WHEN n IS NULL THEN 'fits no family' WHEN n > 1 THEN 'fits several families' END AS error FROM g LEFT JOIN m USING (gap)""")
 def gap_families(spark: SparkSession, d: str) -> DataFrame:
-    gaps = spark.createDataFrame([("reg",), ("box",), ("none",), ("nation",)], "gap string")
-    families = bind(spark, d, "region").select(F.explode(F.array(*map(F.lit, ["reg", "boxes", "nation", "nations"]))).alias("family"))
+    p, word = bind(spark, d, "part"), F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))
+    gaps = p.select(F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("none"), F.col("p_size").cast("string"))).otherwise(word).alias("gap")).distinct()
+    even = F.col("p_size") % 2 == 0
+    families = p.where(even | F.lower("p_type").startswith("s")).select(F.concat(word, F.when(even, "s").otherwise("")).alias("family"))
     return release.gap_families(gaps, families)
 
 

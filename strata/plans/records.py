@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.authors import parse_authors
+from strata.functions.authors import organisation, parse_authors
 from strata.operators import graph, rules, state
 from strata.operators.shared import shared_folder
 from strata.plans.registry import bind, query
@@ -210,6 +210,16 @@ def author_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.groups(graph.author_edges(_people(spark, d)), "entry")
 
 
+@query(GROUPS.replace("WITH RECURSIVE x AS (", "WITH RECURSIVE x AS (SELECT s_nationkey % 9 AS entry, s_suppkey AS source, 'org' || (s_suppkey % 4) AS surname, 'org' AS initial FROM {supplier} WHERE s_suppkey % 5 = 0 UNION ") + ' SELECT entry, node, g AS "group" FROM c')
+def organisation_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of sources by shared authors and by organisations, which are written in several ways."""
+    k = F.col("s_suppkey")
+    written_as = F.when(k % 2 == 0, F.concat(F.lit("Institute of Films "), (k % 4).cast("string"))).otherwise(F.concat(F.lit("INSTITUTE of  films, "), (k % 4).cast("string"), F.lit(" Ltd.")))
+    s = bind(spark, d, "supplier").where("s_suppkey % 5 = 0")
+    o = s.select((F.col("s_nationkey") % 9).alias("entry"), k.alias("source"), organisation(written_as).alias("name"))
+    return graph.groups(graph.author_edges(_people(spark, d), o), "entry")
+
+
 @query(GROUPS + """, o AS (SELECT x.*, c.g FROM x JOIN c ON c.entry = x.entry AND c.node = x.source), u AS (SELECT DISTINCT p.entry FROM o p JOIN o q ON p.entry = q.entry AND p.surname = q.surname AND p.initial IS NULL AND p.g <> q.g UNION SELECT 3)
     SELECT entry, CASE WHEN u.entry IS NULL THEN count(DISTINCT g) END AS n_groups, CASE WHEN u.entry IS NULL THEN 'determined' ELSE 'unknown' END AS status FROM c LEFT JOIN u USING (entry) GROUP BY entry, u.entry""")
 def source_independence(spark: SparkSession, d: str) -> DataFrame:
