@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strata.functions import text as t
 from strata.functions.stemming import stems
 from strata.operators import ranked
-from strata.operators.shared import shared_folder
+from strata.operators.shared import shared_folder, spread
 
 RRF_K, DEPTH = 60, 24
 #: What a cover without other words adds to the rank of a passage.
@@ -89,14 +89,15 @@ def substring_posts(asked: DataFrame, passages: DataFrame) -> DataFrame:
     A term lies within a run of the characters that terms are made of. So terms are looked for in the different runs of
     the corpus, by their first three characters, and passages are reached over the runs that they hold.
     """
-    runs = ranked.counted(passages.select("chunk", F.concat_ws("\n", "title", "text").alias("body")), {"body": 1.0}, r"[a-z0-9.\-_/]+").where("term IS NOT NULL").select("chunk", F.col("term").alias("run"), "tf")
     shared_folder(passages.sparkSession)
-    runs = runs.checkpoint()
-    terms = asked.select(F.explode("terms").alias("term")).distinct().withColumn("start", F.substring("term", 1, 3))
+    found = F.regexp_extract_all(F.lower(F.concat_ws("\n", "title", "text")), F.lit(r"([a-z0-9.\-_/]+)"), 1)
+    runs = spread(passages.select("chunk", "title", "text")).select(F.col("chunk").cast("bigint").alias("chunk"), F.explode(found).alias("run")).groupBy("chunk", "run").agg(F.count(F.lit(1)).alias("n"))
+    terms = asked.select(F.explode("terms").alias("term")).distinct().withColumn("start", F.substring("term", 1, 3)).checkpoint()
+    terms = F.broadcast(terms) if terms.limit(ranked.FEW + 1).count() <= ranked.FEW else terms
     starts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("run") - k + 1)), lambda i: F.col("run").substr(i, F.lit(k)))
     different = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(starts(2), starts(3)))).alias("start"))
     inside = different.join(terms, "start").where(F.contains("run", "term")).select("run", "term", t.occurrences(F.col("run"), F.col("term")).alias("times"))
-    return runs.join(inside, "run").groupBy("chunk", "term").agg(F.sum(F.col("tf").cast("bigint") * F.col("times")).alias("hits"))
+    return runs.join(inside, "run").groupBy("chunk", "term").agg(F.sum(F.col("n") * F.col("times")).alias("hits"))
 
 
 def term_hits(queries: DataFrame, passages: DataFrame) -> DataFrame:
