@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,26 +55,48 @@ def near_names(names: DataFrame, known: DataFrame, key: str, *, prefix: int = 3,
     return rows.withColumn("_r", rank).where(F.col("_r") <= most).select("name", "candidate", "distance")
 
 
-def deletions(name: Column, distance: int) -> Column:
-    """Hashes of a name and of all that is left of it without up to `distance` of its characters, each once."""
+def deletions(name: Column, distance: int) -> list[Column]:
+    """What is left of a name without none, one, .. `distance` of its characters: an array of strings each, every string once in it."""
     without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
-    held = left = F.array(name)
+    left = [F.array(name)]
     for _ in range(distance):
-        left = F.array_distinct(F.flatten(F.transform(left, lambda w: F.when(F.length(w) > 0, without(w)).otherwise(F.array().cast("array<string>")))))
-        held = F.concat(held, left)
-    return F.array_distinct(F.transform(held, lambda w: F.xxhash64(w)))
+        left.append(F.array_distinct(F.flatten(F.transform(left[-1], lambda w: F.when(F.length(w) > 0, without(w)).otherwise(F.array().cast("array<string>"))))))
+    return left
+
+
+def blanked(name: Column, places: int) -> Column:
+    """The name with a blank in place of each choice of `places` of its characters, as an array of strings; empty for a shorter one."""
+    parts = F.array(F.struct(F.lit("").alias("done"), name.alias("rest")))  # what stands up to the last blank, and what comes after it
+    for _ in range(places):
+        first = lambda p, i: F.struct(F.concat(p["done"], p["rest"].substr(F.lit(1), i - 1), F.lit("\0")).alias("done"), p["rest"].substr(i + 1, F.length(p["rest"])).alias("rest"))
+        none = F.array().cast("array<struct<done:string,rest:string>>")
+        parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p["rest"]) > 0, F.transform(F.sequence(F.lit(1), F.length(p["rest"])), lambda i: first(p, i))).otherwise(none)))
+    return F.transform(parts, lambda p: F.concat(p["done"], p["rest"]))
 
 
 def similar_names(names: DataFrame, known: DataFrame, key: str, *, distance: int = 2, most: int = 6) -> DataFrame:
     """(name, candidate, distance): at most `most` known names within an edit distance of each name, case aside, the nearest first; ties by name.
 
-    Two names within a distance have what is left of each without that many characters, or fewer, in common. Those
-    remains are the keys that names meet on, wherever the difference is, and the edit distance decides. Null names meet
-    nothing; different spellings of a name by case are candidates of their own.
+    Two names within a distance have what is left of each without that many characters, or fewer, in common. If both have
+    to lose that many, every edit puts one character for another, and both are the same with blanks in their places. So
+    names meet on three kinds of keys: with that many blanks; without up to that many characters of the name and fewer of
+    the known one; the other way round. The edit distance decides. A name has hundreds of keys, which size estimates
+    don't tell, so their rows are merged and never broadcast. Null names meet nothing; different spellings of a name by
+    case are candidates of their own.
     """
-    side = lambda df, out: df.select(F.col(key).alias(out)).where(F.col(out).isNotNull()).distinct().select(out, F.explode(deletions(F.lower(out), distance)).alias("_d"))
-    pairs = side(names, "name").join(side(known, "candidate"), "_d").select("name", "candidate").distinct()
-    near = pairs.withColumn("distance", F.levenshtein(F.lower("name"), F.lower("candidate"))).where(F.col("distance") <= distance)
+
+    def side(df: DataFrame, out: str, kinds: Callable[[list[Column]], list[tuple[int, Column]]]) -> DataFrame:
+        hashed = lambda i, words: F.transform(words, lambda w: F.xxhash64(F.lit(i), w))
+        low = F.lower(out)
+        keys = [hashed(0, blanked(low, distance)), *[hashed(i, words) for i, words in kinds(deletions(low, distance))]]
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: names are few bytes and would all be put into one task
+        own = df.select(F.col(key).alias(out)).where(F.col(out).isNotNull()).repartition(parts, out).distinct()
+        return own.select(out, F.explode(F.array_distinct(F.concat(*keys))).alias("_d"))
+
+    asked = side(names, "name", lambda left: [(1, F.concat(*left)), (2, F.concat(*left[:-1]))])
+    held = side(known, "candidate", lambda left: [(1, F.concat(*left[:-1])), (2, left[-1])])
+    pairs = asked.hint("merge").join(held, "_d").select("name", "candidate").distinct()
+    near = pairs.withColumn("distance", F.levenshtein(F.lower("name"), F.lower("candidate"), distance)).where(F.col("distance").between(0, distance))
     rank = F.row_number().over(Window.partitionBy("name").orderBy("distance", "candidate"))
     return near.withColumn("_r", rank).where(F.col("_r") <= most).select("name", "candidate", "distance")
 
