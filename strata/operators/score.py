@@ -112,12 +112,13 @@ def gamma(reference: DataFrame, terms: list[Term]) -> DataFrame:
 def mediated_effect(b: DataFrame, g: DataFrame) -> DataFrame:
     """(descriptor, effect, dominant, channels): the sum over properties of b times gamma, and the channel of the largest share.
 
-    Of equal shares the first key by name is dominant; properties without gamma don't contribute.
+    Of equal shares the first key by name is dominant; properties without gamma don't contribute. A descriptor whose
+    channels have no slope stays, with a null effect and no dominant channel.
     """
     m = b.join(g, "key").withColumn("part", F.col("b") * F.col("gamma"))
     lead = m.groupBy("descriptor").agg(F.sum("part").alias("effect"), F.max(F.abs("part")).alias("most"), F.count(F.lit(1)).alias("channels"))
     who = m.join(lead, "descriptor").where(F.abs("part") == F.col("most")).groupBy("descriptor").agg(F.min("key").alias("dominant"))
-    return lead.join(who, "descriptor").select("descriptor", "effect", "dominant", "channels")
+    return lead.join(who, "descriptor", "left").select("descriptor", "effect", "dominant", "channels")
 
 
 def weight_correlations(weights: DataFrame) -> DataFrame:

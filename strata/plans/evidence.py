@@ -124,7 +124,8 @@ def gamma_matrix(spark: SparkSession, d: str) -> DataFrame:
     SELECT descriptor, round(sum(part), 6) AS effect, arg_max(key, abs(part)) AS dominant, count(*) AS channels FROM m GROUP BY descriptor""")
 def mediated_effect(spark: SparkSession, d: str) -> DataFrame:
     part = bind(spark, d, "part_measures")
-    row = part.agg(*[F.regr_slope(y, x).alias(f"{x}|{y}") for x, y in (("eg", "k"), ("eg", "ebd"), ("ebd", "k"), ("ebd", "tan_delta"))])
+    slope = lambda y, x: F.when(F.regr_count(y, x) > 0, F.coalesce(F.regr_slope(y, x), F.lit(float("nan"))))  # noqa: E731  as SQL has it: NaN without variance, null without cases
+    row = part.agg(*[slope(y, x).alias(f"{x}|{y}") for x, y in (("eg", "k"), ("eg", "ebd"), ("ebd", "k"), ("ebd", "tan_delta"))])
     b = row.select(F.explode(F.array(*[F.struct(F.lit(c.split("|")[0]).alias("descriptor"), F.lit(c.split("|")[1]).alias("key"), F.col(f"`{c}`").alias("b")) for c in row.columns])).alias("r")).select("r.*")
     return score.mediated_effect(b, _gamma(spark, d)).withColumn("effect", F.round("effect", 6))
 
