@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +69,8 @@ def outcome(r: Column, q: Column, sign: str, alpha: float = 0.05) -> Column:
     return F.when(r.isNull() | q.isNull() | (q > alpha), "inconclusive").when(agrees, "supports").otherwise("contradicts")
 
 
-#: Cases of a block of a permuted pair; permutations that one task works on; rounds of the permuting network, and of small ones, which mix slowly.
-PERMUTED_BLOCK, PERMUTED_AT_ONCE, ROUNDS, MANY_ROUNDS = 65_536, 250, 6, 12
+#: Cases of a block of a permuted pair, and of a row of one; permutations that one task works on; rounds of the permuting network, and of small ones, which mix slowly.
+PERMUTED_BLOCK, PERMUTED_ROW, PERMUTED_AT_ONCE, ROUNDS, MANY_ROUNDS = 1 << 22, 1 << 16, 500, 6, 12
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -123,38 +121,48 @@ def permutation_p(cases: DataFrame, *, permutations: int = 10_000, seed: int = 2
 
     A pair's cases are numbered by id, with a running count over ranges, and standardised. A permutation is a keyed one
     of those numbers, so where it takes a case follows from the case's number and the seed alone. Cases are packed in
-    blocks of PERMUTED_BLOCK numbers; a block of x meets each block of y of its pair for some permutations at a time and
-    gives the sums of the products of the cases that are taken there. The sums of all blocks make a permutation's r. So
-    no task holds a whole pair, and no partitioning changes a result. Below three cases, or without variance, r and p
-    are null.
+    rows of PERMUTED_ROW numbers, and those in blocks of PERMUTED_BLOCK; a block of x meets each block of y of its pair for
+    some permutations at a time, goes through x row by row and gives the sums of the products of the cases that are
+    taken there. The sums of all blocks make a permutation's r. So no task holds more than two blocks, no partitioning
+    changes a result, and what is shuffled grows with the cases as long as a pair has no more than a block of them. Below
+    three cases, or without variance, r and p are null.
     """
     by, chunk = ["x_key", "y_key"], chunk or PERMUTED_AT_ONCE
+    width = min(PERMUTED_ROW, PERMUTED_BLOCK)
+    size_of_block = PERMUTED_BLOCK // width * width
     size = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     numbered = scans.running(scans.cut(cases, by, "id", "x", "y"), by, [F.col("id"), F.col("x"), F.col("y")], "row", "sum", F.lit(1)).withColumn("row", F.col("row") - 1)
     rows = numbered.join(size.where("n >= 3 AND sx > 0 AND sy > 0"), by)
     rows = rows.select(*by, "n", "row", ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
-    blocks = rows.groupBy(*by, "n", F.floor(F.col("row") / PERMUTED_BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("row", "x", "y"))).alias("c")).checkpoint()  # PERMUTED_BLOCK rows at most
-    left = blocks.select(*by, "n", F.col("block").alias("x_block"), F.col("c.x").alias("x"))
-    right = blocks.select(*by, F.col("block").alias("y_block"), F.col("c.y").alias("y"))
+    packed = rows.groupBy(*by, "n", F.floor(F.col("row") / width).alias("part")).agg(F.sort_array(F.collect_list(F.struct("row", "x", "y"))).alias("c")).checkpoint()  # PERMUTED_ROW cases at most in a row
+    block, blocks = F.floor(F.col("part") * width / size_of_block), F.ceil(F.col("n") / size_of_block)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    left = packed.select(*by, "n", "part", block.alias("x_block"), every.alias("y_block"), F.col("c.x").alias("v"), F.lit(0).alias("side"))
+    right = packed.select(*by, "n", "part", every.alias("x_block"), block.alias("y_block"), F.col("c.y").alias("v"), F.lit(1).alias("side"))
     chunks = F.explode(F.sequence(F.lit(0), F.lit(permutations), F.lit(chunk)))  # permutation 0 is none: the observed
-    met = left.join(right, by).withColumn("first", chunks).repartition(*by, "x_block", "y_block", "first")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                x, y, begin, low = np.asarray(r.x, float), np.asarray(r.y, float), int(r.x_block) * PERMUTED_BLOCK, int(r.y_block) * PERMUTED_BLOCK
-                own, which, sums = np.arange(begin, begin + len(x)), np.arange(max(1, r.first), min(r.first + chunk, permutations + 1)), []
-                if r.first == 0:
-                    sums.append([x @ y if low == begin else 0.0])
-                step = max(1, 1_000_000 // len(x))
-                for i in range(0, len(which), step):
-                    to = permuted(own, int(r.n), seed, which[i : i + step]) - low
-                    here = (to >= 0) & (to < len(y))
-                    sums.append(np.where(here, y[np.where(here, to, 0)], 0.0) @ x)
-                which, sums = np.append([0], which) if r.first == 0 else which, np.concatenate(sums)
-                yield pd.DataFrame({"x_key": r.x_key, "y_key": r.y_key, "which": which, "s": sums})
-
-    sums = met.mapInPandas(run, "x_key string, y_key string, which bigint, s double").groupBy(*by, "which").agg(F.sum("s").alias("s")).checkpoint()
+    keys, tasks = [*by, "x_block", "y_block", "first"], int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.unionByName(right).withColumn("first", chunks).repartition(tasks, *keys)  # a given number: the work is in the permutations, not in the bytes
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x_key, y_key, x_block, y_block, first = (k.as_py() for k in key)
+        part, side, n, v = table["part"].to_numpy(), table["side"].to_numpy(), table["n"][0].as_py(), table["v"]
+        y = np.concatenate([v[int(i)].values.to_numpy() for i in sorted(np.flatnonzero(side == 1), key=lambda i: part[i])])
+        low, which = y_block * size_of_block, np.arange(max(1, first), min(first + chunk, permutations + 1))
+        sums, seen = np.zeros(len(which)), 0.0
+        for i in sorted(np.flatnonzero(side == 0), key=lambda i: part[i]):
+            x, begin = v[int(i)].values.to_numpy(), int(part[i]) * width
+            own = np.arange(begin, begin + len(x))
+            if first == 0 and x_block == y_block:
+                seen += float(x @ y[begin - low : begin - low + len(x)])
+            step = max(1, 1_000_000 // len(x))
+            for j in range(0, len(which), step):
+                to = permuted(own, n, seed, which[j : j + step]) - low
+                here = (to >= 0) & (to < len(y))
+                sums[j : j + step] += np.where(here, y[np.where(here, to, 0)], 0.0) @ x
+        which, sums = (np.append([0], which), np.append([seen], sums)) if first == 0 else (which, sums)
+        return pa.table({"x_key": pa.array([x_key] * len(which), pa.string()), "y_key": pa.array([y_key] * len(which), pa.string()), "which": pa.array(which, pa.int64()), "s": pa.array(sums, pa.float64())})
+
+    sums = met.groupBy(*keys).applyInArrow(run, "x_key string, y_key string, which bigint, s double").groupBy(*by, "which").agg(F.sum("s").alias("s")).checkpoint()
     seen = sums.where("which = 0").select(*by, F.abs("s").alias("seen"), F.col("s").alias("sum"))
     over = sums.join(seen, by).groupBy(*by).agg(F.count(F.when((F.col("which") > 0) & (F.abs("s") >= F.col("seen") * (1 - 1e-12)), 1)).alias("over"), F.any_value("sum").alias("sum"))
     out = size.join(over, by, "left")
