@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +52,14 @@ def normalised(units: Column) -> Column:
 
 def dimension(units: Column) -> Column:
     """The dimension of a unit, null where none is known."""
-    u = plain(units)
-    marks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(m).alias("mark")) for name, ms in DIMENSIONS for m in ms])
-    fits = F.filter(marks, lambda x: F.when(F.contains(x["mark"], F.lit("/")), F.contains(u, x["mark"])).otherwise(u == x["mark"]))
-    return F.when(u != "", F.try_element_at(fits, F.lit(1))["name"])
+    def known(u: Column) -> Column:
+        out = F.when(u == "", None)
+        for name, marks in DIMENSIONS:
+            inside, whole = [m for m in marks if "/" in m], [m for m in marks if "/" not in m]
+            out = out.when(reduce(or_, [F.contains(u, F.lit(m)) for m in inside], u.isin(*whole)), name)
+        return out
+
+    return F.element_at(F.transform(F.array(plain(units)), known), 1)  # so that a unit is made plain once
 
 
 def factor_rows() -> list[tuple[str, str, float]]:

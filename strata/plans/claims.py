@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions import chemistry, units
 from strata.functions import text as t
 from strata.operators import claims, disputes, gates, joins, plausibility, rules
+from strata.operators.shared import spread
 from strata.plans.registry import bind, query
 
 UNITS = ["nm", "Angstroms", "nm per cycle", "°C", "K", "mTorr", "1.42 A/cycle", "um", "eV", "g/cm3", "", "furlong"]
@@ -28,7 +29,7 @@ NORM = "u AS (SELECT *, CASE units WHEN 'nm' THEN 'nm' WHEN 'Angstroms' THEN 'a'
 
 def _stated(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    return bind(spark, d, "part").select(k.alias("claim"), _pick(FIELDS, k).alias("field"), _pick(UNITS, F.floor(k / 6)).alias("units"), F.col("p_retailprice").alias("value"))
+    return spread(bind(spark, d, "part").select("p_partkey", "p_retailprice")).select(k.alias("claim"), _pick(FIELDS, k).alias("field"), _pick(UNITS, F.floor(k / 6)).alias("units"), F.col("p_retailprice").alias("value"))
 
 
 FACTOR_SQL = "(VALUES " + ", ".join(f"('{f}', '{u}', CAST({x!r} AS DOUBLE))" for f, u, x in units.factor_rows()) + ") AS f(field, n, x)"
