@@ -62,8 +62,18 @@ def conjuncts(question: Column) -> Column:
     parts = F.transform(F.split(question, r",?\s+and\s+|;\s*"), lambda p: F.regexp_replace(p, r"^[ ,;?]+|[ ,;?]+$", ""))
     parts = F.filter(parts, lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) >= 3)
     subjects = F.array_distinct(F.regexp_extract_all(question, F.lit(r"(\b(?:[A-Z][a-z]?[a-z]?[0-9]+[A-Za-z0-9]*|[A-Z]{2,})\b)"), 1))
-    carried = F.transform(parts, lambda p: F.when((F.size(subjects) > 0) & ~F.exists(subjects, lambda s: F.contains(p, s)), F.concat(p, F.lit(" for "), F.array_join(subjects, " "))).otherwise(p))
-    return F.when(F.size(parts) >= 2, F.transform(carried, lambda p: F.concat(p, F.lit("?")))).otherwise(F.array().cast("array<string>"))
+
+    def carried(found: Column) -> Column:
+        parts, subjects = found["parts"], found["subjects"]
+        lost = lambda p: (F.size(subjects) > 0) & ~F.exists(subjects, lambda s: F.contains(p, s))
+        each = F.transform(parts, lambda p: F.concat(F.when(lost(p), F.concat(p, F.lit(" for "), found["all"])).otherwise(p), F.lit("?")))
+        return F.when(F.size(parts) >= 2, each).otherwise(F.array().cast("array<string>"))
+
+    def joined(found: Column) -> Column:
+        return F.struct(found["parts"].alias("parts"), found["subjects"].alias("subjects"), F.array_join(found["subjects"], " ").alias("all"))
+
+    once = F.transform(F.transform(F.array(F.struct(parts.alias("parts"), subjects.alias("subjects"))), joined), carried)  # parts and subjects are found once a question, not once a part
+    return F.element_at(once, 1)
 
 
 def number_of(text: Column) -> Column:
