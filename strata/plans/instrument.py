@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.plans.registry import bind, query
+from strata.operators.shared import spread
+from strata.plans.registry import BINDINGS, bind, query
 from strata.sources import variants
 
 KNOWN = ["contract_version", "record_id", "kind", "signals", "derived_scalars"]
@@ -13,7 +14,7 @@ DERIVATIONS = ["measured", "fitted"]
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return variants.read(bind(spark, d, "envelopes"), "record", "envelope")
+    return variants.read(spark.sql(BINDINGS["envelopes"], events=spread(bind(spark, d, "events"))), "record", "envelope")
 
 
 @query("""SELECT record, CASE WHEN NOT json_valid(envelope) THEN 'unreadable' WHEN json_extract_string(envelope, '$.contract_version') LIKE 'canonical/0.%' THEN 'supported' ELSE 'unsupported version' END AS state FROM {envelopes}""")

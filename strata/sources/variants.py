@@ -6,6 +6,8 @@ blocks of any depth and arrays of mixed content come through, and a text that is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from strata.operators.shared import shared_folder
 
 # fixed values: keys of bulk arrays, which are never kept beside the description of a record
 BULK = ["data", "array", "values", "counts", "intensity"]
+#: Levels exploded in one plan.
+LEVELS = 8
 
 
 def read(df: DataFrame, record: str, text: str) -> DataFrame:
@@ -38,27 +42,30 @@ def unknown_keys(records: DataFrame, known: list[str]) -> DataFrame:
     return entries(records).where(F.col("key").isNotNull() & ~F.col("key").isin(*known)).select("record", "key", F.to_json("value").alias("value"))
 
 
+def _level(left: DataFrame, bulk: list[str], *, stay: bool) -> DataFrame:
+    """(record, path, v) one level down, without bulk arrays; with `stay` what has no members or items stays as it is."""
+    inner = left.sparkSession.sql(f"SELECT record, path, v, e.pos, e.key, e.value FROM {{left}}, LATERAL variant_explode{'_outer' if stay else ''}(v) AS e", left=left)
+    inner = inner.where(~(F.coalesce(F.col("key").isin(*bulk), F.lit(False)) & F.startswith(F.schema_of_variant("value"), F.lit("ARRAY<"))))
+    at = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).when(F.col("pos").isNotNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise("")
+    return inner.select("record", F.concat("path", at).alias("path"), (F.coalesce("value", "v") if stay else F.col("value")).alias("v"))
+
+
 def leaves(records: DataFrame, *, bulk: list[str] = BULK) -> DataFrame:
     """(record, path, value, kind) of all that isn't an object or an array, at any depth, without bulk arrays.
 
-    Each round explodes one level of what is left; there are as many rounds as the deepest record has levels. Empty
-    objects and arrays are leaves of their own, so that nothing is lost but bulk arrays; a null is a leaf with a null value.
+    `LEVELS` levels are exploded in one pass, through which leaves go as they are; a pass before it looks whether any
+    record is deeper. Only then the rows are set aside and what is deeper goes on. Empty objects and arrays are leaves of
+    their own, so that nothing is lost but bulk arrays; a null is a leaf with a null value.
     """
     shared_folder(records.sparkSession)
-    kind = F.schema_of_variant("v")
-    left = records.where("v IS NOT NULL").select("record", F.lit("$").alias("path"), "v")
-    done = None
-    while True:
-        left = left.withColumn("kind", kind).checkpoint()
-        holder = (F.startswith("kind", F.lit("OBJECT<")) | F.startswith("kind", F.lit("ARRAY<"))) & ~F.to_json("v").isin("{}", "[]")
-        flat = left.where(~holder).select("record", "path", F.when(F.col("kind") != "VOID", F.to_json("v")).alias("value"), "kind")
-        done = flat if done is None else done.unionByName(flat)
-        deep = left.where(holder)
-        if deep.isEmpty():
-            return done
-        inner = deep.sparkSession.sql("SELECT record, path, e.pos, e.key, e.value AS v FROM {deep}, LATERAL variant_explode(v) AS e", deep=deep)
-        inner = inner.where(~(F.coalesce(F.col("key").isin(*bulk), F.lit(False)) & F.startswith(F.schema_of_variant("v"), F.lit("ARRAY<"))))
-        left = inner.select("record", F.concat("path", F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), "pos", F.lit("]")))).alias("path"), "v")
+    down = lambda df, n, stay: reduce(lambda d, _: _level(d, bulk, stay=stay), range(n), df)
+    left, done = records.select("record", F.lit("$").alias("path"), "v"), []
+    while down(left, LEVELS + 1, False).agg(F.count(F.lit(1))).first()[0]:
+        holder = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<") & ~F.to_json("v").isin("{}", "[]")
+        met = down(left, LEVELS, True).where("v IS NOT NULL").withColumn("more", holder).checkpoint()
+        done, left = [*done, met.where("NOT more").drop("more")], met.where("more").drop("more")
+    found = reduce(DataFrame.unionByName, [*done, down(left, LEVELS, True).where("v IS NOT NULL")])
+    return found.select("record", "path", F.nullif(F.to_json("v"), F.lit("null")).alias("value"), F.schema_of_variant("v").alias("kind"))
 
 
 def digests(records: DataFrame, *, bulk: list[str] = BULK) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql.classic.dataframe import DataFrame
+
 from strata.sources import variants
 
 TEXTS = {
@@ -32,6 +34,17 @@ def test_leaves_at_any_depth(spark):
     assert variants.leaves(records(spark).limit(0)).count() == 0
 
 
+def test_one_pass_over_shallow_records_and_deep_ones(spark, monkeypatch):
+    deep = {"a": [{"b": [[[{"c": [{"d": [[1, None, "null", {}]], "data": [[2]]}], "e": "[{"}]]]}, 3], "data": {"values": [4], "f": []}}
+    rows = spark.createDataFrame([(1, json.dumps(deep)), (2, '{"a": {"a": 1}}'), (3, "null")], "id int, t string")
+    expected = sorted([(i, *leaf) for i, t in ((1, deep), (2, {"a": {"a": 1}}), (3, None)) for leaf in plain(t)], key=repr)
+    for levels in (1, 2, 3, 8, 20):
+        monkeypatch.setattr(variants, "LEVELS", levels)
+        assert sorted([tuple(r)[:3] for r in variants.leaves(variants.read(rows, "id", "t")).collect()], key=repr) == expected
+    monkeypatch.setattr(DataFrame, "checkpoint", None)  # of records up to the levels of a pass none is needed
+    assert variants.leaves(variants.read(rows, "id", "t")).count() == len(expected)
+
+
 def test_hash_ignores_order_spacing_and_bulk(spark):
     sha = {r.record: r.sha for r in variants.digests(records(spark)).collect()}
     assert sha[1] == sha[2] and len(set(sha.values())) == len(sha) - 1 and set(sha) == {1, 2, 5, 6, 7, 8}
