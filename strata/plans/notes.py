@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as t
 from strata.operators import cards, lookup
+from strata.operators.shared import spread
 from strata.plans.registry import bind, query
 from strata.sources import fits
 
@@ -174,7 +175,7 @@ def retitled_chunks(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT record, 'sld_real', 100.0, NULL, NULL, false, false, 'fixed,placeholder constant' FROM m""")
 def slab_layers(spark: SparkSession, d: str) -> DataFrame:
     payload = F.format_string('{"length_units": "nm", "stack": [{"label": "film", "role": "film", "structural": {"d": {"value": %d, "min": 30, "max": 1, "vary": true}}, "xray": {"sld_real": {"value": 100}, "thickness": {"value": 7}}}]}', "p_size")
-    out = fits.layers(bind(spark, d, "part").select(F.col("p_partkey").alias("record"), payload.alias("payload")))
+    out = fits.layers(spread(bind(spark, d, "part")).select(F.col("p_partkey").alias("record"), payload.alias("payload")))
     return out.select("record", "parameter", "value", "lo", "hi", "vary", "swapped", F.array_join(fits.caveats(), ",").alias("caveats"))
 
 

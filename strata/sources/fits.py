@@ -21,25 +21,27 @@ def layers(records: DataFrame, column: str = "payload") -> DataFrame:
     """(record, layer, label, role, material, parameter, value, lo, hi, vary, uncertainty, swapped) of JSON slab models.
 
     Lengths, their bounds and uncertainties go to angstroms together; of a parameter that two blocks hold the first
-    block wins; bounds the wrong way round are turned and flagged; an unknown unit leaves the value null.
+    block wins, of names of one parameter within a block the first; bounds the wrong way round are turned and flagged; an
+    unknown unit leaves the value null. Each record is read for itself, in one pass: rows that repeat one give rows each.
     """
     rows = records.withColumn("m", F.from_json(column, MODEL)).select("record", F.col("m.length_units").alias("unit"), F.posexplode("m.stack").alias("layer", "l"))
     none = F.array().cast(f"array<struct<key:string,value:{PARAMETER}>>")
 
-    def named(i: int, block: str) -> Column:
-        return F.transform(F.coalesce(F.map_entries(f"l.{block}"), none), lambda e: F.struct(F.lit(i).alias("block"), e["key"].alias("name"), e["value"].alias("p")))
+    def named(block: str) -> Column:
+        return F.transform(F.coalesce(F.map_entries(f"l.{block}"), none), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("p")))
 
-    entries = F.flatten(F.array(*[named(i, b) for i, b in enumerate(BLOCKS)]))
-    rows = rows.select("record", "unit", "layer", "l.label", "l.role", "l.material", F.explode(entries).alias("e"))
-    alias = F.element_at(F.create_map(*[F.lit(x) for p in ALIASES.items() for x in p]), F.col("e.name"))
-    rows = rows.withColumn("parameter", F.coalesce(alias, F.col("e.name")))
-    first = rows.groupBy("record", "unit", "layer", "label", "role", "material", "parameter").agg(F.min_by(F.struct("e.block", "e.p"), "e.block").alias("b"))
+    entries = F.flatten(F.array(*[named(b) for b in BLOCKS]))
+    alias = F.create_map(*[F.lit(x) for p in ALIASES.items() for x in p])
+    rows = rows.select("record", "unit", "layer", "l.label", "l.role", "l.material", entries.alias("e"))
+    rows = rows.withColumn("names", F.transform("e", lambda e: F.coalesce(F.element_at(alias, e["name"]), e["name"])))
+    first = rows.select("record", "unit", "layer", "label", "role", "material", F.explode(F.filter(F.arrays_zip("names", "e"), lambda z, i: F.array_position("names", z["names"]) == i + 1)).alias("z"))
+    first = first.select("record", "unit", "layer", "label", "role", "material", F.col("z.names").alias("parameter"), F.col("z.e.p").alias("p"))
     scale = F.when(F.col("parameter").isin(LENGTHS), F.element_at(F.create_map(*[F.lit(x) for p in TO_ANGSTROM.items() for x in p]), F.lower(F.coalesce("unit", F.lit("angstrom"))))).otherwise(1.0)
-    lo, hi = F.col("b.p.min") * scale, F.col("b.p.max") * scale
+    lo, hi = F.col("p.min") * scale, F.col("p.max") * scale
     swapped = F.coalesce(lo > hi, F.lit(False))
     return first.select(
-        "record", "layer", "label", "role", "material", "parameter", (F.col("b.p.value") * scale).alias("value"), F.when(swapped, hi).otherwise(lo).alias("lo"), F.when(swapped, lo).otherwise(hi).alias("hi"),
-        F.coalesce("b.p.vary", F.lit(False)).alias("vary"), (F.col("b.p.uncertainty") * scale).alias("uncertainty"), swapped.alias("swapped"),
+        "record", "layer", "label", "role", "material", "parameter", (F.col("p.value") * scale).alias("value"), F.when(swapped, hi).otherwise(lo).alias("lo"), F.when(swapped, lo).otherwise(hi).alias("hi"),
+        F.coalesce("p.vary", F.lit(False)).alias("vary"), (F.col("p.uncertainty") * scale).alias("uncertainty"), swapped.alias("swapped"),
     )
 
 

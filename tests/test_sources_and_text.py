@@ -48,6 +48,14 @@ def test_slab_model_units_bounds_and_first_block(spark):
     assert got["sld_real"].value == 60.0
 
 
+def test_slab_models_are_read_in_one_pass(spark):
+    payload = '{"stack": [{"optical": {"t": {"value": 3}, "n": null}, "structural": {"d": {"value": 1}, "thickness": {"value": 2}, "sigma": {"value": 4}}}, {"label": null}, {"xray": {"d": {"value": 5}}}]}'
+    found = fits.layers(spark.createDataFrame([(1, payload), (1, payload), (2, None), (3, "[]")], "record int, payload string"))
+    got = sorted((r.record, r.layer, r.parameter, r.value) for r in found.select("record", "layer", "parameter", "value").collect())
+    assert got == sorted([(1, 0, "n", None), (1, 0, "thickness", 1.0), (1, 0, "roughness", 4.0), (1, 2, "thickness", 5.0)] * 2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # so no task sorts or holds layers
+
+
 def test_canonical_hash_ignores_order_and_bulk(spark):
     df = spark.createDataFrame([('{"b": 1, "a": {"data": [1, 2], "x": 2}}',), ('{"a": {"x": 2}, "b": 1}',), ("nope",)], "p string")
     a, b, c = [r[0] for r in df.select(envelopes.canonical_sha256("p")).collect()]
