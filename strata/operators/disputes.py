@@ -2,8 +2,9 @@
 
 Two values differ when their distance over their mean, in absolute terms, is beyond a fraction. From a claim's value
 that is all values from one threshold up and all down from another. Values and thresholds are merged into one ordered
-stream a field, and running counts over its ranges say how many values lie beyond each threshold. Claims of the same
-page are counted the same way among themselves and taken off. The result has a row a claim whatever a field's size;
+stream a field, and running counts say how many values lie beyond each threshold: in one window where a field has up to
+`WHOLE` claims, over ranges of the stream where it has more. Claims of the same page are counted the same way among
+themselves and taken off. The result has a row a claim whatever a field's size;
 `joins.contradictions` lists the pairs of the claims that are asked for.
 """
 
@@ -13,7 +14,7 @@ from fractions import Fraction
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators import scans
@@ -23,6 +24,12 @@ from strata.operators.shared import shared_folder
 LEAST = 5e-324
 #: Units in the last place by which the test itself may be off, in its spread.
 ULPS = 4
+#: Claims of a field up to which one task counts them.
+WHOLE = 20_000
+#: Claims of whole fields that a task counts, about: there are more tasks where there are more claims.
+LOT = 200_000
+#: What the values and thresholds of one stream have in common; units say whose they are.
+BY = ["field", "units", "document", "page"]
 
 
 def differ(a: Column, b: Column, fraction: float) -> Column:
@@ -43,27 +50,59 @@ def thresholds(value: Column, fraction: float) -> tuple[Column, Column]:
     return down, up
 
 
-def _beyond(claims: DataFrame, scope: list[str], fraction: float) -> DataFrame:
-    """(row, below, above): comparable claims of the same scope that differ from each claim."""
-    unit = F.col("unit")
-    points = claims.select(*scope, F.explode(F.array(F.concat(F.lit("unit "), unit), F.lit("any"))).alias("units"), F.col("value").alias("x"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("string").alias("kind"))
-    asked = F.when(unit == "", F.array(F.lit("any"))).otherwise(F.array(F.concat(F.lit("unit "), unit), F.lit("unit ")))
-    down, up = thresholds(F.col("value"), fraction)
-    # of equal values those asking for what lies before come first, then the values, then those asking for all up to there
-    one = lambda x, side, kind: F.struct(x.alias("x"), F.lit(side).alias("side"), F.lit(kind).alias("kind"))
-    opposite = F.when((F.col("least") < 0) & (F.col("most") > 0) & (F.col("value") != 0), -F.col("value"))
-    asks = F.array(one(up, 0, "up"), one(down, 2, "down"), one(opposite, 0, "opposite before"), one(opposite, 2, "opposite up to")).cast("array<struct<x:double,side:int,kind:string>>")
-    asks = F.filter(asks, lambda p: p["x"].isNotNull())
-    probes = claims.select(*scope, F.explode(asked).alias("units"), "row", F.explode(asks).alias("p")).select(*scope, "units", F.col("p.x").alias("x"), F.col("p.side").alias("side"), "row", F.col("p.kind").alias("kind"))
-    by = [*scope, "units"]
+def _stream(claims: DataFrame, fraction: float) -> DataFrame:
+    """(claim, row, by, x, side, below, above, of): the values of each field, side 1, and before and behind them what each claim asks for.
+
+    A claim's counts are the sums of below * upto, and of above * upto + of * total, over what it asks for, where upto
+    are the values up to there. Among the claims of a page the same is asked for, and taken off. What is told by kinds of
+    units: those of one unit, blank ones among them, and any.
+    """
+    unit, value = F.col("unit"), F.col("value")
+    down, up = thresholds(value, fraction)
+    claims = claims.withColumns({"down": down, "up": up})
+    mixed = (F.col("least") < 0) & (F.col("most") > 0) & (value != 0)
+
+    def one(units: Column, x: Column, side: int, below: Column | int = 0, above: Column | int = 0, of: Column | int = 0, own: bool = False) -> Column:
+        as_int = {"below": below, "above": above, "of": of}
+        only = lambda c: F.when(F.lit(own), F.col(c))
+        return F.struct(only("document").alias("document"), only("page").alias("page"), units.alias("units"), x.alias("x"), F.lit(side).alias("side"), *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in as_int.items()])
+
+    rows = []
+    for own, sign in ((False, 1), (True, -1)):
+        there, head = (F.col("mates") > 1 if own else F.lit(True)), "own " if own else ""
+        every, blank, mine = F.lit(head + "any"), F.lit(head + "unit "), F.concat(F.lit(head + "unit "), unit)
+        blanks = there & (F.col("blanks") > 0)
+        rows += [F.when(there, one(mine, value, 1, own=own)), F.when(blanks, one(every, value, 1, own=own))]
+        side = lambda which, n: F.when(which, n).otherwise(0)
+        for wanted, units in ((there, F.when(unit == "", every).otherwise(mine)), (blanks & (unit != ""), blank)):
+            rows += [F.when(wanted, one(units, F.col("up"), 0, 0, -sign, side(F.col("up").isNotNull(), sign), own)), F.when(wanted, one(units, F.col("down"), 2, sign, 0, 0, own))]
+            # an opposite value lies beyond a threshold on the other side of zero
+            rows += [F.when(wanted & mixed, one(units, -value, at, side(value > 0, n), side(value < 0, n), 0, own)) for at, n in ((0, sign), (2, -sign))]
+    return claims.select("field", "claim", "row", F.inline(F.array_compact(F.array(*rows))))
+
+
+def _whole(claims: DataFrame, fraction: float) -> DataFrame:
+    """The stream with upto and total, of fields that fit a task: one shuffle, of the claims."""
+    field, page = Window.partitionBy("field"), Window.partitionBy("field", "document", "page")
+    claims = claims.withColumns({"least": F.min("value").over(field), "most": F.max("value").over(field), "blanks": F.count_if(F.col("unit") == "").over(field)})
+    claims = claims.withColumn("mates", F.when(F.col("document").isNotNull(), F.count(F.lit(1)).over(page)).otherwise(0)).withColumn("row", F.monotonically_increasing_id())
+    along, point = Window.partitionBy(*BY).orderBy("x", "side"), F.col("side") == 1
+    upto, total = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return _stream(claims, fraction).withColumns({"upto": F.count_if(point).over(upto), "total": F.count_if(point).over(total)})
+
+
+def _ranges(claims: DataFrame, fraction: float) -> DataFrame:
+    """The same of fields of any size, over ranges."""
+    claims = claims.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    renamed = lambda d: d.withColumnsRenamed({c: f"_{c}" for c in ("field", "document", "page", "units")})
+    ends = claims.groupBy("field").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("unit") == "").alias("blanks"))
+    mates = renamed(claims.where("document IS NOT NULL").groupBy("field", "document", "page").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"))
+    claims = claims.join(ends, "field").join(mates, (F.col("field") == F.col("_field")) & (F.col("document") == F.col("_document")) & F.col("page").eqNullSafe(F.col("_page")), "left")
     order = [F.col("x"), F.col("side")]
-    stream = scans.cut(points.unionByName(probes), by, *order)
-    stream = scans.running(stream, by, order, "upto", "sum", (F.col("side") == 1).cast("bigint"))
-    totals = points.groupBy(*by).agg(F.count(F.lit(1)).alias("total")).withColumnsRenamed({c: f"_{c}" for c in by})
-    found = stream.where("row IS NOT NULL").join(totals, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]), "left")
-    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
-    out = found.groupBy("row").agg(of("down", F.col("upto")).alias("below"), of("up", F.coalesce("total", F.lit(0)) - F.col("upto")).alias("above"), (of("opposite up to", F.col("upto")) - of("opposite before", F.col("upto"))).alias("opposite"))
-    return out
+    stream = scans.cut(_stream(claims, fraction), BY, *order)
+    totals = renamed(stream.groupBy(*BY).agg(F.count_if(F.col("side") == 1).alias("total")))
+    stream = scans.running(stream, BY, order, "upto", "sum", (F.col("side") == 1).cast("bigint"))
+    return stream.where("side <> 1").join(totals, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BY]))
 
 
 def disputes(claims: DataFrame, *, fraction: float = 0.10) -> DataFrame:
@@ -79,19 +118,14 @@ def disputes(claims: DataFrame, *, fraction: float = 0.10) -> DataFrame:
     shared_folder(claims.sparkSession)
     value = F.col("value").cast("double")
     rows = claims.where(F.col("field").isNotNull() & value.isNotNull() & ~F.isnan(value)).select("claim", "field", "document", "page", value.alias("value"), F.lower(F.trim(F.coalesce("units", F.lit("")))).alias("unit"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).checkpoint()
-    ends = rows.groupBy("field").agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    rows = rows.join(ends, "field").checkpoint()
-    several = rows.where("document IS NOT NULL").groupBy("field", "document", "page").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnsRenamed({c: f"_{c}" for c in ("field", "document", "page")}).drop("n")
-    paged = rows.join(several, (F.col("field") == F.col("_field")) & (F.col("document") == F.col("_document")) & F.col("page").eqNullSafe(F.col("_page")), "left_semi").checkpoint()
-    out = _beyond(rows, ["field"], fraction)
-    own = None if paged.isEmpty() else _beyond(paged, ["field", "document", "page"], fraction)
-    # an opposite value lies beyond a threshold on the other side of zero
-    below = lambda d: d.select("row", "below", "above", "opposite")
-    if own is not None:
-        own = below(own).withColumnsRenamed({c: f"own_{c}" for c in ("below", "above", "opposite")})
-        out = out.join(own, "row", "left")
-        out = out.select("row", *[(F.col(c) - F.coalesce(f"own_{c}", F.lit(0))).alias(c) for c in ("below", "above", "opposite")])
-    met = rows.select("row", "claim", "field", "value").join(out, "row", "left").na.fill(0, ["below", "above", "opposite"])
-    less = lambda side: F.when(side, F.col("opposite")).otherwise(0)
-    return met.select("claim", "field", (F.col("below") - less(F.col("value") > 0)).alias("n_below"), (F.col("above") - less(F.col("value") < 0)).alias("n_above"))
+    sizes = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    n, wide = sizes.agg(F.sum("n"), F.count_if(F.col("n") > WHOLE)).first()
+    parts = ceil((n or 1) / LOT)
+    if not wide:
+        met = [_whole(rows.repartition(parts, "field"), fraction)]
+    else:
+        large = sizes.where(F.col("n") > WHOLE).select("field").checkpoint()  # one in WHOLE claims at most
+        met = [_whole(rows.join(F.broadcast(large), "field", "left_anti").repartition(parts, "field"), fraction), _ranges(rows.join(F.broadcast(large), "field", "left_semi"), fraction)]
+    counts = {"n_below": F.col("below") * F.col("upto"), "n_above": F.col("above") * F.col("upto") + F.col("of") * F.col("total")}
+    out = [d.where("side <> 1").groupBy("field", "row", "claim").agg(*[F.sum(v).alias(k) for k, v in counts.items()]) for d in met]
+    return reduce(DataFrame.unionByName, out).select("claim", "field", "n_below", "n_above")

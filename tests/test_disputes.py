@@ -43,3 +43,19 @@ def test_one_page_and_no_claims(spark):
     assert disputes.disputes(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         disputes.disputes(spark.createDataFrame(rows, SCHEMA), fraction=2.0)
+
+
+@pytest.mark.parametrize("whole", [0, 60, 20_000])
+def test_fields_whole_and_over_ranges_agree(spark, monkeypatch, whole):
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice(["a", "a", "b", "c"]), rnd.choice([1, 2, None]), rnd.choice([1, None]), rnd.choice([-2.0, 2.0, 0.0, 1.0, round(rnd.uniform(-9, 9), 1)]), rnd.choice(["nm", "", "A"])) for i in range(200)]
+    monkeypatch.setattr(disputes, "WHOLE", whole)
+    got = disputes.disputes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 0.1))
+
+
+def test_fields_that_fit_a_task_shuffle_their_claims_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"f{i % 9}", i % 4, 1, float(i % 17), "nm") for i in range(90)], SCHEMA)
+    monkeypatch.setattr(disputes, "LOT", 30)
+    plan = disputes.disputes(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning" not in plan
