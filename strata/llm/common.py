@@ -23,6 +23,8 @@ ALNUM_SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 HOT_KEYS = 256
 #: Ids that may be broadcast: 1 million longs are 8 MB.
 BROADCAST_IDS = 1_000_000
+#: Bits of the map that tells rows of other ids apart before a shuffle, in parts of 32,768: 16 MB whatever the ids' number.
+ID_BITS = 1 << 27
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd: it has an inverse modulo 2**64
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -221,6 +223,20 @@ def few(ids: DataFrame) -> bool:
     return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
+def sifted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among those of a one-column table of any length, and those whose key surely isn't, nulls too.
+
+    A hash of each id sets one of ID_BITS bits, which are broadcast; so texts of other ids needn't be shuffled to be told apart.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(ID_BITS))
+    places = ids.select(place(ids.columns[0]).alias("_place")).select(F.shiftright("_place", 15).alias("_part"), F.col("_place").bitwiseAND(32767).alias("_bit"))
+    parts = checkpoint(places.repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    at = rows.withColumn("_place", place(key)).withColumn("_part", F.shiftright("_place", 15)).join(F.broadcast(parts), "_part", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(F.col("_place").bitwiseAND(32767), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    told = at.withColumn("_in", F.col(key).isNotNull() & F.coalesce(F.bit_get(byte, F.col("_place").bitwiseAND(7).cast("int")) == 1, F.lit(False)))
+    return tuple(told.where(w).select(*[F.col(f"`{c}`") for c in rows.columns]) for w in ("_in", "NOT _in"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (u, v): component is the smallest node reachable.
 

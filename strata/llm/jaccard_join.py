@@ -2,7 +2,9 @@
 
 Two sets of sizes a and b that link differ in few shingles, at most D of them. The shingle space is cut into more than
 D parts by hash, so two linked sets agree on a whole part; the hash of each part is a key of the set, and sets that
-share no key can't link. Keys only build candidate groups. Within a group sets hang in a tree whose nodes hold the OR
+share no key can't link. Keys only build candidate groups. They are shuffled in packs, a pack a task's fold and range of
+keys: of each key five bytes and the step from the id before it, so that they take half the disk of rows. Keys of different
+sets that agree in the bits that are left only add a candidate. Within a group sets hang in a tree whose nodes hold the OR
 and the AND of their bitmaps and the range of their sizes; the tree is traversed against itself, pairs of nodes whose
 greatest possible overlap is too small are left, and what reaches two leaves is compared shingle by shingle.
 
@@ -19,13 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import BROADCAST_IDS, SPACE_WORDS_LOWER, bounded_batches, buffers, checkpoint, components, few, grams, join_skewed, mix, pieces, set_aside, signed, text_keys, under, words
+from strata.llm.common import BROADCAST_IDS, SPACE_WORDS_LOWER, bounded_batches, buffers, checkpoint, components, few, grams, join_skewed, mix, pieces, set_aside, sifted, signed, text_keys, under, words
 
 #: Keys that a task gathers before it folds them and writes them out; shingles of a group that one task compares.
 FOLD_KEYS = 1 << 21
+#: A key's range is its top bits, of its other bits a pack holds the highest LEFT_BYTES bytes.
+RANGE_BITS, LEFT_BYTES = 12, 5
+#: Keys of whole ranges that are unpacked and met together.
+MEET_KEYS = 1 << 20
 GROUP_SHINGLES = 2_000_000
 #: Small candidate groups are dealt to tasks in lots of about so many shingles.
 LOT_SHINGLES = 500_000
@@ -111,12 +118,88 @@ def _fold(ids: list[int], sizes: list[int], keys: list[np.ndarray]) -> tuple[np.
     return key[first], owner[first], a[new], b[new]
 
 
-def _rows(key: np.ndarray, ident: np.ndarray | list, aux: list | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ident, pa.int64()), pa.array(aux, pa.binary()) if aux is not None else pa.nulls(len(key), pa.binary())], ["key", "id", "aux"])
+def _rows(key: np.ndarray, ident: np.ndarray | list | None, aux: list | None, pack: list | None = None) -> pa.RecordBatch:
+    given = lambda x, kind: pa.array(x, kind) if x is not None else pa.nulls(len(key), kind)
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), given(ident, pa.int64()), given(aux, pa.binary()), given(pack, pa.binary())], ["key", "id", "aux", "pack"])
+
+
+def _pack(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The ranges of distinct keys, and of each a pack: number of keys, first id and bytes a step; then, a plane a byte, what is left of the keys, by id, and the steps from id to id."""
+    ranges = (key >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+    order = np.lexsort((ident, ranges))
+    ranges, ident = ranges[order], ident[order]
+    left = ((key[order] << np.uint64(RANGE_BITS)) >> np.uint64(64 - 8 * LEFT_BYTES)).view(np.uint8).reshape(-1, 8)[:, :LEFT_BYTES]
+    starts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
+    steps = np.concatenate((np.zeros(1, np.int64), ident[1:] - ident[:-1])).view(np.uint64)  # modulo 2**64
+    steps[starts] = 0
+    most = np.maximum.reduceat(steps, starts)
+    steps = steps.view(np.uint8).reshape(-1, 8)
+    packs = []
+    for lo, hi, m in zip(starts, np.append(starts[1:], len(ranges)), most, strict=True):
+        width = (int(m).bit_length() + 7) // 8
+        head = int(hi - lo).to_bytes(4, "little") + int(ident[lo]).to_bytes(8, "little", signed=True) + bytes([width])
+        packs.append(head + left[lo:hi].T.tobytes() + steps[lo:hi, :width].T.tobytes())
+    return ranges[starts], packs
+
+
+def _unpack(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of the keys of a pack, and their ids."""
+    n, first, width = int.from_bytes(pack[:4], "little"), int.from_bytes(pack[4:12], "little", signed=True), pack[12]
+    planes = np.frombuffer(pack, np.uint8, offset=13).reshape(LEFT_BYTES + width, n)
+    left, steps = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
+    left[:, :LEFT_BYTES] = planes[:LEFT_BYTES].T
+    steps[:, :width] = planes[LEFT_BYTES:].T
+    return left.view(np.uint64).ravel(), np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64).view(np.int64) + np.int64(first)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows of `_sketch`, whole ranges a task, the links: each set with the next smaller id of each of its keys; rows of texts stay."""
+    names = ["id", "other", "aux"]
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def meet() -> None:
+        key = np.concatenate([left | np.uint64(r << 8 * LEFT_BYTES) for r, left, _ in held])
+        ident = np.concatenate([i for _, _, i in held])
+        order = np.lexsort((ident, key))
+        key, ident = key[order], ident[order]
+        at = np.flatnonzero((key[1:] == key[:-1]) & (ident[1:] != ident[:-1])) + 1
+        pairs.append((ident[at], ident[at - 1]))
+
+    def links() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.nulls(np.count_nonzero(new), pa.binary())], names)
+
+    for batch in batches:
+        keys, idents, auxes = (batch.column(c) for c in ("key", "id", "aux"))
+        texts = pa.compute.equal(pa.compute.binary_length(auxes), 24).fill_null(False)
+        if texts.true_count:
+            yield pa.RecordBatch.from_arrays([idents.filter(texts), pa.nulls(texts.true_count, pa.int64()), auxes.filter(texts)], names)
+        found = pa.compute.equal(pa.compute.binary_length(auxes), 8).fill_null(False)
+        if found.true_count:
+            other = np.frombuffer(b"".join(auxes.filter(found).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([idents.filter(found), pa.array(other), pa.nulls(len(other), pa.binary())], names)
+        packed = batch.column("pack").is_valid()
+        for r, pack in zip(keys.filter(packed).to_pylist(), batch.column("pack").filter(packed), strict=True):
+            if n >= MEET_KEYS and held[-1][0] != r:
+                meet()
+                held, n = [], 0
+                if sum(len(a) for a, _ in pairs) >= MEET_KEYS:
+                    yield links()
+                    pairs.clear()
+            held.append((r, *_unpack(pack.as_py())))
+            n += len(held[-1][1])
+    if held:
+        meet()
+        yield links()
 
 
 def _sketch(k: int, rule: Rule):
-    """Of each text a row (.., id, size and digest of its set); of each key a row (key, smallest id); of each link found here (.., id, other)."""
+    """Of each text a row (.., id, size and digest of its set); of each range of keys a row (range, pack) a fold; of each link found here (.., id, other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -127,7 +210,9 @@ def _sketch(k: int, rule: Rule):
 
         def fold() -> Iterator[pa.RecordBatch]:
             key, least, a, b = _fold(ids, sizes, keys)
-            yield _rows(signed(key), least, None)
+            ranges, packs = _pack(key, least)
+            for lo in range(0, len(ranges), 256):
+                yield _rows(ranges[lo : lo + 256], None, None, packs[lo : lo + 256])
             if len(a):
                 yield _rows(signed(mix(a.astype(np.uint64))), a, [int(x).to_bytes(8, "little", signed=True) for x in b])
 
@@ -303,15 +388,13 @@ def members(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_co
     rule = Rule(num, den)
     bounded_batches(docs.sparkSession)
     source, numbers = _nodes(docs, id_col, text_col)
-    rows = source.mapInArrow(_sketch(k, rule), "key bigint, id bigint, aux binary")
-    before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
-    rows = checkpoint(rows.withColumn("other", F.when(F.col("aux").isNull(), before)).where(F.col("aux").isNotNull() | (F.col("other") != F.col("id"))))
+    rows = source.mapInArrow(_sketch(k, rule), "key bigint, id bigint, aux binary, pack binary")
+    rows = checkpoint(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "id bigint, other bigint, aux binary"))
 
-    texts = rows.where(F.length("aux") == 24).select("id", _number(F.substring("aux", 1, 8)).alias("n"), F.substring("aux", 9, 16).alias("digest"))
+    texts = rows.where(F.col("aux").isNotNull()).select("id", _number(F.substring("aux", 1, 8)).alias("n"), F.substring("aux", 9, 16).alias("digest"))
     known = texts.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("member"))
     texts = checkpoint(join_skewed(texts, checkpoint(known), "digest"))
     near = rows.where(F.col("aux").isNull()).select(F.col("id").alias("u"), F.col("other").alias("v"))
-    near = near.union(rows.where(F.length("aux") == 8).select(F.col("id").alias("u"), _number(F.col("aux")).alias("v")))
     member = checkpoint(texts.where("member IS NOT NULL").groupBy("id").agg(F.min("member").alias("member")))
     to = lambda df, c: df.join(member.withColumnRenamed("id", c), c).drop(c).withColumnRenamed("member", c)
     near = to(to(near.distinct(), "u"), "v").where("u <> v").distinct()
@@ -366,7 +449,11 @@ def _representatives(docs: DataFrame, k: int, num: int, den: int, id_col: str, t
         gone = checkpoint(first.unionByName(behind.where("text_hash IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()))
         plain = plain.join(shared.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
         docs = docs.join(F.broadcast(gone) if few(gone) else gone, F.col(id_col).eqNullSafe(F.col("_id")) & (numbered == F.col("_hash")), "left_anti")
-    docs = docs.join(F.broadcast(plain) if count <= BROADCAST_IDS else plain, F.col(id_col) == F.col("_id"), "left_anti")
+    if count <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(plain), F.col(id_col) == F.col("_id"), "left_anti")
+    else:
+        maybe, surely = sifted(docs, plain, id_col)
+        docs = surely.unionByName(maybe.join(plain, F.col(id_col) == F.col("_id"), "left_anti"))
     again = found.where("leads").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_id")).distinct()
     if again.isEmpty():
         return docs
@@ -410,8 +497,6 @@ def _links(source: DataFrame, candidates: DataFrame, texts: DataFrame, k: int, r
         dealt = small.union(pair.select("id", F.xxhash64(task).alias("lot"), task.alias("task"), side.alias("side")))
     dealt = checkpoint(dealt)
     ids = dealt.select("id").distinct()
-    if few(ids):
-        held = F.broadcast(ids)
-        source = source.join(held, "id", "left_semi")
+    source = source.join(F.broadcast(ids), "id", "left_semi") if few(ids) else sifted(source, ids, "id")[0]
     grouped = source.join(dealt, "id").groupBy("lot").applyInArrow(_link(k, rule), "u bigint, v bigint")
     return checkpoint(grouped)
