@@ -69,8 +69,10 @@ def outcome(r: Column, q: Column, sign: str, alpha: float = 0.05) -> Column:
     return F.when(r.isNull() | q.isNull() | (q > alpha), "inconclusive").when(agrees, "supports").otherwise("contradicts")
 
 
-#: Cases of a block of a permuted pair, and of a row of one; permutations that one task works on; rounds of the permuting network, and of small ones, which mix slowly.
-PERMUTED_BLOCK, PERMUTED_ROW, PERMUTED_AT_ONCE, ROUNDS, MANY_ROUNDS = 1 << 22, 1 << 16, 500, 6, 12
+#: Cases of a block of permuted columns, and of a row of one; columns that meet as many others in one task; permutations that one task works on; rounds of the permuting network, and of small ones, which mix slowly.
+PERMUTED_BLOCK, PERMUTED_ROW, PERMUTED_COLUMNS, PERMUTED_AT_ONCE, ROUNDS, MANY_ROUNDS = 1 << 21, 1 << 16, 6, 500, 6, 12
+#: Cells that are permuted together: few, so that they stay in a core's cache.
+CELLS_AT_ONCE = 1 << 15
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -99,11 +101,11 @@ def permuted(rows: np.ndarray, n: int, seed: int, which: np.ndarray) -> np.ndarr
         left, right = np.divmod(cells, b)
         for r, add in enumerate(adds):
             if r % 2:
-                right = right + add[start + left]
-                right -= b * (right >= b)
+                right = right + np.take(add, start + left if len(key) > 1 else left)
+                np.minimum(right.view(np.uint64), (right - b).view(np.uint64), out=right.view(np.uint64))  # below 0 is beyond all as unsigned
             else:
-                left = left + add[start + right]
-                left -= a * (left >= a)
+                left = left + np.take(add, start + right if len(key) > 1 else right)
+                np.minimum(left.view(np.uint64), (left - a).view(np.uint64), out=left.view(np.uint64))
         return left * b + right
 
     start = side * np.arange(len(key))
@@ -116,53 +118,84 @@ def permuted(rows: np.ndarray, n: int, seed: int, which: np.ndarray) -> np.ndarr
     return out
 
 
+def permuted_columns(size: DataFrame) -> DataFrame:
+    """(n, digest, x_key, y_key, side, mean, sd, number) of the distinct columns of pairs (x_key, y_key, n, x_digest, mx, sx, y_digest, my, sy): the pair and side to read it from, and its number among those of as many cases."""
+    side = lambda i, c: F.struct(F.lit(i).alias("side"), F.col(f"{c}_digest").alias("digest"), F.col(f"m{c}").alias("mean"), F.col(f"s{c}").alias("sd"), F.col(f"{c}_key").alias("key"))
+    sides = size.select("x_key", "y_key", "n", F.explode(F.array(side(0, "x"), side(1, "y"))).alias("c"))
+    own = F.struct("c.key", "x_key", "y_key", "c.side", "c.mean", "c.sd")
+    columns = sides.groupBy("n", "c.digest").agg(F.min(own).alias("own"))
+    return columns.select("n", "digest", "own.x_key", "own.y_key", "own.side", "own.mean", "own.sd", (F.row_number().over(Window.partitionBy("n").orderBy("own")) - 1).alias("number"))
+
+
 def permutation_p(cases: DataFrame, *, permutations: int = 10_000, seed: int = 20_240, chunk: int | None = None) -> DataFrame:
     """(x_key, y_key, n, r, p): p = (1 + permuted |r| at least the observed) / (permutations + 1).
 
     A pair's cases are numbered by id, with a running count over ranges, and standardised. A permutation is a keyed one
-    of those numbers, so where it takes a case follows from the case's number and the seed alone. Cases are packed in
-    rows of PERMUTED_ROW numbers, and those in blocks of PERMUTED_BLOCK; a block of x meets each block of y of its pair for
-    some permutations at a time, goes through x row by row and gives the sums of the products of the cases that are
-    taken there. The sums of all blocks make a permutation's r. So no task holds more than two blocks, no partitioning
-    changes a result, and what is shuffled grows with the cases as long as a pair has no more than a block of them. Below
-    three cases, or without variance, r and p are null.
+    of those numbers, so where it takes a case follows from the number of cases, the case's number and the seed alone: it
+    is computed once for all pairs of as many cases. Their columns, of equal ones (told by 128 bits of the values'
+    hashes) one, are packed in rows of PERMUTED_ROW numbers, and those in blocks of PERMUTED_BLOCK; a block of
+    PERMUTED_COLUMNS columns meets each block of as many others for some permutations at a time, goes through its cases
+    row by row and gives the sums of the products with the cases that are taken there. The sums of all blocks make a
+    permutation's r. So no task holds more than two blocks, no partitioning changes a result, and what is shuffled grows
+    with the cases as long as a pair has no more than a block of them. Below three cases, or without variance, r and p
+    are null.
     """
-    by, chunk = ["x_key", "y_key"], chunk or PERMUTED_AT_ONCE
+    by, chunk, tile = ["x_key", "y_key"], chunk or PERMUTED_AT_ONCE, PERMUTED_COLUMNS
     width = min(PERMUTED_ROW, PERMUTED_BLOCK)
     size_of_block = PERMUTED_BLOCK // width * width
-    size = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     numbered = scans.running(scans.cut(cases, by, "id", "x", "y"), by, [F.col("id"), F.col("x"), F.col("y")], "row", "sum", F.lit(1)).withColumn("row", F.col("row") - 1)
-    rows = numbered.join(size.where("n >= 3 AND sx > 0 AND sy > 0"), by)
-    rows = rows.select(*by, "n", "row", ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
-    packed = rows.groupBy(*by, "n", F.floor(F.col("row") / width).alias("part")).agg(F.sort_array(F.collect_list(F.struct("row", "x", "y"))).alias("c")).checkpoint()  # PERMUTED_ROW cases at most in a row
+    digest = lambda c: F.concat_ws("/", F.bit_xor(F.xxhash64("row", c)), F.bit_xor(F.xxhash64(F.lit(1), c, "row")))
+    size = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), digest("x").alias("x_digest"), digest("y").alias("y_digest")).checkpoint()
+    fit = size.where("n >= 3 AND sx > 0 AND sy > 0")
+    columns = permuted_columns(fit).checkpoint()
+    named = lambda c: columns.select("n", F.col("digest").alias(f"{c}_digest"), F.col("number").alias(f"{c}_column"))
+    fit = fit.join(named("x"), ["n", "x_digest"]).join(named("y"), ["n", "y_digest"]).select(*by, "n", "x_column", "y_column").checkpoint()
+    tiles = fit.select("n", F.floor(F.col("x_column") / tile).alias("x_tile"), F.floor(F.col("y_column") / tile).alias("y_tile")).distinct()
+
+    value = (F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")) - F.col("mean")) / F.col("sd")
+    rows = numbered.join(F.broadcast(columns) if columns.count() <= 10_000 else columns, by).select("n", "number", "row", value.alias("v"))
+    packed = rows.groupBy("n", "number", F.floor(F.col("row") / width).alias("part")).agg(F.sort_array(F.collect_list(F.struct("row", "v"))).alias("c")).select("n", "number", "part", "c.v").checkpoint()  # PERMUTED_ROW cases at most in a row
     block, blocks = F.floor(F.col("part") * width / size_of_block), F.ceil(F.col("n") / size_of_block)
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-    left = packed.select(*by, "n", "part", block.alias("x_block"), every.alias("y_block"), F.col("c.x").alias("v"), F.lit(0).alias("side"))
-    right = packed.select(*by, "n", "part", every.alias("x_block"), block.alias("y_block"), F.col("c.y").alias("v"), F.lit(1).alias("side"))
+    cells = ["n", "x_tile", "y_tile", "number", "part"]
+    met = lambda c: packed.withColumn(f"{c}_tile", F.floor(F.col("number") / tile)).join(tiles, ["n", f"{c}_tile"])
+    left = met("x").select(*cells, block.alias("x_block"), every.alias("y_block"), "v", F.lit(0).alias("side"))
+    right = met("y").select(*cells, every.alias("x_block"), block.alias("y_block"), "v", F.lit(1).alias("side"))
     chunks = F.explode(F.sequence(F.lit(0), F.lit(permutations), F.lit(chunk)))  # permutation 0 is none: the observed
-    keys, tasks = [*by, "x_block", "y_block", "first"], int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, tasks = ["n", "x_tile", "y_tile", "x_block", "y_block", "first"], 4 * int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = left.unionByName(right).withColumn("first", chunks).repartition(tasks, *keys)  # a given number: the work is in the permutations, not in the bytes
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x_key, y_key, x_block, y_block, first = (k.as_py() for k in key)
-        part, side, n, v = table["part"].to_numpy(), table["side"].to_numpy(), table["n"][0].as_py(), table["v"]
-        y = np.concatenate([v[int(i)].values.to_numpy() for i in sorted(np.flatnonzero(side == 1), key=lambda i: part[i])])
+        n, _, _, x_block, y_block, first = (k.as_py() for k in key)
+        number, part, side, v = table["number"].to_numpy(), table["part"].to_numpy(), table["side"].to_numpy(), table["v"]
+        order = np.lexsort((part, number))
+        of = lambda wanted: [v[int(i)].values.to_numpy() for i in order[wanted[order]]]
+        x_columns, y_columns = np.unique(number[side == 0]), np.unique(number[side == 1])
         low, which = y_block * size_of_block, np.arange(max(1, first), min(first + chunk, permutations + 1))
-        sums, seen = np.zeros(len(which)), 0.0
-        for i in sorted(np.flatnonzero(side == 0), key=lambda i: part[i]):
-            x, begin = v[int(i)].values.to_numpy(), int(part[i]) * width
-            own = np.arange(begin, begin + len(x))
+        held = min(size_of_block, n - low)
+        y = np.zeros((held + 1, len(y_columns)))  # the last line is of cases that are taken to other blocks
+        for j, c in enumerate(y_columns):
+            y[:held, j] = np.concatenate(of((side == 1) & (number == c)))
+        sums, seen = np.zeros((len(which), len(x_columns), len(y_columns))), np.zeros((1, len(x_columns), len(y_columns)))
+        for p in np.unique(part[side == 0]):
+            x, begin = np.stack(of((side == 0) & (part == p))), int(p) * width
             if first == 0 and x_block == y_block:
-                seen += float(x @ y[begin - low : begin - low + len(x)])
-            step = max(1, 1_000_000 // len(x))
-            for j in range(0, len(which), step):
-                to = permuted(own, n, seed, which[j : j + step]) - low
-                here = (to >= 0) & (to < len(y))
-                sums[j : j + step] += np.where(here, y[np.where(here, to, 0)], 0.0) @ x
-        which, sums = (np.append([0], which), np.append([seen], sums)) if first == 0 else (which, sums)
-        return pa.table({"x_key": pa.array([x_key] * len(which), pa.string()), "y_key": pa.array([y_key] * len(which), pa.string()), "which": pa.array(which, pa.int64()), "s": pa.array(sums, pa.float64())})
-
-    sums = met.groupBy(*keys).applyInArrow(run, "x_key string, y_key string, which bigint, s double").groupBy(*by, "which").agg(F.sum("s").alias("s")).checkpoint()
+                seen[0] += x @ y[begin - low : begin - low + x.shape[1]]
+            for lo in range(0, x.shape[1], CELLS_AT_ONCE):
+                own, some = np.arange(begin + lo, begin + min(lo + CELLS_AT_ONCE, x.shape[1])), x[:, lo : lo + CELLS_AT_ONCE]
+                step = max(1, CELLS_AT_ONCE // len(own))
+                for j in range(0, len(which), step):
+                    to = permuted(own, n, seed, which[j : j + step]) - low
+                    if held < n:
+                        to[(to < 0) | (to >= held)] = held
+                    sums[j : j + step] += some @ np.take(y, to, axis=0)
+        which, sums = (np.append([0], which), np.concatenate((seen, sums))) if first == 0 else (which, sums)
+        line, x_at, y_at = (i.ravel() for i in np.indices(sums.shape))
+        out = {"n": np.full(sums.size, n), "x_column": x_columns[x_at], "y_column": y_columns[y_at], "which": which[line], "s": sums.ravel()}
+        return pa.table({c: pa.array(a, pa.float64() if c == "s" else pa.int64()) for c, a in out.items()})
+
+    of_columns = met.groupBy(*keys).applyInArrow(run, "n bigint, x_column bigint, y_column bigint, which bigint, s double")
+    sums = of_columns.join(fit.withColumn("x_column", F.col("x_column").cast("bigint")).withColumn("y_column", F.col("y_column").cast("bigint")), ["n", "x_column", "y_column"]).groupBy(*by, "which").agg(F.sum("s").alias("s")).checkpoint()
     seen = sums.where("which = 0").select(*by, F.abs("s").alias("seen"), F.col("s").alias("sum"))
     over = sums.join(seen, by).groupBy(*by).agg(F.count(F.when((F.col("which") > 0) & (F.abs("s") >= F.col("seen") * (1 - 1e-12)), 1)).alias("over"), F.any_value("sum").alias("sum"))
     out = size.join(over, by, "left")
