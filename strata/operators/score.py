@@ -116,9 +116,9 @@ def mediated_effect(b: DataFrame, g: DataFrame) -> DataFrame:
     channels have no slope stays, with a null effect and no dominant channel.
     """
     m = b.join(g, "key").withColumn("part", F.col("b") * F.col("gamma"))
-    lead = m.groupBy("descriptor").agg(F.sum("part").alias("effect"), F.max(F.abs("part")).alias("most"), F.count(F.lit(1)).alias("channels"))
-    who = m.join(lead, "descriptor").where(F.abs("part") == F.col("most")).groupBy("descriptor").agg(F.min("key").alias("dominant"))
-    return lead.join(who, "descriptor", "left").select("descriptor", "effect", "dominant", "channels")
+    most = F.abs("part")  # NaN is most; compared within one aggregation, as sums of doubles may come out otherwise when they are computed again
+    first = F.min(F.when(most.isNotNull(), F.struct((~F.isnan(most)).alias("known"), F.when(F.isnan(most), 0.0).otherwise(-most).alias("least"), "key")))
+    return m.groupBy("descriptor").agg(F.sum("part").alias("effect"), first["key"].alias("dominant"), F.count(F.lit(1)).alias("channels"))
 
 
 def weight_correlations(weights: DataFrame) -> DataFrame:
