@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators import scans
+from strata.operators.shared import written
 
 
 def long_form(table: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
@@ -40,8 +41,11 @@ def average_rank(cases: DataFrame, by: list[str], value: str, rank: str) -> Data
 
 
 def rank_cases(cases: DataFrame) -> DataFrame:
-    """The cases with ranks within each pair's own complete cases in place of values."""
-    by = ["x_key", "y_key"]
+    """The cases with ranks within each pair's own complete cases in place of values.
+
+    Cases are written first: they meet their ranks by value, and averages that were computed again may differ in their last bits.
+    """
+    by, cases = ["x_key", "y_key"], written(cases)
     ranked = cases.join(average_rank(cases, by, "x", "_x"), [*by, "x"]).join(average_rank(cases, by, "y", "_y"), [*by, "y"])
     return ranked.select(*by, "id", F.col("_x").alias("x"), F.col("_y").alias("y"))
 
